@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from skyquad.llm.decontamination import OP2_SQL, op2_decontamination
+from skyquad.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from skyquad.llm.line_dedup import OP6_SQL, op6_line_dedup
 from skyquad.llm.mixing import OP7_SQL, op7_mixing
+from skyquad.llm.secrets import op4_secret_scan
 from skyquad.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
 }
 
 SQL = {
+    "op2_decontamination": OP2_SQL,
+    "op5_exact_dedup": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }
