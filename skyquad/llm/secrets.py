@@ -56,11 +56,11 @@ def link(found: DataFrame, reach: int = 256) -> DataFrame:
     role = F.when(F.col("kind").isin("access", "ident"), "id").when(F.col("kind") == "endpoint", "endpoint").otherwise("secret")
     found = found.withColumns({"role": role, "bucket": F.floor(F.col("start") / reach)})
     extent = found.filter("role <> 'endpoint'").groupBy(*_KEY, "bucket", "role").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    extent = extent.withColumnsRenamed({"role": "other", "bucket": "near"})
+    extent = extent.select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), F.col("bucket").alias("at"), F.col("role").alias("other"), "lo", "hi")
     weak = found.filter(~base).withColumn("near", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
     apart = (F.col("other") != F.col("role")) & F.when(F.col("near") < F.col("bucket"), F.col("hi") >= F.col("start") - reach).when(F.col("near") > F.col("bucket"), F.col("lo") <= F.col("start") + reach).otherwise(True)
-    same = weak["doc_id"].eqNullSafe(extent["doc_id"]) & (weak["th"] == extent["th"]) & (weak["near"] == extent["near"])
-    near = weak.join(extent, same).filter(apart).select(weak["doc_id"], weak["th"], "kind", "start", "end", "other")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_h")) & (F.col("near") == F.col("at"))
+    near = weak.join(extent, same).filter(apart).select(*_KEY, "kind", "start", "end", "other")
     linked = near.groupBy(*_KEY, "kind", "start", "end").agg(F.count_distinct("other").alias("n")).filter(F.col("n") >= F.when(F.col("kind") == "endpoint", 2).otherwise(1)).drop("n")
     return found.filter(base).select(*_KEY, "kind", "start", "end").unionByName(linked)
 
@@ -92,5 +92,8 @@ def _line(spans: str) -> Column:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(documents(spark, sf_dir).select("doc_id", "text"))
-    n = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in ("assign", "access", "hex")}
-    return out.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(_line("base"), 256).alias("base_sha256"), _line("spans").alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(_line("base"), 256).alias("base_sha256"), _line("spans").alias("spans"))
