@@ -43,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_to(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most most rows; beyond, joins with it shuffle."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python gets: whole texts differ in length by orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -6,16 +6,22 @@ from skyquad.llm.decontamination import OP2_SQL, op2_decontamination
 from skyquad.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from skyquad.llm.line_dedup import OP6_SQL, op6_line_dedup
 from skyquad.llm.mixing import OP7_SQL, op7_mixing
+from skyquad.llm.ngram_join import op3_ngram_join
 from skyquad.llm.secrets import op4_secret_scan
 from skyquad.llm.sharding import op8_sharding
+from skyquad.llm.token_output import op1_token_output
+from skyquad.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_token_output": op1_token_output,
     "op2_decontamination": op2_decontamination,
+    "op3_ngram_join": op3_ngram_join,
     "op4_secret_scan": op4_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {

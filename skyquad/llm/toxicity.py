@@ -142,5 +142,5 @@ def train_on(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(documents(spark, sf_dir).select("doc_id", "text").withColumn("text", F.col("text")), train_on(spark, sf_dir))
+    out = score(documents(spark, sf_dir).select("doc_id", "text"), train_on(spark, sf_dir))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
