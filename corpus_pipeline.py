@@ -1,10 +1,66 @@
-"""Placeholder until the stages are in."""
+"""A corpus pipeline: toxicity, near duplicates, decontamination, source mixing, token files.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps with
+the columns of documents; the last returns what it wrote. Stages are written as
+Parquet to the shared folder and read again, so that a later stage never runs an
+earlier one anew.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skyquad.llm.common import broadcast_to, documents, written
+from skyquad.llm.decontamination import contaminated
+from skyquad.llm.mixing import emit, mix
+from skyquad.llm.ngram_join import jaccard_components
+from skyquad.llm.token_output import default_tokenizer, token_rows
+from skyquad.llm.toxicity import held_out, score, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, reject: float = 0.7) -> DataFrame:
+    """Documents whose score is below reject. The classifier learns from labelled documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id")))
+    model = train(docs.filter(~held_out(F.col("doc_id"))), labels)
+    return score(docs, model).filter(F.col("score") < reject).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links reach (five-word shingles, similarity of 0.8 or more), the document with the least doc_id."""
+    found = jaccard_components(docs, k=5, num=80, den=100)
+    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near_duplicates")
+    return docs.join(broadcast_to(gone, gone.count(), 2_000_000), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return emit(mix(docs)).select(docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's ids stand in the token files, as read back from them."""
+    return token_rows(docs, default_tokenizer())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID / binary output", token_output),
+]
+#: The classifier and the tokenizer have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage_{name.split()[0]}")
+    return docs
