@@ -5,6 +5,7 @@ from __future__ import annotations
 from skyquad.llm.decontamination import OP2_SQL, op2_decontamination
 from skyquad.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from skyquad.llm.line_dedup import OP6_SQL, op6_line_dedup
+from skyquad.llm.lm_scoring import OP9_SQL, op9_lm_scoring
 from skyquad.llm.mixing import OP7_SQL, op7_mixing
 from skyquad.llm.ngram_join import op3_ngram_join
 from skyquad.llm.secrets import op4_secret_scan
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -29,4 +31,5 @@ SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op9_lm_scoring": OP9_SQL,
 }
