@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skyquad.llm.common import documents, lower_ascii, written
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: As many words as with A-Z lower-cased first.
+_COUNTED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Shingles of the benchmark, 8 bytes each in a hash table, that may be broadcast.
 _BROADCAST = 500_000
 
@@ -82,7 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingl
     spans = hits.groupBy("doc_id", "th", "start").agg(F.max("len").alias("len")).withColumn("fresh", fresh).groupBy("doc_id", "th").agg(F.sum("fresh").cast("long").alias("n_hit"))
     found = hits.join(wins.select("item", "win_id"), "win_id").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     per = spans.alias("s").join(found.alias("f"), key("s", "f")).select("s.doc_id", "s.th", "n_hit", "items")
-    out = docs.withColumns({"_th": F.xxhash64("text"), "n_words": F.regexp_count(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(_WORD)).cast("long")})
+    out = docs.withColumns({"_th": F.xxhash64("text"), "n_words": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_COUNTED)).cast("long")})
     per = per.select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), "n_hit", "items")
     out = out.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left").drop("_id", "_h", "_th")
     none = F.array().cast("array<string>")
