@@ -87,18 +87,20 @@ def short_lists(sets: DataFrame, num: int, den: int, band: float) -> DataFrame:
     sized = rows.filter("first").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = rows.filter("first").join(sized, "token")
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    # the node whose tokens most others have comes first where nodes of a list are put in order
+    ranked = ranked.withColumn("own", -F.avg("df").over(Window.partitionBy("node")))
     ranked = written(ranked.withColumn("place", place).filter(F.col("place") <= spare(F.col("n"), num, den) + 1).select("token", "node", "n", "own", "df", "place"), "short_lists")
-    have = ranked.groupBy("node").agg(F.count(F.lit(1)).alias("have"))
-    lacking = sets.select("node", "n", "own").join(have, "node", "left").select("node", (spare(F.col("n"), num, den) + 1 - F.coalesce("have", F.lit(0))).alias("lack")).filter("lack > 0")
-    more = rows.filter("not first").join(lacking, "node").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("token"))).filter("place <= lack")
+    have = ranked.groupBy("node").agg(F.count(F.lit(1)).alias("have"), F.min("own").alias("own"))
+    lacking = sets.select("node", "n").join(have, "node", "left").select("node", F.coalesce("own", F.lit(0.0)).alias("own"), (spare(F.col("n"), num, den) + 1 - F.coalesce("have", F.lit(0))).alias("lack")).filter("lack > 0")
+    more = rows.filter("not first").drop("own").join(lacking, "node").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("token"))).filter("place <= lack")
     return ranked.filter("df > 1").select("token", "node", "n", "own").unionByName(more.select("token", "node", "n", "own"))
 
 
 def link_rows(sets: DataFrame, num: int, den: int, band: float) -> DataFrame:
     """Rows (node, comp) of all nodes that link with another.
 
-    First each node of a list is compared with the list's node that has the
-    fewest tokens of its own and with its neighbour by size: a number of pairs
+    First each node of a list is compared with the list's node whose tokens the
+    most other nodes have, on average, and with its neighbour by size: a number of pairs
     in proportion to the lists, which joins large groups of copies. Only pairs
     of one list that are then still in different components are compared next,
     so that a group's pairs are never spelled out, and no link is left out.

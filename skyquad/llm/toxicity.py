@@ -52,25 +52,26 @@ def bins(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """Up to per_class rows of each label, those with the smallest hash of doc_id: (label, bins as int32 bytes)."""
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("label")).filter("label in (0, 1)"), "doc_id")
-    order = F.xxhash64(F.lit("toxicity sample"), "doc_id", "text")
-    picked = [rows.filter(F.col("label") == k).orderBy(order, "doc_id", "text").limit(per_class) for k in (0, 1)]
+    """(label, bins as int32 bytes) of the documents of up to per_class rows of each label, those with the smallest hash of doc_id. Texts are not shuffled."""
+    order = F.xxhash64(F.lit("toxicity sample"), "doc_id")
+    known = labels.select("doc_id", F.col("toxic").alias("label"))
+    picked = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * per_class rows at most
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b["label"].cast(pa.int32()), pa.array([x.tobytes() for x in bins(b["text"])], pa.binary())], names=["label", "bins"])
 
-    return picked[0].unionByName(picked[1]).select("label", "text").mapInArrow(featured, "label int, bins binary")
+    return rows.select("label", "text").mapInArrow(featured, "label int, bins binary")
 
 
-def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, epochs: int = 20, l2: float = 1e-4, rate: float = 0.1, seed: int = 10) -> Model:
-    """A model from rows (label, bins); share: of label 1 among all labelled rows, to which the bias is set back.
+def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, epochs: int = 10, l2: float = 1e-2, rate: float = 0.1, seed: int = 10) -> Model:
+    """A model from rows (label, bins); share: of label 1 among the texts that scores are made for, to which the bias is set.
 
     A bin's ratio is the log of its smoothed share of the label 1 rows over that
     of the label 0 rows, as in naive Bayes; bins of fewer than least_docs rows
     have no weight. On features scaled by their ratio a logistic regression is
-    fitted by AdaGrad. With one class only, every text gets that class's share.
+    fitted by AdaGrad. With one class only, every text gets share.
     """
     y = np.array([k for k, _ in rows], dtype=np.float64)
     dims, prior = 1 << BITS, np.log(max(share, 1e-3) / max(1 - share, 1e-3))
@@ -100,12 +101,15 @@ def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, epochs
     return Model((w * ratio).astype(np.float32), float(bias + shift))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
-    """Fits on at most per_class labelled rows of each class: that bound makes what reaches the driver independent of the input's size."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, share: float = 0.5) -> Model:
+    """Fits on at most per_class labelled rows of each class: that bound makes what reaches the driver independent of the input's size.
+
+    Scores take both classes as equally frequent, so that they do not depend on
+    how many rows of either happen to be labelled.
+    """
     small_batches(docs.sparkSession)
-    known = labels.filter("toxic in (0, 1)").agg(F.avg("toxic").alias("share")).first()["share"]
     rows = [(r["label"], bytes(r["bins"])) for r in labelled(docs, labels, per_class).collect()]
-    return fit(sorted(rows), 0.5 if known is None else float(known))
+    return fit(sorted(rows), share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
