@@ -53,6 +53,26 @@ def _assign(at: np.ndarray, sky: np.ndarray, radius: float) -> tuple[np.ndarray,
     return got, star[got], least[got]
 
 
+def plausible(image: np.ndarray, vectors: np.ndarray, mirrored: np.ndarray) -> np.ndarray:
+    """Which of many correspondences (n, 4, 2) with (n, 4, 3) have a first fit without residuals over LOOSE, all at once."""
+    c = vectors.sum(axis=1)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    ref = np.where(np.abs(c[:, 2:]) < 0.9, [[0.0, 0.0, 1.0]], [[1.0, 0.0, 0.0]])
+    e1 = ref - c * (ref * c).sum(axis=1, keepdims=True)
+    e1 /= np.linalg.norm(e1, axis=1, keepdims=True)
+    on = lambda axis: np.einsum("nij,nj->ni", vectors, axis)
+    cos, turn = on(c), np.where(mirrored, -1.0, 1.0)[:, None]
+    ahead = (cos > 1e-9).all(axis=1)
+    cos = np.where(cos > 1e-9, cos, 1.0)
+    flat = np.stack([on(e1) / cos, turn * on(np.cross(c, e1)) / cos], axis=2)
+    rows = np.concatenate([image, np.ones((*image.shape[:2], 1))], axis=2)
+    square = np.swapaxes(rows, 1, 2) @ rows
+    good = ahead & (np.abs(np.linalg.det(square)) >= 1e-18)
+    square[~good] = np.eye(3)
+    fit = np.linalg.solve(square, np.swapaxes(rows, 1, 2) @ flat)
+    return good & (np.hypot(*np.moveaxis(rows @ fit - flat, 2, 0)).max(axis=1) <= LOOSE)
+
+
 def verify_one(image: np.ndarray, vectors: np.ndarray, xy: np.ndarray, stars: np.ndarray, numbers: np.ndarray, mirrored: bool) -> dict | None:
     """One correspondence of four image points with four stars: fitted, then matched with all stars in narrowing radii. None if it fails."""
     if np.isnan(first := _flat(mid := (s := vectors.sum(axis=0)) / np.linalg.norm(s), vectors, mirrored)).any():
@@ -118,15 +138,16 @@ def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame) -> Dat
         numbers, sky = shared.value
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                order = [0, 1, 2, 3]
-                if r.variant & 4:
-                    order[:2] = [1, 0]
-                if r.variant & 2:
-                    order[2:] = [3, 2]
-                one = verify_one(np.stack([r.ix, r.iy], axis=1), np.stack([r.vx, r.vy, r.vz], axis=1)[order], np.stack([r.sx, r.sy], axis=1), sky, numbers, bool(r.variant & 1))
-                if one:
-                    out.append({"frame_id": r.frame_id, "rank": r.rank, "variant": r.variant, "mirrored": bool(r.variant & 1), **one})
+            if len(batch):
+                image = np.stack([np.array(batch[k].tolist(), dtype=float) for k in ("ix", "iy")], axis=2)
+                order = np.array([[1, 0] if v & 4 else [0, 1] for v in batch["variant"]]), np.array([[3, 2] if v & 2 else [2, 3] for v in batch["variant"]])
+                vectors = np.stack([np.array(batch[k].tolist(), dtype=float) for k in ("vx", "vy", "vz")], axis=2)[np.arange(len(batch))[:, None], np.concatenate(order, axis=1)]
+                mirrored = batch["variant"].to_numpy() % 2 == 1
+                for i in np.flatnonzero(plausible(image, vectors, mirrored)):
+                    r = batch.iloc[i]
+                    one = verify_one(image[i], vectors[i], np.stack([r["sx"], r["sy"]], axis=1), sky, numbers, bool(mirrored[i]))
+                    if one:
+                        out.append({"frame_id": r["frame_id"], "rank": r["rank"], "variant": r["variant"], "mirrored": bool(mirrored[i]), **one})
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", matches")[0].split(", ")] + ["matches"])
 
     return rows.repartition("frame_id", "rank", "variant").mapInPandas(check, FOUND)

@@ -155,7 +155,7 @@ class RecordWriter(DataSourceWriter):
         parts = sorted((m for m in messages if m), key=lambda m: m.number)
         files, at = store(self.path)
         with files.open_output_stream(at) as out:
-            out.write(ASTR_HEAD.pack(ASTR_MAGIC, VERSION, sum(p.count for p in parts), self.epoch, 0.0) if self.kind is ASTR_STAR else b"")
+            out.write(ASTR_HEAD.pack(ASTR_MAGIC, VERSION, sum(p.count for p in parts), self.epoch, 0.0) if self.kind == ASTR_STAR else b"")
             for p in parts:
                 with files.open_input_file(store(p.path)[1]) as f:
                     while block := f.read(1 << 22):
