@@ -74,7 +74,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def short_lists(sets: DataFrame, num: int, den: int, band: float) -> DataFrame:
-    """Rows (token, node, n, own): the short inverted lists. Linking nodes share one at least.
+    """Rows (token, node, n, own, mid): the short inverted lists. Linking nodes share one at least.
 
     A set of n members may lack spare(n) of them in a partner, so the partner
     has one of any spare(n) + 1: those of its shortest lists, as DivideSkip
@@ -87,13 +87,14 @@ def short_lists(sets: DataFrame, num: int, den: int, band: float) -> DataFrame:
     sized = rows.filter("first").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = rows.filter("first").join(sized, "token")
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    # the node whose tokens most others have comes first where nodes of a list are put in order
-    ranked = ranked.withColumn("own", -F.avg("df").over(Window.partitionBy("node")))
-    ranked = written(ranked.withColumn("place", place).filter(F.col("place") <= spare(F.col("n"), num, den) + 1).select("token", "node", "n", "own", "df", "place"), "short_lists")
-    have = ranked.groupBy("node").agg(F.count(F.lit(1)).alias("have"), F.min("own").alias("own"))
-    lacking = sets.select("node", "n").join(have, "node", "left").select("node", F.coalesce("own", F.lit(0.0)).alias("own"), (spare(F.col("n"), num, den) + 1 - F.coalesce("have", F.lit(0))).alias("lack")).filter("lack > 0")
-    more = rows.filter("not first").drop("own").join(lacking, "node").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("token"))).filter("place <= lack")
-    return ranked.filter("df > 1").select("token", "node", "n", "own").unionByName(more.select("token", "node", "n", "own"))
+    # least for the node whose tokens most others have
+    ranked = ranked.withColumn("mid", -F.avg("df").over(Window.partitionBy("node")))
+    ranked = written(ranked.withColumn("place", place).filter(F.col("place") <= spare(F.col("n"), num, den) + 1).select("token", "node", "n", "own", "mid", "df", "place"), "short_lists")
+    have = ranked.groupBy("node").agg(F.count(F.lit(1)).alias("have"), F.min("mid").alias("mid"))
+    lacking = sets.select("node", "n").join(have, "node", "left").select("node", F.coalesce("mid", F.lit(0.0)).alias("mid"), (spare(F.col("n"), num, den) + 1 - F.coalesce("have", F.lit(0))).alias("lack")).filter("lack > 0")
+    more = rows.filter("not first").join(lacking, "node").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("token"))).filter("place <= lack")
+    names = ["token", "node", "n", "own", "mid"]
+    return ranked.filter("df > 1").select(*names).unionByName(more.select(*names))
 
 
 def link_rows(sets: DataFrame, num: int, den: int, band: float) -> DataFrame:
@@ -106,20 +107,25 @@ def link_rows(sets: DataFrame, num: int, den: int, band: float) -> DataFrame:
     so that a group's pairs are never spelled out, and no link is left out.
     """
     lists = written(short_lists(sets, num, den, band), "merged_lists")
-    fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
-    centre = F.min(F.struct("own", "n", "node")).over(Window.partitionBy("token"))
+
+    def fits(n: str, own: str, m: str, other: str) -> Column:
+        """Whether two sets can link at all: neither shares the tokens that no other node has."""
+        most = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
+        return most * den >= (F.col(n) + F.col(m) - most) * num
+
+    centre = F.min(F.struct("mid", "n", "node", "own")).over(Window.partitionBy("token"))
     beside = Window.partitionBy("token").orderBy("n", "node")
-    seen = lists.select("node", "n", centre.alias("c"), F.lag("node").over(beside).alias("p"), F.lag("n").over(beside).alias("pn"))
-    picked = [seen.filter(fits(F.col("n"), F.col("c.n"))).select("node", F.col("c.node").alias("o")), seen.filter("p is not null").filter(fits(F.col("n"), F.col("pn"))).select("node", F.col("p").alias("o"))]
+    seen = lists.select("node", "n", "own", centre.alias("c"), F.lag(F.struct("node", "n", "own")).over(beside).alias("p"))
+    picked = [seen.filter(fits("n", "own", f"{k}.n", f"{k}.own")).select("node", F.col(f"{k}.node").alias("o")) for k in "cp"]
     pairs = picked[0].union(picked[1]).filter("node <> o").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
     first = written(verified(written(pairs, "star_pairs"), sets, num, den), "star_links")
     joined = written(components(first, "star_components"), "star_labels")
     named = lists.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     # lists that still have more than one component; a node is held against nodes of other components only
-    left = written(named.join(mixed, "token", "left_semi").select("token", "node", "n", "comp"), "mixed_lists")
-    r = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = left.join(r, "token").filter((F.col("comp") < F.col("cb")) & fits(F.col("n"), F.col("nb")))
+    left = written(named.join(mixed, "token", "left_semi").select("token", "node", "n", "own", "comp"), "mixed_lists")
+    r = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ob"), F.col("comp").alias("cb"))
+    across = left.join(r, "token").filter((F.col("comp") < F.col("cb")) & fits("n", "own", "nb", "ob"))
     across = across.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     tried = across.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     second = written(verified(written(tried, "cross_pairs"), sets, num, den), "cross_links")
@@ -158,7 +164,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     nodes = members.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n")).join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     nodes = written(nodes.filter(F.col("own") <= bound("n")), "band_nodes")
     some = broadcast_to(nodes.select("doc", F.col("node").alias("named")), nodes.count(), 2_000_000)
-    sets = parsed(docs.join(some, "doc")).filter("node = named").select("node", "n", "set")
+    # explode() of no or one element: as a filter, the set's hash would become a key of the join and be made for every document
+    one = F.filter(F.array(F.struct(F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("node"), "set")), lambda t: t["node"] == F.col("named"))
+    sets = docs.join(some, "doc").withColumn("set", shingle_set(F.col("text"), k)).select("named", F.explode(one).alias("s")).select("s.node", "s.n", "s.set")
     more = owned(sets.select("node", token(*cuts))).withColumnRenamed("own", "more")
     nodes = nodes.join(more, "node", "left").select("node", (F.col("own") + F.coalesce("more", F.lit(0))).alias("own"), "n").filter(F.col("own") <= bound("n"))
     nodes = written(nodes.select("node", "own"), "own_nodes")
