@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquad.llm.common import STRIP, documents, lower_ascii, written
+from skyquad.llm.common import STRIP, broadcast_to, documents, lower_ascii, written
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) -> DataFrame:
@@ -14,7 +14,9 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) ->
     Lines are exploded with their positions, keyed by a 128-bit hash of the
     stripped, A-Z lower-cased line and counted by distinct documents; the
     positions to drop go back to their documents, where the other lines are put
-    together in order. Texts are shuffled once, lines never: only their hashes.
+    together in order. Lines are never shuffled, only their hashes; those are a
+    second time, and texts are once, only where there are too many shared keys or
+    positions to broadcast.
 
     A null or empty text is one empty line and stays the empty text. Keys below
     least_chars code points always stay. A null doc_id counts as one document,
@@ -31,8 +33,10 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) ->
     else:
         per = keyed.groupBy("key", "doc").agg(F.lit(1).alias("n")).groupBy("key").agg(F.min("doc").alias("first"), F.sum("n").alias("n")).filter(F.col("n") >= least_docs).drop("n")
     shared = written(per, "line_dedup_keys")
-    drops = keyed.join(shared, "key").filter("doc > first").groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    drops = keyed.join(broadcast_to(shared, shared.count(), 1_000_000), "key").filter("doc > first").groupBy("doc").agg(F.collect_set("pos").alias("gone"))
     drops = written(drops, "line_dedup_positions")
+    positions = drops.agg(F.coalesce(F.sum(F.size("gone") + 8), F.lit(0))).first()[0]  # 4 bytes each
+    drops = broadcast_to(drops, positions, 8_000_000)
     out = docs.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
     parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
