@@ -45,17 +45,17 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) ->
         if part.size == 0:
             continue
         least = part.min(axis=1)
-        over = (part - least[:, None]).astype(np.uint64)
+        over = np.ascontiguousarray(part - least[:, None], dtype="<u4")
         width = widths(over, percentile)
         packed: list[bytes] = [b""] * len(part)
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
             for some in np.array_split(at, max(1, len(at) // 256)):
-                bits = ((over[some][:, :, None] >> np.arange(w, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+                bits = np.unpackbits(over[some].view(np.uint8).reshape(len(some), -1, 4), axis=2, count=int(w), bitorder="little")
                 rows = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
                 for i, r in zip(some, rows, strict=True):
                     packed[i] = r.tobytes()
-        upper = over >> width.astype(np.uint64)[:, None]
+        upper = (over.astype(np.uint64) >> width.astype(np.uint64)[:, None]).astype(np.uint32)
         for i, head in enumerate(least):
             where = np.flatnonzero(upper[i])
             out.append(struct.pack("<IHBH", head, part.shape[1], width[i], len(where)) + packed[i] + where.astype("<u2").tobytes() + upper[i, where].astype("<u4").tobytes())
@@ -146,7 +146,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def encode(texts: list[str]) -> list[bytes]:
         nonlocal young, old
-        if len(young) > 300_000:  # bounds the memory; a piece that neither dict has is encoded again
+        if len(young) > 400_000:  # bounds the memory; a piece that neither dict has is encoded again
             young, old = {}, young
         cut = [_FAR.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         wanted = set()
