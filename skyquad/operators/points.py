@@ -74,6 +74,7 @@ def quads(sources: DataFrame, most: int = MAX_SOURCES, least_px: float = MIN_BAS
     per = top.groupBy("frame_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda t: t["s"]).alias("s"))  # at most `most` of them
     n = F.size("s")
     out = per.select("frame_id", "s", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).filter(n - F.col("i") >= 4)
+    out = out.repartition("frame_id", "i")  # 25 small rows a frame, so that its quads are made by many tasks
     for a, b, left in (("i", "j", 3), ("j", "k", 2), ("k", "l", 1)):
         out = out.withColumn(b, F.explode(F.sequence(F.col(a) + 1, n - left)))
     points = F.array(*[F.get("s", F.col(c)) for c in "ijkl"])

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquad.functions.camera import Camera
 from skyquad.functions.vectors import unit_vector
 from skyquad.operators.catalog import visible
+from skyquad.operators.matching import MAX_STARS
 
 
 def flux_of(mag: Column) -> Column:
-    """10 ** (-mag / 2.5); an unknown magnitude and one of exactly 0 count as 5."""
-    return F.pow(F.lit(10.0), F.when(mag.isNull() | (mag == 0), F.lit(5.0)).otherwise(mag) / -2.5)
+    """10 ** (-mag / 2.5), a magnitude of exactly 0 as 5; an unknown one has flux 1."""
+    return F.when(mag.isNull(), F.lit(1.0)).otherwise(F.pow(F.lit(10.0), F.when(mag == 0, F.lit(5.0)).otherwise(mag) / -2.5))
 
 
 def field(stars: DataFrame, camera: Camera, most: float | None = None, dropout: float = 0.0, noise_px: float = 0.0, false_sources: int = 0, seed: int = 0) -> DataFrame:
@@ -26,7 +31,7 @@ def field(stars: DataFrame, camera: Camera, most: float | None = None, dropout:
     out = seen.withColumns({"x_px": x, "y_px": y}).filter("x_px is not null and y_px is not null")
     out = out.select("id", (F.col("x_px") + jitter(1)).alias("x_px"), (F.col("y_px") + jitter(2)).alias("y_px"), flux_of(F.col("mag")).alias("flux"))
     if false_sources:
-        made = spark.range(false_sources).select(F.lit(None).cast("long").alias("id"), (F.rand(seed + 3) * camera.width).alias("x_px"), (F.rand(seed + 4) * camera.height).alias("y_px"), (F.rand(seed + 5) * 0.01).alias("flux"))
+        made = spark.range(false_sources).select(F.lit(None).cast("long").alias("id"), (F.rand(seed + 3) * camera.width).alias("x_px"), (F.rand(seed + 4) * camera.height).alias("y_px"), (F.rand(seed + 5) * 0.4 + 0.1).alias("flux"))
         out = out.unionByName(made)
     order = Window.partitionBy("frame_id").orderBy(F.coalesce("flux", F.lit(0.0)).desc(), "id", "x_px", "y_px")
     return out.withColumn("frame_id", F.lit(0).cast("long")).withColumn("source_idx", (F.row_number().over(order) - 1).cast("int")).select("frame_id", "source_idx", "x_px", "y_px", "flux", "id")
@@ -40,22 +45,49 @@ def solver_stars(stars: DataFrame) -> DataFrame:
     return stars.select(number.cast("int").alias("star_index"), F.col("id").alias("catalog_id"), f(F.radians("ra_deg")).alias("ra_rad"), f(F.radians("dec_deg")).alias("dec_rad"), f(v.x).alias("x_unit"), f(v.y).alias("y_unit"), f(v.z).alias("z_unit"), f(F.col("mag")).alias("mag"))
 
 
+def nearest(stars: DataFrame, near: int, rows: int = 256) -> DataFrame:
+    """(star_index, n): the numbers of each star's near nearest other ones, nearest first, the lesser number of equally near ones.
+
+    A database has MAX_STARS stars at most, so all of them (1.5 MB) go to each
+    task, which holds its own stars against them in blocks of rows.
+    """
+    spark = stars.sparkSession
+    table = stars.select("star_index", *[F.col(f"{k}_unit").cast("double").alias(k) for k in "xyz"]).orderBy("star_index").limit(MAX_STARS + 1).toPandas()
+    if len(table) > MAX_STARS:
+        raise ValueError(f"the format holds {MAX_STARS} stars")
+    shared = spark.sparkContext.broadcast((table["star_index"].to_numpy(), table[["x", "y", "z"]].to_numpy(float)))
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, sky = shared.value
+        for batch in batches:
+            own, out = batch["star_index"].to_numpy(), []
+            places = np.searchsorted(numbers, own)
+            for part in np.array_split(places, max(1, len(places) // rows)):
+                d2 = sum((sky[part, None, k] - sky[None, :, k]) ** 2 for k in range(3))
+                d2[np.arange(len(part)), part] = np.inf
+                reach = np.partition(d2, min(near, len(sky)) - 1, axis=1)[:, min(near, len(sky)) - 1] if len(part) else []
+                for row, r in zip(d2, reach, strict=True):
+                    at = np.flatnonzero((row <= r) & np.isfinite(row))
+                    out.append(numbers[at[np.lexsort((at, row[at]))][:near]].tolist())
+            yield pd.DataFrame({"star_index": own, "n": out})
+
+    return stars.select("star_index").mapInPandas(found, "star_index int, n array<int>")
+
+
 def nearest_patterns(stars: DataFrame, near: int = 5) -> DataFrame:
-    """(pattern_index, s0..s3): each star with every three of its near nearest ones, each set of four once.
+    """(pattern_index, s0..s3): each star with every three of its near nearest ones, each set of four once, numbered in order.
 
-    For databases of this format (65,536 stars at most): stars are compared
-    with those of the same or a neighbouring band of declination only.
+    Patterns are numbered within those of their least star, after the counts of
+    all lesser stars, of which there is one row each.
     """
-    s = stars.select("star_index", "x_unit", "y_unit", "z_unit", F.floor(F.degrees("dec_rad") / 10).cast("int").alias("band"))
-    other = s.select(*[F.col(c).alias(f"o_{c}") for c in s.columns]).withColumn("band", F.explode(F.array(F.col("o_band") - 1, F.col("o_band"), F.col("o_band") + 1)))
-    d2 = sum((F.col(f"{k}_unit").cast("double") - F.col(f"o_{k}_unit").cast("double")) * (F.col(f"{k}_unit").cast("double") - F.col(f"o_{k}_unit").cast("double")) for k in "xyz")
-    close = s.join(other, "band").filter("star_index <> o_star_index").withColumn("d2", d2)
-    order = Window.partitionBy("star_index").orderBy("d2", "o_star_index")
-    close = close.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= near).groupBy("star_index").agg(F.array_sort(F.collect_list("o_star_index")).alias("n"))
     i = F.sequence(F.lit(0), F.lit(near - 1))
-    threes = close.withColumn("a", F.explode(i)).withColumn("b", F.explode(i)).withColumn("c", F.explode(i)).filter("a < b and b < c and c < size(n)")
-    sets = threes.select(F.array_sort(F.array("star_index", F.get("n", "a"), F.get("n", "b"), F.get("n", "c"))).alias("s")).distinct()
-    return sets.select((F.row_number().over(Window.orderBy("s")) - 1).cast("long").alias("pattern_index"), *[F.col("s")[k].alias(f"s{k}") for k in range(4)])
+    threes = nearest(stars, near).withColumn("a", F.explode(i)).withColumn("b", F.explode(i)).withColumn("c", F.explode(i)).filter("a < b and b < c and c < size(n)")
+    s = F.array_sort(F.array("star_index", F.get("n", "a"), F.get("n", "b"), F.get("n", "c")))
+    sets = threes.select(s.alias("s")).select(*[F.col("s")[k].alias(f"s{k}") for k in range(4)]).distinct()
+    before = Window.orderBy("s0").rowsBetween(Window.unboundedPreceding, -1)
+    base = sets.groupBy("s0").agg(F.count(F.lit(1)).alias("_n")).select("s0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("s0").orderBy("s1", "s2", "s3")) - 1
+    return sets.join(F.broadcast(base), "s0").select((F.col("_base") + own).cast("long").alias("pattern_index"), "s0", "s1", "s2", "s3")
 
 
 def drop_zero_patterns(patterns: DataFrame) -> DataFrame:

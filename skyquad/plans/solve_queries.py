@@ -11,37 +11,39 @@ from skyquad.operators import matching, points, solve, synthetic
 from skyquad.plans.catalog_queries import r
 from skyquad.plans.tables import load, patch
 from skyquad.sources import requests
+from skyquad.sources.store import written
 
-CENTRES = ((45.0, 20.0, 10.0), (44.0, 20.5, 75.0), (46.0, 19.5, 130.0))
+CENTRES = ((5.0, 25.0, 10.0), (15.0, 25.5, 75.0), (6.0, 24.5, 130.0))
 
 
-def fields(spark, sf_dir):
-    """Sources of three frames of the patch, four to twelve degrees wide."""
-    stars = patch(spark, sf_dir)
-    made = [synthetic.field(stars, Camera(ra, dec, 8.0, 8.0, 1200, 1200, roll)).withColumn("frame_id", F.lit(i).cast("long")) for i, (ra, dec, roll) in enumerate(CENTRES)]
+def fields(catalog):
+    """Sources of three frames of the catalog, eight degrees wide."""
+    made = [synthetic.field(catalog, Camera(ra, dec, 8.0, 8.0, 1200, 1200, roll)).withColumn("frame_id", F.lit(i).cast("long")) for i, (ra, dec, roll) in enumerate(CENTRES)]
     return reduce(lambda a, b: a.unionByName(b), made)
 
 
 def database(spark, sf_dir):
-    stars = synthetic.solver_stars(patch(spark, sf_dir))
-    return stars, matching.pattern_index(stars, synthetic.nearest_patterns(stars))
+    """The catalog, and the stars and index made from it, written once each: all are read several times."""
+    catalog = written(patch(spark, sf_dir), "catalog")
+    stars = written(synthetic.solver_stars(catalog), "solver_stars")
+    return catalog, stars, written(matching.pattern_index(stars, synthetic.nearest_patterns(stars)), "pattern_index")
 
 
 def candidate_patterns(spark, sf_dir):
-    stars, index = database(spark, sf_dir)
-    c = matching.candidates(points.quads(fields(spark, sf_dir)), index)
+    catalog, _, index = database(spark, sf_dir)
+    c = matching.candidates(written(points.quads(fields(catalog)), "quads"), index)
     return c.select("frame_id", "i", "j", "k", "l", "pattern_index", "key_dist_sq", "rank")
 
 
 def plate_solve(spark, sf_dir):
-    stars, index = database(spark, sf_dir)
+    catalog, stars, index = database(spark, sf_dir)
     wanted = spark.createDataFrame([(i, 1200, 1200, 8.0, None) for i in range(len(CENTRES))], "frame_id long, width int, height int, fov_estimate_deg double, fov_max_error_deg double")
     header = spark.createDataFrame([(1.0, 60.0)], "min_fov_deg double, max_fov_deg double")
-    return solve.solve(fields(spark, sf_dir), wanted, stars, index, header).select("frame_id", "success", r(F.col("ra_deg"), 3).alias("ra_deg"), r(F.col("dec_deg"), 3).alias("dec_deg"), "confidence", F.col("reason"))
+    return solve.solve(written(fields(catalog), "sources"), wanted, stars, index, header).select("frame_id", "success", r(F.col("ra_deg"), 3).alias("ra_deg"), r(F.col("dec_deg"), 3).alias("dec_deg"), "confidence", F.col("reason"))
 
 
 def synthetic_field(spark, sf_dir):
-    return fields(spark, sf_dir).select("frame_id", "source_idx", "id", r(F.col("x_px"), 3).alias("x_px"), r(F.col("y_px"), 3).alias("y_px"))
+    return fields(written(patch(spark, sf_dir), "catalog")).select("frame_id", "source_idx", "id", r(F.col("x_px"), 3).alias("x_px"), r(F.col("y_px"), 3).alias("y_px"))
 
 
 def _bodies(spark, sf_dir):
