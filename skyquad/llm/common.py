@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyquad.sources.store import forget, shared_dir, written
+
+__all__ = ["STRIP", "WORD", "broadcast_to", "documents", "forget", "lower_ascii", "row_of", "shared_dir", "small_batches", "text_hash", "written"]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A character outside these ranges may have a lower-case form of its own, which lower() would put in its place.
 _MAY_FOLD = r"[^\x00-\x{BF}\x{DF}-\x{FF}\x{2010}-\x{2027}\x{3000}-\x{9FFF}\x{AC00}-\x{D7A3}]"
@@ -24,32 +25,16 @@ def lower_ascii(text: Column) -> Column:
     return F.when(text.rlike(_MAY_FOLD), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path in spark.checkpoint.dir, which all executors share; a folder of this machine only where the setting is absent, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and base.startswith("/"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder: a lost executor loses none of them, and later plans know their size."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_to(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df, to be broadcast if it has at most most rows; beyond, joins with it shuffle."""
     return F.broadcast(df) if rows <= most else df
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python gets: whole texts differ in length by orders of magnitude."""
+    """Bounds the Arrow batches that Python gets: whole texts differ in length by orders of magnitude.
+
+    The bounds are settings of the session and stay: plans read them when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -58,5 +43,12 @@ def small_batches(spark: SparkSession) -> None:
             raise
 
 
-def hex_text(x: Column) -> Column:
-    return F.sha2(x, 256)
+def row_of(docs: DataFrame) -> Column:
+    """All of a row as one struct: columns beside it have names of their own, whatever the user's are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def text_hash(text: Column) -> list[Column]:
+    """th, th2: 128 bits of a text; a null text has other ones than the empty text."""
+    known = text.isNotNull()
+    return [F.xxhash64(known, text).alias("th"), F.xxhash64(F.lit("second"), known, text).alias("th2")]
