@@ -103,13 +103,13 @@ def inverted(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (node, n, own, depth, tokens) of sets (node, n, set) that can link with another.
 
     tokens: those that another set has too, shortest inverted list first; own:
-    how many there are beside them; depth: the mean length of their lists. Sets
+    how many there are beside them; depth: the mean length of all the set's lists. Sets
     with more tokens of their own than a link leaves room for drop out.
     """
     rows = sets.select("node", "n", F.explode("set").alias("token"))
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = rows.join(lists, "token").groupBy("node").agg(F.max("n").alias("n"), F.avg("df").alias("depth"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    return held.select("node", "n", (F.col("n") - F.size("t")).alias("own"), "depth", F.col("t.token").alias("tokens")).filter(F.col("own") <= spare(F.col("n"), num, den))
+    held = rows.join(lists, "token").groupBy("node").agg(F.max("n").alias("n"), F.sum("df").alias("depth"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    return held.select("node", "n", (F.col("n") - F.size("t")).alias("own"), (F.col("depth") / F.col("n")).alias("depth"), F.col("t.token").alias("tokens")).filter(F.col("own") <= spare(F.col("n"), num, den))
 
 
 def centre_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
