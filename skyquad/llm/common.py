@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyquad.sources.store import forget, shared_dir, written
 
-__all__ = ["STRIP", "WORD", "broadcast_to", "documents", "forget", "lower_ascii", "row_of", "shared_dir", "small_batches", "text_hash", "written"]
+__all__ = ["STRIP", "WORD", "broadcast_to", "documents", "forget", "fresh", "lower_ascii", "row_of", "shared_dir", "small_batches", "text_hash", "written"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A character outside these ranges may have a lower-case form of its own, which lower() would put in its place.
@@ -43,6 +43,18 @@ def small_batches(spark: SparkSession) -> None:
             raise
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of docs, which may have any names: underscores are added until they differ, in upper and lower case too."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def row_of(docs: DataFrame) -> Column:
     """All of a row as one struct: columns beside it have names of their own, whatever the user's are called."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

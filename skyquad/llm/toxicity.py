@@ -14,9 +14,10 @@ from skyquad.llm.common import documents, small_batches
 
 #: Features are the bins of a hash of 2 ** BITS values.
 BITS = 20
-#: Lengths, in UTF-8 bytes, of the character n-grams.
+#: Lengths, in code points, of the character n-grams.
 ORDERS = (3, 4, 5)
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint32)
+#: Code points whose n-grams are hashed at once; a longer text is hashed by itself.
+_AT_ONCE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -27,32 +28,42 @@ class Model:
     bias: float
 
 
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, nulls as empty ones, in runs of _AT_ONCE code points or of one text."""
+    held, size = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        if held and size + len(t) > _AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def bins(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text the distinct bins of its n-grams, A-Z lower-cased; a null or empty text has none.
+    """For each text the bins of its n-grams, A-Z lower-cased, repeats included; a null or empty text has none.
 
-    Hashes are computed at once for the bytes of all texts of the batch. An
-    n-gram never reaches over a text's end, and each text is taken whole.
+    An n-gram never reaches over a text's end, and each text is taken whole.
     """
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-    ends, low = offsets - offsets[0], _LOWER[raw]
-    hashed = []
-    for n in ORDERS:
-        h = np.full(max(len(low) - n + 1, 0), n, dtype=np.uint32)
-        for k in range(n):
-            h = h * np.uint32(0x01000193) + low[k : k + len(h)]
-        hashed.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32))
-    last = np.zeros(1 << BITS, dtype=np.int32)
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        own = np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(ORDERS, hashed, strict=True)])
-        at = np.arange(len(own), dtype=np.int32)
-        last[own] = at  # of equal bins the last one's place stays
-        yield own[last[own] == at]
+    for some in _slices(texts):
+        x = np.frombuffer("".join(some).encode("utf-32-le"), dtype="<u4")
+        x = np.where((x >= 65) & (x <= 90), x + 32, x).astype(np.uint32) * np.uint32(0x85EBCA6B)
+        hashed = []
+        for n in ORDERS:
+            h = np.full(max(len(x) - n + 1, 0), n, dtype=np.uint32)
+            for k in range(n):
+                h = h * np.uint32(0x01000193) + x[k : k + len(h)]
+            hashed.append(((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32))
+        b = 0
+        for t in some:
+            a, b = b, b + len(t)
+            yield np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(ORDERS, hashed, strict=True)])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(label, bins as int32 bytes) of the documents of up to per_class rows of each label, those with the smallest hash of doc_id. Texts are not shuffled."""
+    """(label, bins as int32 bytes, distinct) of the documents of up to per_class rows of each label, those with the smallest hash of doc_id. Texts are not shuffled."""
     order = F.xxhash64(F.lit("toxicity sample"), "doc_id")
     known = labels.select("doc_id", F.col("toxic").alias("label"))
     picked = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
@@ -60,18 +71,19 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b["label"].cast(pa.int32()), pa.array([x.tobytes() for x in bins(b["text"])], pa.binary())], names=["label", "bins"])
+            yield pa.record_batch([b["label"].cast(pa.int32()), pa.array([np.unique(x).tobytes() for x in bins(b["text"])], pa.binary())], names=["label", "bins"])
 
     return rows.select("label", "text").mapInArrow(featured, "label int, bins binary")
 
 
-def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, epochs: int = 10, l2: float = 1e-2, rate: float = 0.1, seed: int = 10) -> Model:
+def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, least_z: float = 4.0, epochs: int = 20, l2: float = 3e-3, rate: float = 0.1, seed: int = 10) -> Model:
     """A model from rows (label, bins); share: of label 1 among the texts that scores are made for, to which the bias is set.
 
     A bin's ratio is the log of its smoothed share of the label 1 rows over that
-    of the label 0 rows, as in naive Bayes; bins of fewer than least_docs rows
-    have no weight. On features scaled by their ratio a logistic regression is
-    fitted by AdaGrad. With one class only, every text gets share.
+    of the label 0 rows, as in naive Bayes; bins of fewer than least_docs rows,
+    or whose shares differ by less than least_z standard errors, have no
+    weight. On features scaled by their ratio a logistic regression is fitted
+    by AdaGrad. With one class only, every text gets share.
     """
     y = np.array([k for k, _ in rows], dtype=np.float64)
     dims, prior = 1 << BITS, np.log(max(share, 1e-3) / max(1 - share, 1e-3))
@@ -81,55 +93,69 @@ def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, epochs
     counts = [np.zeros(dims), np.zeros(dims)]
     for k, x in zip(y, sets, strict=True):
         counts[int(k)][x] += 1
-    kept = counts[0] + counts[1] >= least_docs
+    n1, both = y.sum(), counts[0] + counts[1]
+    n0, p = len(y) - n1, both / len(y)
+    z = (counts[1] / n1 - counts[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    kept = (both >= least_docs) & (np.abs(z) >= least_z)
     sets = [x[kept[x]] for x in sets]
-    ratio = np.where(kept, np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / (len(y) - y.sum() + 2)), 0.0)
+    ratio = np.where(kept, np.log((counts[1] + 1) / (n1 + 2)) - np.log((counts[0] + 1) / (n0 + 2)), 0.0)
     w, g2, bias, b2, draw = np.zeros(dims), np.full(dims, 1e-8), 0.0, 1e-8, np.random.default_rng(seed)
     for _ in range(epochs):
         for part in np.array_split(draw.permutation(len(y)), max(1, len(y) // 128)):
             x = np.concatenate([sets[i] for i in part])
             row = np.repeat(np.arange(len(part)), [len(sets[i]) for i in part])
-            z = bias + np.bincount(row, w[x] * ratio[x], len(part))
-            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
+            e = (1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[x] * ratio[x], len(part)), -30, 30))) - y[part]) / len(part)
             used, where = np.unique(x, return_inverse=True)
             g = np.bincount(where, e[row] * ratio[x], len(used)) + l2 * w[used]
             g2[used] += g * g
             w[used] -= rate * g / np.sqrt(g2[used])
             b2 += e.sum() ** 2
             bias -= rate * e.sum() / np.sqrt(b2)
-    shift = prior - np.log(y.sum() / (len(y) - y.sum()))
-    return Model((w * ratio).astype(np.float32), float(bias + shift))
+    return Model((w * ratio).astype(np.float32), float(bias + prior - np.log(n1 / n0)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, share: float = 0.5) -> Model:
-    """Fits on at most per_class labelled rows of each class: that bound makes what reaches the driver independent of the input's size.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, share: float = 0.3) -> Model:
+    """Fits on at most per_class labelled rows of each class, in one task, whose input that bound makes independent of the table's size; the driver gets the weights only.
 
-    Scores take both classes as equally frequent, so that they do not depend on
-    how many rows of either happen to be labelled.
+    Scores take share of the texts as label 1, so that they do not depend on how
+    many rows of either label happen to be there.
     """
     small_batches(docs.sparkSession)
-    rows = [(r["label"], bytes(r["bins"])) for r in labelled(docs, labels, per_class).collect()]
-    return fit(sorted(rows), share)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(k, x) for b in batches for k, x in zip(b["label"].to_pylist(), b["bins"].to_pylist(), strict=True)]
+        model = fit(sorted(rows), share)
+        at = np.flatnonzero(model.weight).astype(np.int32)
+        yield pa.record_batch([[at.tobytes()], [model.weight[at].tobytes()], [model.bias]], names=["at", "weight", "bias"])
+
+    got = labelled(docs, labels, per_class).repartition(1).mapInArrow(fitted, "at binary, weight binary, bias double").first()
+    weight = np.zeros(1 << BITS, np.float32)
+    if got is None:  # no labelled rows at all, so no task
+        return fit([], share)
+    weight[np.frombuffer(got["at"], np.int32)] = np.frombuffer(got["weight"], np.float32)
+    return Model(weight, got["bias"])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1, higher: more likely toxic), of whole texts.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with score, or a column of another name (0 to 1, higher: more likely toxic), of whole texts, however long.
 
-    A null or empty text has the bias's score. Repeated rows get equal scores.
-    An empty table gives an empty result. A column of docs named score is replaced.
+    A null or empty text has the bias's score; so has one without any weighed
+    n-gram. Repeated rows and equal texts get equal scores. A null doc_id is no
+    different. An empty table gives an empty result. A column of docs of that
+    name is replaced; all others stay as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     shared = spark.sparkContext.broadcast((model.weight, model.bias))  # 2 ** BITS numbers whatever the input
-    names = docs.columns
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
+        weighed = weight != 0
         for b in batches:
-            z = np.array([weight[x].sum(dtype=np.float64) for x in bins(b["text"])], dtype=np.float64) + bias
-            yield pa.record_batch([*[b[c] for c in names], pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*names, "score"])
+            z = np.array([weight[np.unique(x[weighed[x]])].sum(dtype=np.float64) for x in bins(b["text"])], dtype=np.float64) + bias
+            yield pa.record_batch([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=[*b.schema.names, name])
 
     return docs.mapInArrow(scored, schema)
 
