@@ -2,47 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquad.llm.common import STRIP, broadcast_to, documents, lower_ascii, written
+from skyquad.llm.common import STRIP, broadcast_to, documents, fresh, lower_ascii, text_hash, written
 
+#: Positions of dropped lines, 4 bytes each and 32 more for each document, that may be broadcast.
+BROADCAST = 2_000_000
+_LAST = (1 << 63) - 1
+_ROW = ["doc", "th", "th2"]
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-def dedup_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text: lines that at least least_docs documents share stay only in the one with the smallest doc_id.
 
-    Lines are exploded with their positions, keyed by a 128-bit hash of the
-    stripped, A-Z lower-cased line and counted by distinct documents; the
-    positions to drop go back to their documents, where the other lines are put
-    together in order. Lines are never shuffled, only their hashes; those are a
-    second time, and texts are once, only where there are too many shared keys or
-    positions to broadcast.
-
-    A null or empty text is one empty line and stays the empty text. Keys below
-    least_chars code points always stay. A null doc_id counts as one document,
-    after all others; rows with the same doc_id are one document for the counts
-    and keep the same lines. An empty table gives an empty result. Columns of
-    docs with the names of the new ones are replaced.
+def shared_positions(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+    """Rows (doc, th, th2, gone): for each document that loses lines their positions.
+
+    Lines are exploded with their positions and keyed by 128 bits of the
+    stripped, A-Z lower-cased line; that is written once, 28 bytes a line and
+    the document's own numbers, and both counted and looked up from there.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("key", F.btrim("line", F.lit(STRIP))).filter(F.char_length("key") >= least_chars)
-    keyed = lines.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "pos", F.unhex(F.md5(lower_ascii(F.col("key")))).alias("key"))
-    if least_docs == 2:  # the smallest and the largest document tell whether there are two
-        per = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), *text_hash(F.col("text")), F.posexplode(_lines(lower_ascii(text))).alias("pos", "line"))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(STRIP))).filter(F.char_length("line") >= least_chars)
+    lines = written(rows.select(*_ROW, "pos", F.xxhash64("line").alias("k"), F.xxhash64(F.lit("second"), "line").alias("k2")), "lines")
+    here = F.struct(*_ROW)
+    if least_docs == 2:  # the least and the greatest document tell whether there are two
+        per = lines.groupBy("k", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first < last").drop("last")
     else:
-        per = keyed.groupBy("key", "doc").agg(F.lit(1).alias("n")).groupBy("key").agg(F.min("doc").alias("first"), F.sum("n").alias("n")).filter(F.col("n") >= least_docs).drop("n")
+        per = lines.select("k", "k2", *_ROW).distinct().groupBy("k", "k2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs).drop("n")
     shared = written(per, "line_dedup_keys")
-    drops = keyed.join(broadcast_to(shared, shared.count(), 1_000_000), "key").filter("doc > first").groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    drops = written(drops, "line_dedup_positions")
-    positions = drops.agg(F.coalesce(F.sum(F.size("gone") + 8), F.lit(0))).first()[0]  # 4 bytes each
-    drops = broadcast_to(drops, positions, 8_000_000)
-    out = docs.withColumn("_doc", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
-    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")), lambda i: F.get(F.col("_parts"), i)), "\n")
-    )
-    return out.withColumn("_parts", parts).withColumns({"n_lines": F.size("_parts").cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "kept_text": kept}).drop("_parts", "gone")
+    return lines.join(shared, ["k", "k2"]).filter(here > F.col("first")).groupBy(*_ROW).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2, most: int = BROADCAST) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text: lines that at least least_docs documents share stay only in the one with the smallest doc_id.
+
+    Lines are never shuffled, only their hashes. The positions to drop are
+    broadcast up to most of them; beyond, they are joined to the texts by a
+    shuffle. Both ways give the same rows. The other lines of a text are put
+    together in order, whatever its length.
+
+    A document is a row's doc_id and text: rows that share an id but not a text
+    are different documents, of which the one with the lesser hash of its text
+    comes first; repeated rows are one document, and keep the same lines. A null
+    doc_id comes after all others. A null or empty text is one empty line and
+    stays the empty text. Keys below least_chars code points always stay. An
+    empty table gives an empty result. Columns of docs named n_lines, n_dropped
+    or kept_text are replaced, all others stay as they are.
+    """
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    drops = written(shared_positions(docs.select("doc_id", "text"), least_chars, least_docs), "line_dedup_positions")
+    positions = drops.agg(F.coalesce(F.sum(F.size("gone") + 8), F.lit(0))).first()[0]
+    doc, th, th2, gone, parts = names = fresh(docs, *_ROW, "gone", "parts")
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))} | dict(zip((th, th2), text_hash(F.col("text")), strict=True)))
+    drops = broadcast_to(drops.select(*[F.col(a).alias(b) for a, b in zip((*_ROW, "gone"), names, strict=False)]), positions, most)
+    out = keyed.join(drops, [doc, th, th2], "left").withColumn(parts, _lines(F.col("text")))
+    stay = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: ~F.array_contains(gone, t["i"]))
+    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda t: t["x"]), "\n"))
+    out = out.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"), "kept_text": kept})
+    return out.drop(*names)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
