@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyquad.llm.common import WORD, documents
+from skyquad.llm.common import WORD, broadcast_to, documents, fresh, written
 
 #: Draws have 13 hexadecimal digits, 52 bits, so that a double holds them exactly.
 _DRAW = float(16**13)
+#: Sources, about 60 bytes each, whose targets may be broadcast.
+SOURCES = 200_000
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
@@ -40,28 +42,42 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("double") / F.lit(_DRAW)
 
 
-def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), sources: int = SOURCES) -> DataFrame:
     """docs with size, source_size, target, rate and copies (how often the mix takes the row).
 
     copies is floor(rate) plus one if the row's hashed draw is below the rate's
-    fraction. A null or empty text has size 0 and counts as such; a source of
-    size 0 has target and rate 0. Null is a source of its own. Rows with the
-    same id share a draw. An empty table gives an empty result. Columns of docs
-    with the names of the new ones are replaced.
+    fraction. The targets, a row for each source, are broadcast up to so many
+    sources, so that no text is shuffled; beyond, the rows are shuffled by source.
+
+    A null or empty text has size 0 and counts as such; a long one counts whole;
+    a source of size 0 has target and rate 0. Null is a source of its own. Rows
+    with the same id share a draw (rows without id, with the same text), as do
+    repeated rows. Sources of equal need (ties) are taken in order of code
+    point. An empty table gives an empty result. Columns of docs with the names
+    of the new ones are replaced, all others stay as they are.
     """
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", size)
-    targets = source_targets(sized.select("source", "size"), share, most, weights).select(F.col("source").alias("_source"), "source_size", "target")
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
+    (name,) = fresh(sized, "source")
+    targets = written(source_targets(sized.select("source", "size"), share, most, weights), "targets").select(F.col("source").alias(name), "source_size", "target")
+    out = sized.join(broadcast_to(targets, targets.count(), sources), F.col("source").eqNullSafe(F.col(name))).drop(name)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif(F.col("source_size"), F.lit(0)).cast("double")).otherwise(F.lit(0.0))
     out = out.withColumn("rate", rate)
     one = (draw(F.col("doc_id"), F.col("text"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     return out.withColumn("copies", F.floor("rate") + one)
 
 
-def emit(mixed: DataFrame) -> DataFrame:
+def emit(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     """Each row as often as its copies say."""
-    return mixed.withColumn("_copy", F.explode(F.expr("case when copies > 0 then sequence(1L, copies) else array() end"))).drop("_copy")
+    (name,) = fresh(mixed, "copy")
+    many = F.col(copies)
+    return mixed.withColumn(name, F.explode(F.when(many > 0, F.sequence(F.lit(1).cast("long"), many)).otherwise(F.array().cast("array<bigint>")))).drop(name)
+
+
+def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of docs, each as often as mix() takes it, all columns as they are, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "source", "text")
+    out = emit(mix(packed, **options))
+    return out.select(*["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
