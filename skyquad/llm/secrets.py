@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyquad.llm.common import documents
+from skyquad.llm.common import documents, fresh
 
 _ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Maximal runs of 32 and of 4 + 12 characters or more: the same matches as of the open patterns, without the short ones that fail.
@@ -71,17 +71,20 @@ def scan(docs: DataFrame, reach: int = 256) -> DataFrame:
     Spans of the base patterns always stay; weak parts (URLs, identifiers,
     tokens of 20 characters or more with letters and digits) are added where
     complementary parts co-occur within reach code points. A null text is
-    empty. Rows with equal doc_id and text get equal spans. An empty table
-    gives an empty result. Columns of docs with the names of the new ones are
-    replaced.
+    empty; texts of any length are searched whole. Rows with equal doc_id and
+    text get equal spans, rows that share an id only (null too) their own. Of
+    spans with one start (ties) the base ones come first, in the order of the
+    kinds. An empty table gives an empty result. Columns of docs named base or
+    spans are replaced, all others stay as they are.
     """
     docs = docs.drop("base", "spans")
+    own, left, right = fresh(docs, "th", "id", "h")
     rank = F.create_map(*[F.lit(x) for kv in _ORDER.items() for x in kv])
     one = F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end")
-    per = link(parts(docs), reach).groupBy(*_KEY).agg(F.array_sort(F.collect_list(one)).alias("spans"))
-    per = per.select(F.col("doc_id").alias("_id"), F.col("th").alias("_h"), "spans")
-    out = docs.withColumn("_th", F.xxhash64("text"))
-    out = out.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left").drop("_id", "_h", "_th")
+    per = link(parts(docs.select("doc_id", "text")), reach).groupBy(*_KEY).agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    per = per.select(F.col("doc_id").alias(left), F.col("th").alias(right), "spans")
+    out = docs.withColumn(own, F.xxhash64("text"))
+    out = out.join(per, F.col("doc_id").eqNullSafe(F.col(left)) & (F.col(own) == F.col(right)), "left").drop(own, left, right)
     out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint>>")))
     return out.withColumn("base", F.filter("spans", lambda s: s["rank"] <= 2))
 

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyquad.llm.common import documents, written
+from skyquad.llm.common import documents, row_of, text_hash, written
 
 _RING = 1 << 32
 
@@ -46,51 +46,56 @@ def place(counts: list[int], owners: list[int], room: list[int]) -> list[tuple[i
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16, nodes: int = 64, cells: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, nodes: int = 64, cells: int = 16, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
-    A document's place on the ring is a hash of its doc_id. Each shard has room
-    for rows / shards rows, rounded so that the rooms add up to all rows: shards
-    differ by one row at most, and only what overflows a full shard moves on
-    clockwise. Ranks along an arc come from counts of its cells (shards * nodes
-    * cells rows in all) and a row number within each cell, so no task holds a
-    shard; the texts are not shuffled.
-
-    Null ids share one place; so do rows with the same doc_id, ordered by text.
-    A null text has no bytes. An empty table gives an empty result. Columns of
-    docs named shard or slot are replaced.
+    A document's place on the ring is a hash of its key columns. Each shard has
+    room for rows / shards rows, rounded so that the rooms add up to all rows:
+    shards differ by one row at most, and only what overflows a full shard moves
+    on clockwise. Ranks along an arc come from counts of its cells (shards *
+    nodes * cells rows in all) and a row number within each cell, so no task
+    holds a shard.
+
+    Rows with equal keys share one place, in any order among themselves: give
+    the hash of the text as part of the key where ids repeat or are null, so
+    that such rows spread over the ring and only rows that are equal throughout
+    (ties) are interchangeable. Texts, null, empty or long, are not looked at.
+    An empty table gives an empty result. Columns of docs named shard or slot
+    are replaced, all others stay as they are.
     """
     spark, nodes_at = docs.sparkSession, ring(shards, nodes)
     docs = docs.drop("shard", "slot")
+    rows = docs.select(row_of(docs), *[F.col(c).alias(f"key{i}") for i, c in enumerate(key)])
+    keys = [f"key{i}" for i in range(len(key))]
     starts = F.array(*[F.lit(p) for p, _ in nodes_at])
-    at = F.pmod(F.xxhash64(F.lit("ring"), "doc_id"), F.lit(_RING))
+    at = F.pmod(F.xxhash64(F.lit("ring"), *keys), F.lit(_RING))
     #: the arc ends at the first node at or after the place; places after the last node belong to the first
-    arcs = spark.sql("select 1").select(F.posexplode(starts).alias("arc", "point"))
+    arcs = spark.range(1).select(F.posexplode(starts).alias("arc", "point"))
     low = F.coalesce(F.lag("point").over(Window.orderBy("point", "arc")), F.lit(-1))
     arcs = arcs.select("arc", low.alias("low"), F.col("point").alias("high"))
     arcs = arcs.union(arcs.groupBy().agg(F.lit(0).alias("arc"), F.max("high").alias("low"), F.lit(_RING).alias("high")))
     #: an arc can span several of the 65,536 equal slices of the ring; each slice knows the few arcs that touch it
     slices = arcs.filter("high > low").withColumn("slice", F.explode(F.sequence(F.expr("(low + 1) div 65536"), F.least(F.expr("high div 65536"), F.lit(65535)))))
-    keyed = docs.withColumn("_at", at).withColumn("_slice", F.expr("_at div 65536"))
-    keyed = keyed.join(F.broadcast(slices.withColumnRenamed("slice", "_slice")), "_slice").filter("_at > low and _at <= high").drop("_slice")
-    keyed = keyed.withColumn("_cell", F.expr(f"least((_at - low - 1) * {cells} div (high - low), {cells - 1})")).withColumn("_turn", (F.col("low") >= nodes_at[-1][0]).cast("int")).drop("low", "high")
-    per = written(keyed.groupBy("arc", "_turn", "_cell").count(), "ring_cells")
-    by_cell = Window.partitionBy("arc").orderBy("_turn", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select("arc", "_turn", "_cell", F.coalesce(F.sum("count").over(by_cell), F.lit(0)).alias("_base"))
+    keyed = rows.withColumn("at", at).withColumn("slice", F.expr("at div 65536"))
+    keyed = keyed.join(F.broadcast(slices), "slice").filter("at > low and at <= high").drop("slice")
+    keyed = keyed.withColumn("cell", F.expr(f"least((at - low - 1) * {cells} div (high - low), {cells - 1})")).withColumn("turn", (F.col("low") >= nodes_at[-1][0]).cast("int")).drop("low", "high")
+    per = written(keyed.groupBy("arc", "turn", "cell").count(), "ring_cells")
+    by_cell = Window.partitionBy("arc").orderBy("turn", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select("arc", "turn", "cell", F.coalesce(F.sum("count").over(by_cell), F.lit(0)).alias("base"))
     found = {r["arc"]: r["n"] for r in per.groupBy("arc").agg(F.sum("count").alias("n")).collect()}  # at most shards * nodes rows
     total = sum(found.values())
     room = [total // shards + (s < total % shards) for s in range(shards)]
     spans = place([found.get(a, 0) for a in range(len(nodes_at))], [s for _, s in nodes_at], room) or [(-1, 0, 0, 0, 0)]
-    rows = ", ".join(f"named_struct('arc', {a}, '_lo', {lo}L, '_hi', {hi}L, 'shard', {s}, '_slot', {k}L)" for a, lo, hi, s, k in spans)
-    table = spark.sql(f"select inline(array({rows}))")
-    ranked = keyed.join(F.broadcast(base), ["arc", "_turn", "_cell"])
-    in_cell = Window.partitionBy("arc", "_turn", "_cell").orderBy("_at", "doc_id", *[c for c in ("text_crc32", "size") if c in docs.columns])
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.row_number().over(in_cell) - 1)
-    out = ranked.join(F.broadcast(table), "arc").filter("_rank >= _lo and _rank < _hi")
-    return out.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo")).drop("arc", "_at", "_turn", "_cell", "_base", "_rank", "_lo", "_hi", "_slot")
+    values = ", ".join(f"named_struct('arc', {a}, 'lo', {lo}L, 'hi', {hi}L, 'shard', {s}, 'start', {k}L)" for a, lo, hi, s, k in spans)
+    table = spark.range(1).select(F.expr(f"inline(array({values}))"))
+    in_cell = Window.partitionBy("arc", "turn", "cell").orderBy("at", *keys)
+    ranked = keyed.join(F.broadcast(base), ["arc", "turn", "cell"]).withColumn("rank", F.col("base") + F.row_number().over(in_cell) - 1)
+    out = ranked.join(F.broadcast(table), "arc").filter("rank >= lo and rank < hi")
+    return out.select("row.*", "shard", (F.col("start") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *text_hash(F.col("text")))
+    out = shard(docs, key=("doc_id", "th", "th2"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
