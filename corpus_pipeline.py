@@ -11,40 +11,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquad.llm.common import broadcast_to, documents, written
-from skyquad.llm.decontamination import contaminated
-from skyquad.llm.mixing import emit, mix
-from skyquad.llm.ngram_join import jaccard_components
+from skyquad.llm.common import documents, fresh, written
+from skyquad.llm.decontamination import clean
+from skyquad.llm.mixing import mixed_rows
+from skyquad.llm.ngram_join import one_of_each
 from skyquad.llm.token_output import default_tokenizer, token_rows
 from skyquad.llm.toxicity import held_out, score, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str, reject: float = 0.7) -> DataFrame:
-    """Documents whose score is below reject. The classifier learns from labelled documents that are not held out."""
+    """Documents whose score is below reject. The classifier learns from labelled documents that are not held out.
+
+    A null or empty text has no features and stays; repeated rows and equal
+    texts are kept or rejected alike; long texts are scored whole; an empty
+    table gives an empty one. All columns stay as they are, a score among them.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id")))
     model = train(docs.filter(~held_out(F.col("doc_id"))), labels)
-    return score(docs, model).filter(F.col("score") < reject).select(docs.columns)
+    (name,) = fresh(docs, "toxicity")
+    return score(docs, model, name).filter(F.col(name) < reject).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links reach (five-word shingles, similarity of 0.8 or more), the document with the least doc_id."""
-    found = jaccard_components(docs, k=5, num=80, den=100)
-    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near_duplicates")
-    return docs.join(broadcast_to(gone, gone.count(), 2_000_000), "doc_id", "left_anti").select(docs.columns)
+    """Of each group that links reach (five-word shingles, similarity of 0.8 or more), the row with the least doc_id.
+
+    Of equal doc_ids (ties) the one with the least hash of its text stays, of
+    equal rows one. Rows that share an id, or have none, are separate rows.
+    Texts without words link with nothing and stay. See one_of_each() for long
+    texts, other columns and empty tables.
+    """
+    return one_of_each(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(docs.columns)
+    """Documents without any benchmark window. Texts without words stay; see clean() and contaminated() for odd rows."""
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    return emit(mix(docs)).select(docs.columns)
+    """Each document as often as the mix of sources takes it, all columns as they are; see mix() for odd rows."""
+    return mixed_rows(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's ids stand in the token files, as read back from them."""
+    """Where each document's ids stand in the token files, as read back from them. A null or empty text has the end id alone; repeated rows have ids each; see write_files()."""
     return token_rows(docs, default_tokenizer())
 
 
