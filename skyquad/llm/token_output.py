@@ -29,8 +29,28 @@ _RUN = re.compile(r"\s (?:\s|\Z)")
 
 def widths(blocks: np.ndarray, percentile: float) -> np.ndarray:
     """Bits for each row of the array of offsets: enough for the given percentile of its values."""
-    bits = np.ceil(np.log2(blocks.astype(np.float64) + 1)).astype(np.int64)
-    return np.percentile(bits, percentile, axis=1, method="inverted_cdf").astype(np.int64)
+    k = max(int(np.ceil(percentile / 100 * blocks.shape[1])) - 1, 0)
+    return np.ceil(np.log2(np.partition(blocks, k, axis=1)[:, k].astype(np.float64) + 1)).astype(np.int64)
+
+
+def packed_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low width bits of each value, one after the other from the lowest bit on, as a row of bytes for each row of values.
+
+    Each 32 values fill width whole words, so a value's word and place in it
+    are the same for all runs of 32 and all rows at once.
+    """
+    n, m = values.shape
+    runs = -(-m // 32)
+    padded = np.zeros((n, runs * 32), dtype=np.uint32)
+    padded[:, :m] = values & np.uint32((1 << width) - 1)
+    padded = np.ascontiguousarray(padded.reshape(n * runs, 32).T)
+    words = np.zeros((width, n * runs), dtype=np.uint32)
+    for j in range(32):
+        at, shift = divmod(j * width, 32)
+        words[at] |= padded[j] << np.uint32(shift)
+        if shift + width > 32:
+            words[at + 1] |= padded[j] >> np.uint32(32 - shift)
+    return np.ascontiguousarray(words.T, dtype="<u4").view(np.uint8).reshape(n, runs * width * 4)[:, : (m * width + 7) // 8]
 
 
 def pack(ids: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
@@ -45,17 +65,15 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) ->
         if part.size == 0:
             continue
         least = part.min(axis=1)
-        over = np.ascontiguousarray(part - least[:, None], dtype="<u4")
+        over = part - least[:, None]
         width = widths(over, percentile)
         packed: list[bytes] = [b""] * len(part)
         for w in np.unique(width):
-            at = np.flatnonzero(width == w)
-            for some in np.array_split(at, max(1, len(at) // 256)):
-                bits = np.unpackbits(over[some].view(np.uint8).reshape(len(some), -1, 4), axis=2, count=int(w), bitorder="little")
-                rows = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
-                for i, r in zip(some, rows, strict=True):
+            if w:
+                at = np.flatnonzero(width == w)
+                for i, r in zip(at, packed_bits(over[at], int(w)), strict=True):
                     packed[i] = r.tobytes()
-        upper = (over.astype(np.uint64) >> width.astype(np.uint64)[:, None]).astype(np.uint32)
+        upper = np.where(width[:, None] < 32, over >> np.minimum(width, 31).astype(np.uint32)[:, None], np.uint32(0))
         for i, head in enumerate(least):
             where = np.flatnonzero(upper[i])
             out.append(struct.pack("<IHBH", head, part.shape[1], width[i], len(where)) + packed[i] + where.astype("<u2").tobytes() + upper[i, where].astype("<u4").tobytes())
@@ -78,13 +96,45 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def file_bytes(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    """A whole file: magic, blocks, then the index (where blocks start; the documents' ids, null flags and numbers of ids) and the tail."""
-    blocks, sizes = pack(ids)
-    starts = len(_MAGIC) + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0)
-    known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
-    index = starts.astype("<u8").tobytes() + np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes() + known.tobytes() + np.array(counts, dtype="<u8").tobytes()
-    return _MAGIC + blocks + index + _TAIL.pack(len(ids), len(doc_ids), len(_MAGIC) + len(blocks), _MAGIC)
+class FileOf:
+    """A file being made: ids are packed as soon as a run of whole blocks is there, so that no more than that run stands unpacked."""
+
+    def __init__(self, run: int = 128 * BLOCK) -> None:
+        self.run, self.waiting, self.held, self.packed = run, [], 0, []
+        self.sizes: list[np.ndarray] = []
+        self.doc_ids: list[int | None] = []
+        self.counts: list[int] = []
+        self.ids = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id)
+        self.counts.append(len(ids))
+        self.ids += len(ids)
+        self.waiting.append(ids)
+        self.held += len(ids)
+        if self.held >= self.run:
+            self._pack(self.held // BLOCK * BLOCK)
+
+    def _pack(self, n: int) -> None:
+        ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32)
+        for at in range(0, n, self.run):
+            data, sizes = pack(ids[at : min(at + self.run, n)])
+            self.packed.append(data)
+            self.sizes.append(sizes)
+        self.waiting, self.held = [ids[n:].copy()], len(ids) - n
+
+    def parts(self) -> Iterator[bytes]:
+        """The file's bytes: magic, blocks, then the index (where blocks start; the documents' ids, null flags and numbers of ids) and the tail."""
+        self._pack(self.held)
+        sizes = np.concatenate([np.zeros(1, np.int64), *self.sizes])
+        starts = len(_MAGIC) + np.cumsum(sizes)
+        yield _MAGIC
+        yield from self.packed
+        yield starts[:-1].astype("<u8").tobytes()
+        yield np.array([x or 0 for x in self.doc_ids], dtype="<i8").tobytes()
+        yield np.array([x is not None for x in self.doc_ids], dtype=np.uint8).tobytes()
+        yield np.array(self.counts, dtype="<u8").tobytes()
+        yield _TAIL.pack(self.ids, len(self.doc_ids), int(starts[-1]), _MAGIC)
 
 
 def read_file(data: bytes, block: int = BLOCK) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -110,12 +160,14 @@ def read_file(data: bytes, block: int = BLOCK) -> Iterator[tuple[int | None, int
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, most: int = 200_000) -> Callable[[list[str]], list[bytes]]:
     """A function that gives texts' ids as unsigned 32-bit integers, exactly as the tokenizer at path encodes each whole text.
 
     A byte-level tokenizer with the usual splitting pattern never merges over a
     single space between two visible characters; such texts are cut there, and
-    each distinct piece is encoded once. Other tokenizers get whole texts.
+    each distinct piece is encoded once. Other tokenizers get whole texts. Two
+    generations of most pieces each are kept, about 230 bytes a piece; a piece
+    that neither has any more is encoded again.
     """
     from tokenizers import Tokenizer
 
@@ -124,6 +176,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         said = json.load(f)
     pre, extra = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
     apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in extra)
+
     def as_bytes(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -146,7 +199,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def encode(texts: list[str]) -> list[bytes]:
         nonlocal young, old
-        if len(young) > 400_000:  # bounds the memory; a piece that neither dict has is encoded again
+        if len(young) > most:
             young, old = {}, young
         cut = [_FAR.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
         wanted = set()
@@ -166,6 +219,20 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+def runs_of(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+    """(place, texts, nulls as empty ones) in runs of most characters, or of one text."""
+    held, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        t = t.as_py() or ""
+        if held and size + len(t) > most:
+            yield first, held
+            held, size, first = [], 0, i
+        held.append(t)
+        size += len(t)
+    if held:
+        yield first, held
+
+
 def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, ids_a_file: int = 1 << 22) -> DataFrame:
     """Writes the files to folder, a place that all executors share, and returns their manifest: (part, seq, path, docs, ids).
 
@@ -176,7 +243,8 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, i
 
     A null text is empty and has the end id alone. Null ids come first; rows
     with equal ids are ordered by a hash of their texts. An empty table gives
-    no file. Columns other than doc_id and text are not written.
+    no file. Texts of any length are encoded whole. Columns other than doc_id
+    and text are not written.
     """
     small_batches(docs.sparkSession)
 
@@ -186,30 +254,25 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, i
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         part, attempt, encode, end, seq = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 0
-        keys: list[int | None] = []
-        counts: list[int] = []
-        held: list[bytes] = []
-        size = 0
+        file = FileOf()
 
         def put() -> pa.RecordBatch:
             name = f"{part:06d}-{seq:06d}.pfr"
             with store.open_output_stream(f"{base}/_{attempt}-{name}") as f:
-                f.write(file_bytes(keys, counts, np.frombuffer(b"".join(held), dtype="<u4")))
+                for x in file.parts():
+                    f.write(x)
             store.move(f"{base}/_{attempt}-{name}", f"{base}/{name}")
-            return pa.record_batch([[part], [seq], [name], [len(keys)], [size]], names=["part", "seq", "name", "docs", "ids"])
+            return pa.record_batch([[part], [seq], [name], [len(file.doc_ids)], [file.ids]], names=["part", "seq", "name", "docs", "ids"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
-                for k, x in zip(some["doc_id"].to_pylist(), encode([t or "" for t in some["text"].to_pylist()]), strict=True):
-                    keys.append(k)
-                    counts.append(len(x) // 4 + 1)
-                    held += (x, end)
-                    size += counts[-1]
-                    if size >= ids_a_file:
+            keys = b["doc_id"].to_pylist()
+            for at, texts in runs_of(b["text"]):
+                for k, x in zip(keys[at : at + len(texts)], encode(texts), strict=True):
+                    file.add(k, np.frombuffer(x + end, dtype="<u4"))
+                    if file.ids >= ids_a_file:
                         yield put()
-                        keys, counts, held, size, seq = [], [], [], 0, seq + 1
-        if keys:
+                        file, seq = FileOf(), seq + 1
+        if file.doc_ids:
             yield put()
 
     order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))

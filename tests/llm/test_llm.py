@@ -92,6 +92,27 @@ def test_pieces_are_cut_where_the_tokenizer_cuts(text):
     assert token_output.encoder(path)([text, text + " " + text])[0] == want
 
 
+def test_pieces_forgotten_in_between():
+    from tokenizers import Tokenizer
+
+    path = token_output.default_tokenizer()
+    encode, model, r = token_output.encoder(path, 50), Tokenizer.from_file(path), random.Random(3)
+    for _ in range(6):
+        texts = [" ".join("".join(r.choice("abcdeé") for _ in range(r.randrange(1, 4))) for _ in range(60)) for _ in range(8)]
+        assert encode(texts) == [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("top", [1, 2, 50_000, 1 << 31, (1 << 32) - 1])
+def test_files_round_trip(top):
+    r, file, want = np.random.default_rng(top), token_output.FileOf(2 * token_output.BLOCK), []
+    for k, n in enumerate([0, 1, 5000, 1024, 3, 0, 2500]):
+        want.append((k if k % 3 else None, r.integers(0, top, n, dtype=np.uint64, endpoint=True).astype(np.uint32)))
+        file.add(*want[-1])
+    got = list(token_output.read_file(b"".join(file.parts())))
+    assert [k for k, _, _ in got] == [k for k, _ in want] and all((a == b).all() and len(a) == len(b) for (_, _, a), (_, b) in zip(got, want, strict=True))
+    assert [a for _, a, _ in got] == np.cumsum([0, *[len(x) for _, x in want][:-1]]).tolist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 5000])
 def test_blocks_round_trip(n):
     ids = np.random.default_rng(n).integers(0, 50_000, n).astype(np.uint32)
