@@ -25,23 +25,28 @@ def word_counts(words: DataFrame) -> DataFrame:
 
 
 def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
-    """docs' rows (doc_id, n_words, n_bigrams, score): the sum of the words' log scores.
+    """docs' rows (doc_id, n_words, n_bigrams, n_trigrams, score): the sum of the words' log scores.
 
     Documents are dealt into two folds, and each is scored by the counts of the
-    other fold: a word w after v scores c(v w) / c(v) if the other fold has the
-    pair, else alpha * c(w) / N; a document's first word c(w) / N. A word that
-    the other fold lacks counts as if it occurred once. n_bigrams: pairs found.
-
-    Every position is one row (context, next word, document), dealt out by the
-    hash of the context, once: there both the pair and the context are counted,
-    and the rows read their counts. Contexts that are hot words are spread by
-    the next word. Unigram counts of found pairs' second words come from a
-    broadcast of the frequent words (their number is bounded, whatever the
-    input) and otherwise from a join with the table.
-
-    A null or empty text has no words and score 0. Rows with equal doc_id and
-    text get equal scores, and each counts. A null doc_id is in the fold of the
-    empty text. An empty table gives an empty result. Other columns are ignored.
+    other fold. A word w after u v scores c(u v w) / c(u v) if the other fold has
+    the three, else alpha * c(v w) / c(v) if it has the two, else alpha * alpha *
+    c(w) / N; a document's second word starts at the pair, its first one at
+    c(w) / N. A word that the other fold lacks counts as if it occurred once.
+    n_bigrams, n_trigrams: pairs and threes that the other fold has.
+
+    Every position is one row (a word, the ones before and after it, document),
+    dealt out once, by the hash of the word: all pairs and threes with this word
+    in the middle are in one partition, where they are counted and where the
+    positions read their counts. Rows of hot words are spread by the next word.
+    From the same partitions comes the table of the pairs that both folds have,
+    keyed by a hash, which is joined with the pairs that begin the threes found.
+    Words' counts come from a broadcast of the frequent ones (their number is
+    bounded, whatever the input) and otherwise from a join with their table.
+
+    A null or empty text has no words and score 0; long texts count whole. Rows
+    with equal doc_id and text get equal scores (ties), and each counts. A null
+    doc_id is in the fold of the empty text. An empty table gives an empty
+    result. Other columns, of any names, are ignored.
     """
     text = lower_ascii(F.coalesce("text", F.lit("")))
     fold = fold_of(F.col("doc_id"))
@@ -55,33 +60,47 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
     hot = counts.filter(both * HOT >= every).collect()  # HOT rows at most
     frequent = F.broadcast(counts.filter(both * FREQUENT >= every).select(F.col("w").alias("next"), F.col("n0").alias("f0"), F.col("n1").alias("f1")))
     salt = lambda c: F.pmod(F.xxhash64(F.lit("salt"), c), F.lit(SALTS))
-    pairs = rows.select("key", F.explode(F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("v"), b.alias("next")))).alias("p")).select("key", "p.v", "p.next")
+    # element_at() of one element binds the words, so that they are not found again for each position
+    threes = lambda w: F.transform(w, lambda x, i: F.struct(F.get(w, i - 1).alias("prev"), x.alias("v"), F.get(w, i + 1).alias("next")))
+    places = rows.select("key", F.explode(F.element_at(F.transform(F.array("w"), threes), 1)).alias("p")).select("key", "p.prev", "p.v", "p.next")
     spread = F.when(F.col("v").isin([r["w"] for r in hot]), F.xxhash64("v", salt(F.col("next")))).otherwise(F.col("v")) if hot else F.col("v")
-    dealt = pairs.select(spread.alias("context"), "next", "key").repartition("context")
+    dealt = places.select(spread.alias("context"), "next", "prev", "key").repartition("context")
     f1 = F.col("key").bitwiseAND(F.lit(1))
-    pair, alone = Window.partitionBy("context", "next"), Window.partitionBy("context")
-    seen = dealt.withColumns({"p": F.count(F.lit(1)).over(pair), "p1": F.sum(f1).over(pair), "c": F.count(F.lit(1)).over(alone), "c1": F.sum(f1).over(alone)})
-    # counts of hot contexts, which no partition has whole
-    table = docs.sparkSession.createDataFrame([(r["w"], r["n0"], r["n1"]) for r in hot], "v long, h0 long, h1 long")
-    table = table.crossJoin(docs.sparkSession.range(SALTS).withColumnRenamed("id", "s")).select(F.xxhash64("v", "s").alias("context"), "h0", "h1")
-    seen = seen.join(F.broadcast(table), "context", "left").join(frequent, "next", "left")
     other = lambda zero, one: F.when(f1 == 1, zero).otherwise(one)
     log = lambda c: F.log(F.greatest(c, F.lit(1)).cast("double"))
-    found = F.col("next").isNotNull() & (other(F.col("p") - F.col("p1"), F.col("p1")) > 0)
-    context = log(F.coalesce(other(F.col("h0"), F.col("h1")), other(F.col("c") - F.col("c1"), F.col("c1"))))
+    # counts of hot contexts, which no partition has whole
+    table = docs.sparkSession.createDataFrame([(r["w"], r["n0"], r["n1"]) for r in hot], "v long, h0 long, h1 long")
+    table = F.broadcast(table.crossJoin(docs.sparkSession.range(SALTS).withColumnRenamed("id", "s")).select(F.xxhash64("v", "s").alias("context"), "v", "h0", "h1"))
+    word = F.coalesce("v", "context")
+    # the count table of pairs: those of both folds, as only these are ever found
+    pairs = dealt.filter("next is not null").groupBy("context", "next").agg(F.sum(1 - f1).alias("n0"), F.sum(f1).alias("n1")).filter("n0 > 0 and n1 > 0")
+    pairs = pairs.join(table, "context", "left").select(F.xxhash64(word, "next").alias("pair"), "n0", "n1")
+    alone, pair, three = (Window.partitionBy(*c) for c in (("context",), ("context", "next"), ("context", "next", "prev")))
+    counted = {f"{n}{k}": F.sum(c).over(w) for n, w in (("c", alone), ("p", pair), ("t", three)) for k, c in ((0, 1 - f1), (1, f1))}
+    seen = dealt.withColumns(counted).join(table, "context", "left").join(frequent, "next", "left")
+    known = F.col("next").isNotNull()
+    found = known & (other(F.col("p0"), F.col("p1")) > 0)
+    found3 = known & F.col("prev").isNotNull() & (other(F.col("t0"), F.col("t1")) > 0)
+    context = log(F.coalesce(other(F.col("h0"), F.col("h1")), other(F.col("c0"), F.col("c1"))))
     second = other(F.col("f0"), F.col("f1"))
-    # each position's own word as a unigram; for a found pair, its score in place of the second word's unigram
-    gain = F.when(found, log(other(F.col("p") - F.col("p1"), F.col("p1"))) - context - F.coalesce(log(second), F.lit(0.0))).otherwise(F.lit(0.0))
-    per = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(found.cast("long")).alias("found"), F.sum(context + gain).alias("s"), F.collect_list(F.when(found & second.isNull(), F.col("next"))).alias("rare"))
-    per = written(per, "position_sums")
+    # each position's own word as a unigram; where the next word is found, its score in place of its unigram
+    better = F.when(found3, log(other(F.col("t0"), F.col("t1")))).otherwise(log(other(F.col("p0"), F.col("p1"))) - context) - F.coalesce(log(second), F.lit(0.0))
+    tried = F.when(known, F.when(found3, 0).when(found, F.when(F.col("prev").isNull(), 0).otherwise(1)).otherwise(F.when(F.col("prev").isNull(), 1).otherwise(2))).otherwise(0)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(found.cast("long")).alias("found"), F.sum(found3.cast("long")).alias("found3"), F.sum(tried).cast("long").alias("backs"), F.sum(context + F.when(found, better).otherwise(F.lit(0.0))).alias("s")]
+    lists = [F.collect_list(F.when(found & second.isNull(), F.col("next"))).alias("rare"), F.collect_list(F.when(found3, F.xxhash64("prev", word))).alias("begin")]
+    per = seen.groupBy("key").agg(*sums, *lists)
+    # one plan, so that the positions are dealt once for the table and for the sums
+    made = written(per.select("*", F.lit(None).cast("long").alias("pair"), F.lit(None).cast("long").alias("n0"), F.lit(None).cast("long").alias("n1")).unionByName(pairs, allowMissingColumns=True), "position_sums")
+    per, pairs = made.filter("pair is null"), made.filter("pair is not null").select("pair", "n0", "n1")
     rare = per.select("key", F.explode("rare").alias("w")).join(counts, "w").groupBy("key").agg(F.sum(log(other(F.col("n0"), F.col("n1")))).alias("r"))
+    begin = per.select("key", F.explode("begin").alias("pair")).join(pairs, "pair").groupBy("key").agg(F.sum(log(other(F.col("n0"), F.col("n1")))).alias("b"))
     times = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
-    per = per.select("key", "n", "found", "s").join(rare, "key", "left")
+    per = per.select("key", "n", "found", "found3", "backs", "s").join(rare, "key", "left").join(begin, "key", "left")
     n_other = other(F.lit(float(max(total["n0"], 1))), F.lit(float(max(total["n1"], 1))))
-    out = times.join(per, "key", "left").select("doc_id", "times", "key", *[(F.coalesce(c, F.lit(0)) / F.col("times")).alias(c) for c in ("n", "found", "s", "r")])
-    misses = F.col("n") - F.col("found")
-    score = F.col("s") - F.col("r") + F.greatest(misses - 1, F.lit(0.0)) * F.log(F.lit(alpha)) - misses * F.log(n_other)
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_words"), F.col("found").cast("long").alias("n_bigrams"), F.when(F.col("n") > 0, score).otherwise(F.lit(0.0)).alias("score"), F.explode(F.expr("sequence(1L, times)")).alias("_copy"))
+    out = times.join(per, "key", "left").select("doc_id", "times", "key", *[(F.coalesce(c, F.lit(0)) / F.col("times")).alias(c) for c in ("n", "found", "found3", "backs", "s", "r", "b")])
+    score = F.col("s") - F.col("r") - F.col("b") + F.col("backs") * F.log(F.lit(alpha)) - (F.col("n") - F.col("found")) * F.log(n_other)
+    whole = [F.col(a).cast("long").alias(b) for a, b in (("n", "n_words"), ("found", "n_bigrams"), ("found3", "n_trigrams"))]
+    out = out.select("doc_id", *whole, F.when(F.col("n") > 0, score).otherwise(F.lit(0.0)).alias("score"), F.explode(F.expr("sequence(1L, times)")).alias("_copy"))
     return out.drop("_copy")
 
 
@@ -92,14 +111,18 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 with d as (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 1))::int % 2 as fold,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-p as (select doc_id, fold, unnest(w) as w, unnest(list_prepend(null, w[:-2])) as v, generate_subscripts(w, 1) as i from d),
-u as (select fold, w, count(*)::double as c from p group by all),
-b as (select fold, v, w, count(*)::double as c from p where i > 1 group by all),
+p as (select doc_id, fold, unnest(w) as w, unnest(list_prepend(null, w[:-2])) as v, unnest(list_prepend(null, list_prepend(null, w))[:len(w)]) as u, generate_subscripts(w, 1) as i from d),
+n1 as (select fold, w, count(*)::double as c from p group by all),
+n2 as (select fold, v, w, count(*)::double as c from p where i > 1 group by all),
+n3 as (select fold, u, v, w, count(*)::double as c from p where i > 2 group by all),
 t as (select fold, count(*)::double as n from p group by fold),
-s as (select p.doc_id, b.c is not null as hit, case when b.c is not null then ln(b.c) - ln(uv.c)
-    else case when p.i > 1 then ln(0.4::double) else 0 end + ln(greatest(coalesce(uw.c, 1), 1)) - ln(coalesce(t.n, 1)) end as x
-  from p left join b on p.i > 1 and b.fold <> p.fold and b.v = p.v and b.w = p.w
-    left join u uv on uv.fold <> p.fold and uv.w = p.v left join u uw on uw.fold <> p.fold and uw.w = p.w left join t on t.fold <> p.fold)
-select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_bigrams, 0)::bigint as n_bigrams, round(coalesce(score, 0), 4) as score
-from d left join (select doc_id, count(*) filter (hit) as n_bigrams, sum(x) as score from s group by doc_id) using (doc_id)
+s as (select p.doc_id, b.c is not null as hit, e.c is not null as hit3, case when e.c is not null then ln(e.c) - ln(uv.c)
+    when b.c is not null then case when p.i > 2 then ln(0.4::double) else 0 end + ln(b.c) - ln(cv.c)
+    else least(p.i - 1, 2) * ln(0.4::double) + ln(greatest(coalesce(cw.c, 1), 1)) - ln(coalesce(t.n, 1)) end as x
+  from p left join n3 e on p.i > 2 and e.fold <> p.fold and e.u = p.u and e.v = p.v and e.w = p.w
+    left join n2 uv on p.i > 2 and uv.fold <> p.fold and uv.v = p.u and uv.w = p.v
+    left join n2 b on p.i > 1 and b.fold <> p.fold and b.v = p.v and b.w = p.w
+    left join n1 cv on cv.fold <> p.fold and cv.w = p.v left join n1 cw on cw.fold <> p.fold and cw.w = p.w left join t on t.fold <> p.fold)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_bigrams, 0)::bigint as n_bigrams, coalesce(n_trigrams, 0)::bigint as n_trigrams, round(coalesce(score, 0), 4) as score
+from d left join (select doc_id, count(*) filter (hit) as n_bigrams, count(*) filter (hit3) as n_trigrams, sum(x) as score from s group by doc_id) using (doc_id)
 """
