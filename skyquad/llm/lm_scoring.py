@@ -73,7 +73,9 @@ def backoff_scores(docs: DataFrame, alpha: float = 0.4) -> DataFrame:
     table = F.broadcast(table.crossJoin(docs.sparkSession.range(SALTS).withColumnRenamed("id", "s")).select(F.xxhash64("v", "s").alias("context"), "v", "h0", "h1"))
     word = F.coalesce("v", "context")
     # the count table of pairs: those of both folds, as only these are ever found
-    pairs = dealt.filter("next is not null").groupBy("context", "next").agg(F.sum(1 - f1).alias("n0"), F.sum(f1).alias("n1")).filter("n0 > 0 and n1 > 0")
+    # (of the same columns and rows as below, so that Spark deals them once: a filter or a narrower projection would be pushed under the exchange)
+    there = F.col("next").isNotNull().cast("long")
+    pairs = dealt.groupBy("context", "next").agg(F.sum(there * (1 - f1)).alias("n0"), F.sum(there * f1).alias("n1"), F.count("prev").alias("before")).filter("n0 > 0 and n1 > 0 and before >= 0")
     pairs = pairs.join(table, "context", "left").select(F.xxhash64(word, "next").alias("pair"), "n0", "n1")
     alone, pair, three = (Window.partitionBy(*c) for c in (("context",), ("context", "next"), ("context", "next", "prev")))
     counted = {f"{n}{k}": F.sum(c).over(w) for n, w in (("c", alone), ("p", pair), ("t", three)) for k, c in ((0, 1 - f1), (1, f1))}
