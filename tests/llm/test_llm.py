@@ -57,13 +57,119 @@ def operators(spark, items):
 NAMES = ["tokens", "decontamination", "ngram", "secrets", "lines", "mix", "shard", "lm", "toxicity"]
 
 
+#: Names of new columns, and of what the operators use inside.
+CLASH = ["n_hit", "n_words", "score", "copies", "shard", "slot", "spans", "kept_text", "size", "component_id", "gone", "arc", "low", "high", "at", "cell", "rate", "items", "base", "doc", "th", "th2", "h", "w", "row", "key0", "first", "times", "token", "_id", "_th", "_h", "_th2", "_source", "_copy", "_gone", "_parts", "_doc", "_toxicity", "label", "band", "node"]
+NEW = {"decontamination": {"n_words", "n_hit", "n_items", "items", "contaminated"}, "secrets": {"base", "spans"}, "lines": {"n_lines", "n_dropped", "kept_text"}, "mix": {"size", "source_size", "target", "rate", "copies"}, "shard": {"shard", "slot"}, "toxicity": {"score"}}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_rows_and_columns(spark, odd, items, name):
-    clash = ["n_hit", "n_words", "score", "copies", "shard", "slot", "spans", "kept_text", "size", "component_id"]
-    wide = odd.selectExpr("*", *[f"'x' as {c}" for c in clash])
-    out = operators(spark, items)[name](wide).collect()
-    assert len(out) == len(ODD)
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out if r["doc_id"] is not None) == sorted((False, r[0]) for r in ODD if r[0] is not None)
+    plain = operators(spark, items)[name](odd)
+    wide = odd.selectExpr("*", *[f"'x' as {c}" for c in CLASH])
+    got = operators(spark, items)[name](wide)
+    told = [c for c in plain.columns if c not in ("shard", "slot", "start", "name")]
+    rows = lambda df: sorted((tuple(r[c] for c in told) for r in df.collect()), key=repr)
+    assert rows(got) == rows(plain) and len(rows(plain)) == len(ODD)
+    if name in NEW:  # the user's columns are all there, unless they are named like a new one
+        assert set(got.columns) == set(wide.columns) | NEW[name]
+        assert all(r[c] == "x" for r in got.collect() for c in set(CLASH) - NEW[name])
+
+
+def test_odd_values(spark, odd, items):
+    run = operators(spark, items)
+    by = lambda name: {(r["doc_id"], r["text"]): r for r in run[name](odd).collect()}
+    same = "Same words here for all of us\nand more"
+    hit = by("decontamination")
+    assert (hit[3, same]["n_words"], hit[3, same]["n_hit"], hit[3, same]["items"], hit[3, same]["contaminated"]) == (9, 9, ["1"], True)
+    assert hit[1, None]["n_words"] == hit[2, ""]["n_words"] == 0 and hit[7, LONG]["n_words"] == 60_000 and not hit[None, "no id at all, but text"]["contaminated"]
+    assert hit[9, ODD[-1][1]]["items"] == [""]
+    lines = by("lines")
+    assert lines[3, same]["n_dropped"] == 0 and lines[4, same]["n_dropped"] == 1 and lines[4, same]["kept_text"] == "and more"
+    assert lines[1, None]["kept_text"] == "" and lines[1, None]["n_lines"] == 1 and lines[7, LONG]["kept_text"] == LONG
+    groups = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in run["ngram"](odd).collect()), key=repr)
+    assert [g for g in groups if g[0] in (3, 4)] == [(3, 5, 3), (4, 5, 3), (4, 5, 3)] and (1, 0, 1) in groups and (8, 0, 8) in groups and (None, 2, None) in groups
+    secret = by("secrets")
+    assert [(x["start"], x["kind"]) for x in secret[9, ODD[-1][1]]["base"]] == [(15, "assign")] and secret[1, None]["spans"] == [] and secret[7, LONG]["base"] == []
+    mix = by("mix")
+    assert mix[1, None]["size"] == 0 and mix[7, LONG]["size"] == 60_000 and mix[1, None]["source_size"] == sum(len((r[1] or "").split()) for r in ODD if r[3] is None)
+    told = run["shard"](odd).collect()
+    assert sorted(r["slot"] for r in told if r["shard"] == told[0]["shard"]) == list(range(sum(r["shard"] == told[0]["shard"] for r in told)))
+    score = by("toxicity")
+    assert abs(score[1, None]["score"] - 1 / (1 + np.exp(1))) < 1e-6 and score[1, None]["score"] == score[2, ""]["score"]
+    lm = {(r["doc_id"], r["n_words"]): r for r in run["lm"](odd).collect()}
+    assert lm[1, 0]["score"] == 0.0 and lm[7, 60_000]["n_trigrams"] == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "shared line of all\nown line of one"), (2, "unique line A here\nshared line of all"), (2, "other first line B\nprecious line nobody else has"), (None, "null line number one\nshared line of all"), (None, "null line number two\nanother one of its own")]
+    want = {rows[0][1]: rows[0][1], rows[1][1]: "unique line A here", rows[2][1]: rows[2][1], rows[3][1]: "null line number one", rows[4][1]: rows[4][1]}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (line_dedup.BROADCAST, 0):  # both ways of bringing positions to the texts
+        assert {r["text"]: r["kept_text"] for r in line_dedup.dedup_lines(docs, most=most).collect()} == want
+    three = {r["text"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs, least_docs=4).collect()}
+    assert set(three.values()) == {0}
+
+
+def test_one_of_each_keeps_rows_that_share_an_id(spark):
+    a, b = "one two three four five six seven", "nothing like it at all in this one text"
+    rows = [(5, a, "p"), (9, a, "q"), (9, b, "r"), (5, a, "p"), (None, b, "s"), (3, None, "t"), (3, "", "u"), (3, "", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string")
+    for most in (ngram_join.BROADCAST, 0):
+        got = ngram_join.one_of_each(docs, most=most)
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], rows[4], *rows[5:]], key=repr)
+
+
+def test_far_branches_agree(spark, odd, items):
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    assert same(mixing.mix(odd), mixing.mix(odd, sources=0))
+    assert same(decontamination.contaminated(odd, items), decontamination.contaminated(odd, items, most=0))
+    assert same(decontamination.clean(odd, items), decontamination.clean(odd, items, most=0))
+
+
+def test_large_groups_that_do_not_link_with_one_centre(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base, docs = [word() for _ in range(100)], []
+    for n in (0, *[1] * 20, *[2] * 40, *[3] * 60, *[4] * 30):
+        w = list(base)
+        for at in r.sample(range(100), n):
+            w[at] = word()
+        docs.append(" ".join(w))
+    for _ in range(3):  # a chain of texts, each close to the one before only
+        w = list(base)
+        for _ in range(12):
+            at = r.randrange(100)
+            w[at] = word()
+            docs.append(" ".join(w))
+    docs = list(enumerate(docs))
+    for k, num in ((4, 85), (5, 80)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k, num, 100).collect()}
+        assert got == brute.components(docs, k, num, 100)
+
+
+def test_exact_dedup_of_odd_tables(spark, tmp_path):
+    rows = [(1, None), (2, ""), (None, "x"), (3, "x"), (3, "x"), (4, "y" * 300_000), (None, "z"), (None, "z")]
+    path = str(tmp_path / "odd.parquet")
+    spark.createDataFrame([(*r, "c", "d", "e") for r in rows], "doc_id long, text string, digest string, path string, row string").write.parquet(path)
+    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(spark, path).collect()]
+    want = [(1, 2, 2, False), (2, 2, 2, True), (None, 3, 3, False), (3, 3, 3, False), (3, 3, 3, True), (4, 4, 1, True), (None, None, 2, False), (None, None, 2, True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    empty = str(tmp_path / "none.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(empty)
+    assert exact_dedup.dedup(spark, empty).collect() == []
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline
+
+    wide = odd.selectExpr("*", *[f"'x' as {c}" for c in CLASH])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = common.written(stage(spark, common.written(wide, "odd"), SF), "stage")
+        assert got.columns == wide.columns, name
+        assert all(r[c] == "x" for r in got.collect() for c in CLASH), name
+        assert stage(spark, common.written(empty, "none"), SF).count() == 0, name
+    assert corpus_pipeline.token_output(spark, common.written(wide, "odd"), SF).count() == len(ODD)
 
 
 @pytest.mark.parametrize("name", NAMES)
