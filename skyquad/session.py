@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyquad.operators import matching, solve
 from skyquad.sources import binary, requests
@@ -94,41 +95,70 @@ class Solver:
 
     def solve(self, sources: DataFrame, wanted: DataFrame, timeout_ms: float | None = None) -> list:
         """The results' rows; no limit if timeout_ms is None or not above 0."""
+        return self._solved(sources, wanted, timeout_ms)[0]
+
+    def _solved(self, sources: DataFrame, wanted: DataFrame, timeout_ms: float | None) -> tuple[list, StructType]:
         self.cancel()
         context, tag = self.spark.sparkContext, f"solve-{uuid.uuid4().hex}"
         with self.lock:
             self.tag = tag
-        began, late = time.monotonic(), threading.Event()
+        began, late, done = time.monotonic(), threading.Event(), threading.Event()
+
+        def expire() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+            while not done.wait(0.2):  # a solve starts one job after the other
+                context.cancelJobsWithTag(tag)
+
         timer = None
         if timeout_ms and timeout_ms > 0:
-            timer = threading.Timer(timeout_ms / 1000, lambda: (late.set(), context.cancelJobsWithTag(tag)))
+            timer = threading.Timer(timeout_ms / 1000, expire)
             timer.start()
         context.addJobTag(tag)
         try:
-            return self.plan(sources, wanted).collect()
+            plan = self.plan(sources, wanted)
+            rows = plan.collect()
+            if late.is_set():
+                raise TimedOut("late")
+            return rows, plan.schema
         except NotLoaded:
             raise
         except Exception as e:
-            if self.tag != tag and not late.is_set():
-                raise Cancelled("the solve was cancelled or superseded") from e
             if late.is_set():
                 raise TimedOut(f"no result within {timeout_ms} ms ({(time.monotonic() - began) * 1000:.0f} ms)") from e
+            if self.tag != tag:
+                raise Cancelled("the solve was cancelled or superseded") from e
             raise
         finally:
+            done.set()
             context.removeJobTag(tag)
             if timer:
                 timer.cancel()
 
     def solve_json(self, body: str, width: int, height: int) -> str:
-        """A request's JSON in, a result's JSON out."""
+        """A request's JSON in, a result's JSON out, with its time in milliseconds.
+
+        What has passed is taken off the app's budget, which limits the solve
+        unless the request has a limit of its own. No database, an unreadable
+        request, a cancel and a timeout give an error's or a failure's JSON.
+        """
+        began = time.monotonic()
+        passed = lambda: (time.monotonic() - began) * 1000
+        text = lambda c: self.spark.range(1).select(c).first()[0]
+        if not self.loaded:
+            return text(requests.error(F.lit("the database is not ready")))
         one = self.spark.createDataFrame([(body,)], "body string").select(requests.parse_request(F.col("body")).alias("q"))
         q = one.first()["q"]
         if q is None:
-            return self.spark.range(1).select(requests.error(F.lit("the request cannot be read"))).first()[0]
+            return text(requests.error(F.lit("the request cannot be read")))
         rows = [(0, i, s["x_px"], s["y_px"], s["flux"]) for i, s in enumerate(q["sources"])]
         if not rows:
-            return self.spark.range(1).select(requests.failure(F.array(F.lit("No sources provided.")))).first()[0]
+            return text(requests.failure(F.array(F.lit("No sources provided."))))
         sources = self.spark.createDataFrame(rows, "frame_id long, source_idx int, x_px double, y_px double, flux double")
         wanted = self.spark.createDataFrame([(0, width, height, q["fov_estimate_deg"], q["fov_max_error_deg"])], "frame_id long, width int, height int, fov_estimate_deg double, fov_max_error_deg double")
-        found = self.solve(sources, wanted, q["solve_timeout_ms"])
-        return self.spark.createDataFrame(found, self.plan(sources, wanted).schema).select(F.to_json(F.struct("*"))).first()[0]
+        limit = q["solve_timeout_ms"] if q["solve_timeout_ms"] is not None else remaining_ms(passed())
+        try:
+            found, schema = self._solved(sources, wanted, limit)
+        except (Cancelled, TimedOut) as e:
+            return text(requests.failure(F.array(F.lit(str(e)))))
+        return self.spark.createDataFrame(found, schema).drop("frame_id").select(F.to_json(F.struct("*", F.lit(int(passed())).cast("long").alias("solve_time_ms")))).first()[0]

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def solver(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("db") / "patch.adb")
-    stars = synthetic.solver_stars(tables.patch(spark, SF, 24))
+    stars = synthetic.solver_stars(tables.patch(spark, SF))
     binary.write_adb(stars, synthetic.nearest_patterns(stars), path, 1, 60)
     s = Solver(spark)
     with pytest.raises(NotLoaded):
@@ -30,17 +30,32 @@ def solver(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def body(spark):
-    rows = solve_queries.fields(spark, SF).filter("frame_id = 0 and id < 24").collect()
+    rows = solve_queries.fields(tables.patch(spark, SF)).filter("frame_id = 0").collect()
     return json.dumps({"sources": [{"x_px": r["x_px"], "y_px": r["y_px"], "flux": r["flux"]} for r in rows], "fov_estimate_deg": 8})
 
 
-def test_json_request(solver, body):
-    r = json.loads(solver.solve_json(body, 1200, 1200))
-    assert r["success"] and r["ra_deg"] == pytest.approx(45, abs=0.05) and r["dec_deg"] == pytest.approx(20, abs=0.05)
+def test_json_request(spark, solver, body):
+    r = json.loads(solver.solve_json(body.replace('"fov_estimate_deg"', '"solve_timeout_ms": 0, "fov_estimate_deg"'), 1200, 1200))
+    assert r["success"] and r["ra_deg"] == pytest.approx(5, abs=0.05) and r["dec_deg"] == pytest.approx(25, abs=0.05)
+    asked = json.loads(body)["sources"]
+    assert [(s["x_px"], s["y_px"]) for s in r["detected_stars"]] == [(s["x_px"], s["y_px"]) for s in asked]
+    assert r["log"][2].startswith("Database: 150 stars")
+    assert len(r["matched_star_positions"]) == r["matched_stars"] and r["solve_time_ms"] > 0 and r["log"][0] == f"Sources: {len(asked)}"
+    known = {x["id"]: x for x in tables.patch(spark, SF).collect()}
+    for m in r["matched_star_positions"]:
+        assert abs(known[m["catalog_id"]]["ra_deg"] - m["ra_deg"]) < 1e-3 and abs(known[m["catalog_id"]]["dec_deg"] - m["dec_deg"]) < 1e-3
     assert json.loads(solver.solve_json("{", 10, 10)) == {"success": False, "error": "the request cannot be read"}
     assert not json.loads(solver.solve_json("[]", 10, 10))["success"]
 
 
+def test_failures_say_why(spark, solver, body):
+    few = json.loads(solver.solve_json(json.dumps({"sources": json.loads(body)["sources"][:3], "solve_timeout_ms": 0}), 1200, 1200))
+    assert not few["success"] and len(few["detected_stars"]) == 3 and "fewer than 4" in few["log"][-1] and few["matched_star_positions"] == []
+    late = json.loads(solver.solve_json(body.replace('"fov_estimate_deg"', '"solve_timeout_ms": 1, "fov_estimate_deg"'), 1200, 1200))
+    assert not late["success"] and "within 1" in late["log"][0]
+    assert json.loads(Solver(spark).solve_json(body, 10, 10))["error"] == "the database is not ready"
+
+
 def test_stream_of_requests(spark, solver, body, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"frame_id": 5, "width": 1200, "height": 1200, "body": body}) + "\n" + json.dumps({"frame_id": 6, "width": 9, "height": 9, "body": "{"}) + "\n")
