@@ -28,13 +28,15 @@ def detected_sources(spark, sf_dir):
 
 
 def _truth(spark, sf_dir):
-    k = F.col("s_suppkey")
-    return load(spark, sf_dir, "supplier").filter(k < 40).select((k % 2).alias("frame_id"), k.alias("star_idx"), (F.floor(k / 2) % 5 * 40 + 20).cast("double").alias("x"), (F.floor(k / 10) * 35 + 20).cast("double").alias("y"), (k % 50 + 120).cast("double").alias("flux"), F.lit(2.0).alias("sigma"))
+    """All suppliers as stars, twenty to a frame, on a grid."""
+    k, place = F.col("s_suppkey"), F.col("s_suppkey") % 40
+    return load(spark, sf_dir, "supplier").select((F.floor(k / 40) * 2 + k % 2).alias("frame_id"), k.alias("star_idx"), (F.floor(place / 2) % 5 * 40 + 20).cast("double").alias("x"), (F.floor(place / 10) * 35 + 20).cast("double").alias("y"), (k % 50 + 120).cast("double").alias("flux"), F.lit(2.0).alias("sigma"))
 
 
 def rendered_field(spark, sf_dir, noise=0.0):
-    frames = spark.range(2).select(F.col("id").alias("frame_id"), F.lit(240).alias("width"), F.lit(180).alias("height"), F.lit(10).alias("background"))
-    return detect.render(frames, _truth(spark, sf_dir), noise, seed=1)
+    truth = _truth(spark, sf_dir)
+    frames = truth.select("frame_id").distinct().select("frame_id", F.lit(240).alias("width"), F.lit(180).alias("height"), F.lit(10).alias("background"))
+    return detect.render(frames, truth, noise, seed=1)
 
 
 def detection_metrics(spark, sf_dir):
@@ -58,7 +60,11 @@ def overlay(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", x.alias("x"), y.alias("y"), r(display.brightness((k * 997).cast("double")), 6).alias("brightness"), r(display.error_px(k.cast("double")), 6).alias("error"))
 
 
+_TRUTH = """truth as (select s_suppkey // 40 * 2 + s_suppkey % 2 as frame_id, s_suppkey as star_idx, ((s_suppkey % 40) // 2) % 5 * 40 + 20 as sx, ((s_suppkey % 40) // 10) * 35 + 20 as sy, (s_suppkey % 50 + 120)::double as flux from supplier),
+steps as (select range - 6 as step from range(13)), light as (select frame_id, sx + a.step as x, sy + b.step as y, sum(round(flux * exp((a.step * a.step + b.step * b.step) / 4.0::double * -0.5::double))) as light from truth, steps a, steps b group by all),
+rendered as (select f.frame_id, y.range::int as y, x.range::int as x, least(255, 10 + coalesce(light, 0))::int as v from (select distinct frame_id from truth) f cross join range(180) y cross join range(240) x left join light l on l.frame_id = f.frame_id and l.x = x.range and l.y = y.range)"""
 SQL = {
+    "rendered_field": f"with {_TRUTH} select frame_id, y, x, v as r, v as g, v as b from rendered",
     "gray_pixels": f"with {RASTER_SQL} select frame_id, y, x, round((r * 0.299::double + g * 0.587::double + b * 0.114::double)::float::double, 3) + 0 as gray from raster",
     "blurred_pixels": f"""with {RASTER_SQL}, d as (select range - 15 as d from range(31)),
 h as (select p.frame_id, p.y, p.x, (sum(q.r) / 31.0::double)::float as v from raster p, d join raster q on true where q.frame_id = p.frame_id and q.y = p.y and q.x = greatest(0, least(63, p.x + d.d)) group by all)
@@ -68,7 +74,7 @@ m as (select frame_id, list_sort(list(v))[floor(count(*) / 2)::int + 1] as med f
 o as (select frame_id, list_sort(list(abs(v - med)))[floor(count(*) / 2)::int + 1] as mad from s join m using (frame_id) group by frame_id)
 select frame_id, round(mad * 1.4826::double, 6) + 0 as noise from o""",
     "overlay": "select s_suppkey, (s_suppkey * 7 % 1024)::double * 0.5::double as x, (s_suppkey * 11 % 768)::double * 0.5::double as y, round(least(1.0::double, s_suppkey * 997 / 50000.0::double), 6) + 0 as brightness, round(s_suppkey / 3.0::double, 6) + 0 as error from supplier",
-    "missed_and_false": """with t as (select s_suppkey % 2 as frame_id, s_suppkey as idx from supplier where s_suppkey < 40)
+    "missed_and_false": """with t as (select s_suppkey // 40 * 2 + s_suppkey % 2 as frame_id, s_suppkey as idx from supplier)
 select frame_id, idx, 'missed' as kind from t where idx % 4 = 0 or idx % 5 = 0 union all select frame_id, idx, 'false' from t where idx % 4 <> 0 and idx % 5 = 0""",
 }
 QUERIES = {f.__name__: f for f in (gray_pixels, blurred_pixels, image_noise, detected_sources, rendered_field, detection_metrics, missed_and_false, overlay)}

@@ -8,7 +8,11 @@ from skyquad.functions import hashes
 from skyquad.functions.camera import pixel_distance
 from skyquad.operators import fits, matching, points, synthetic
 from skyquad.plans.catalog_queries import r
-from skyquad.plans.tables import SOURCES_SQL, load, patch, sources
+from skyquad.plans.tables import PATCH_SQL, SOURCES_SQL, VECTOR_SQL, load, patch, sources
+
+
+#: Digits to which the terms of a radial fit are held: slopes, offsets, curvature.
+RADIAL_DIGITS = {"a": 8, "b": 8, "c": 6, "d": 10, "e": 8, "f": 8, "g": 6, "h": 10}
 
 
 def brightest_sources(spark, sf_dir):
@@ -43,9 +47,10 @@ def quad_keys(spark, sf_dir):
 
 
 def early_features(spark, sf_dir):
-    q = points.early_quads(sources(spark, sf_dir), 200).filter("f is not null")
-    key = hashes.quantised_even(F.col("f"))
-    return q.select("frame_id", "i", "j", "k", "l", "f", key.alias("key"), hashes.feature_distance(F.col("f"), F.struct(*[(key[c] * 0.01).alias(c) for c in hashes.KEY])).alias("off"))
+    q = points.early_quads(sources(spark, sf_dir), 200).filter("f is not null").withColumn("key", hashes.quantised_even(F.col("f")))
+    near = F.struct(*[(F.col(f"key.{c}") * 0.01).alias(c) for c in hashes.KEY])
+    order = F.array_join(F.transform("f.order", lambda x: x.cast("string")), "").alias("points_order")
+    return q.select("frame_id", "i", "j", "k", "l", *[r(F.col(f"f.{c}"), 9).alias(f"f_{c}") for c in (*hashes.KEY, "scale")], *[F.col(f"key.{c}").alias(c) for c in hashes.KEY], r(hashes.feature_distance(F.col("f"), near), 9).alias("off"), order)
 
 
 def _keys(df, id_, mod):
@@ -119,7 +124,8 @@ def radial_fits(spark, sf_dir):
     p = _pairs(spark, sf_dir).withColumns({"cx": F.lit(100.0), "cy": F.lit(150.0)})
     r2 = (F.col("px") - 100) * (F.col("px") - 100) + (F.col("py") - 150) * (F.col("py") - 150)
     p = p.withColumns({"xi": F.col("xi") + r2 * 1e-6, "eta": F.col("eta") - r2 * 2e-6})
-    return fits.fit_radial(p.withColumnRenamed("g", "set_id"), ["set_id"])
+    f = fits.fit_radial(p.withColumnRenamed("g", "set_id"), ["set_id"])
+    return f.select("set_id", "n", *[r(F.col(c), d).alias(c) for c, d in RADIAL_DIGITS.items()])
 
 
 def pattern_count(spark, sf_dir):
@@ -148,17 +154,49 @@ def _xy(a: str, b: str, p: str) -> str:
     return f"[{x}, sqrt(greatest(0.0::double, {ap} / {base} * ({ap} / {base}) - ({x}) * ({x})))]"
 
 
-_QUADS = f"""with {SOURCES_SQL}, t as (select *, row_number() over (partition by frame_id order by coalesce(flux, 0) desc, source_idx) - 1 as rk from sources),
-s as (select frame_id, rk, x_px as x, y_px as y, coalesce(flux, 0.0::double) as fl from t where rk < 25),
-q as (select a.frame_id, a.rk as i, b.rk as j, c.rk as k, e.rk as l, a.fl + b.fl + c.fl + e.fl as quality, [a.x, b.x, c.x, e.x] as xs, [a.y, b.y, c.y, e.y] as ys
-  from s a join s b on a.frame_id = b.frame_id and b.rk > a.rk join s c on c.frame_id = a.frame_id and c.rk > b.rk join s e on e.frame_id = a.frame_id and e.rk > c.rk),
-d as (select *, [{", ".join(f"sqrt((xs[{i + 1}] - xs[{j + 1}]) * (xs[{i + 1}] - xs[{j + 1}]) + (ys[{i + 1}] - ys[{j + 1}]) * (ys[{i + 1}] - ys[{j + 1}]))" for i, j in hashes.PAIRS)}] as d from q),
-e as (select *, {_AT} as m, list_position(d, list_max(d)) as w from d where list_max(d) >= 5),
+def keyed_sql(d: str, least: str, columns: str) -> str:
+    """CTEs e to z: rows of d (with the list d of six distances) that have a key, with columns, f and points_order."""
+    return f"""e as (select {columns}, d, {_AT} as m, list_position(d, list_max(d)) as w from {d} where list_max(d) >= {least}),
 g as (select *, [0, 0, 0, 1, 1, 2][w] as a, [1, 2, 3, 2, 3, 3][w] as b, [2, 1, 1, 0, 0, 0][w] as c, [3, 3, 2, 3, 2, 1][w] as o from e),
 h as (select *, {_xy("a", "b", "c")} as fc, {_xy("a", "b", "o")} as fo, {_xy("b", "a", "c")} as rc, {_xy("b", "a", "o")} as ro from g),
 u as (select *, case when fc <= fo then fc || fo else fo || fc end as fwd, case when rc <= ro then rc || ro else ro || rc end as rev from h),
-z as (select *, case when rev < fwd then rev else fwd end as f, case when rev < fwd then b || '' || a || case when rc <= ro then c || '' || o else o || '' || c end else a || '' || b || case when fc <= fo then c || '' || o else o || '' || c end end as points_order from u)
-select frame_id, i, j, k, l, quality, f[1] as f_ax, f[2] as f_ay, f[3] as f_bx, f[4] as f_by, {", ".join(f'round(f[{n + 1}] / 0.02::double)::int as "{k}"' for n, k in enumerate(hashes.KEY))}, points_order from z where f[2] >= 1e-9 or f[4] >= 1e-9"""
+z as (select *, case when rev < fwd then rev else fwd end as f, case when rev < fwd then b || '' || a || case when rc <= ro then c || '' || o else o || '' || c end else a || '' || b || case when fc <= fo then c || '' || o else o || '' || c end end as points_order from u)"""
+
+
+KEYS_SQL = ", ".join(f'round(f[{n + 1}] / 0.02::double)::int as "{k}"' for n, k in enumerate(hashes.KEY))
+HAS_KEY = "(f[2] >= 1e-9 or f[4] >= 1e-9)"
+_SIX = ", ".join(f"sqrt((xs[{i + 1}] - xs[{j + 1}]) * (xs[{i + 1}] - xs[{j + 1}]) + (ys[{i + 1}] - ys[{j + 1}]) * (ys[{i + 1}] - ys[{j + 1}]))" for i, j in hashes.PAIRS)
+#: CTEs t to z: all quads of a table sources.
+QUADS_SQL = f"""t as (select *, row_number() over (partition by frame_id order by coalesce(flux, 0) desc, source_idx) - 1 as rk from sources),
+s as (select frame_id, rk, x_px as x, y_px as y, coalesce(flux, 0.0::double) as fl from t where rk < 25),
+q as (select a.frame_id, a.rk as i, b.rk as j, c.rk as k, e.rk as l, a.fl + b.fl + c.fl + e.fl as quality, [a.x, b.x, c.x, e.x] as xs, [a.y, b.y, c.y, e.y] as ys
+  from s a join s b on a.frame_id = b.frame_id and b.rk > a.rk join s c on c.frame_id = a.frame_id and c.rk > b.rk join s e on e.frame_id = a.frame_id and e.rk > c.rk),
+d as (select *, [{_SIX}] as d from q), {keyed_sql("d", "5", "frame_id, i, j, k, l, quality")}"""
+_QUADS = f"with {SOURCES_SQL}, {QUADS_SQL} select frame_id, i, j, k, l, quality, f[1] as f_ax, f[2] as f_ay, f[3] as f_bx, f[4] as f_by, {KEYS_SQL}, points_order from z where {HAS_KEY}"
+_CHORDS = ", ".join(f"sqrt((x{i} - x{j}) * (x{i} - x{j}) + (y{i} - y{j}) * (y{i} - y{j}) + (z{i} - z{j}) * (z{i} - z{j}))" for i, j in hashes.PAIRS)
+#: (pattern_index, f, keys) of the patch: its stars numbered, each with every three of its five nearest.
+PATTERNS_SQL = f"""{PATCH_SQL}, ps as (select row_number() over (order by coalesce(mag, 99), id) - 1 as n, x::float::double as x, y::float::double as y, z::float::double as z from (select *, {VECTOR_SQL} from patch)),
+pn as (select a.n, list(b.n order by b.nth) as near from ps a join lateral (select b.n, row_number() over (order by (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.n) as nth from ps b where b.n <> a.n) b on b.nth <= 5 group by a.n),
+pt as (select distinct list_sort([n, near[i], near[j], near[k]]) as s from pn, (select a.i, b.i as j, c.i as k from (select unnest([1, 2, 3, 4, 5]) as i) a, (select unnest([1, 2, 3, 4, 5]) as i) b, (select unnest([1, 2, 3, 4, 5]) as i) c where a.i < b.i and b.i < c.i) where k <= len(near)),
+pv as (select row_number() over (order by s) - 1 as pattern_index, {", ".join(f"s{i}.{c} as {c}{i}" for i in range(4) for c in "xyz")} from pt {" ".join(f"join ps s{i} on s{i}.n = s[{i + 1}]" for i in range(4))}),
+pd as (select pattern_index, [{_CHORDS}] as d from pv), pattern_keys as (with {keyed_sql("pd", "1e-9", "pattern_index")} select pattern_index, f, {KEYS_SQL} from z where {HAS_KEY})"""
+_EARLY = f"""with {SOURCES_SQL}, s as (select *, row_number() over (partition by frame_id order by source_idx) - 1 as rk from sources),
+q as (select a.frame_id, a.rk as i, b.rk as j, c.rk as k, e.rk as l, [a.x_px, b.x_px, c.x_px, e.x_px] as xs, [a.y_px, b.y_px, c.y_px, e.y_px] as ys
+  from s a join s b on a.frame_id = b.frame_id and b.rk > a.rk join s c on c.frame_id = a.frame_id and c.rk > b.rk join s e on e.frame_id = a.frame_id and e.rk > c.rk),
+d as (select *, [{_SIX}] as d from q), o as (select *, row_number() over (partition by frame_id order by i, j, k, l) as nth from d where list_max(d) >= 5),
+w as (select *, list_max(d) as scale, list_position(d, list_max(d)) as w from o where nth <= 200),
+g as (select *, [0, 0, 0, 1, 1, 2][w] as a, [1, 2, 3, 2, 3, 3][w] as b, [2, 1, 1, 0, 0, 0][w] as c, [3, 3, 2, 3, 2, 1][w] as o from w),
+v as (select *, xs[a + 1] as ax, ys[a + 1] as ay, xs[b + 1] - xs[a + 1] as ux, ys[b + 1] - ys[a + 1] as uy from g),
+p as (select *, {", ".join(f"[((xs[{n} + 1] - ax) * ux + (ys[{n} + 1] - ay) * uy) / (scale * scale), ((ys[{n} + 1] - ay) * ux - (xs[{n} + 1] - ax) * uy) / (scale * scale), {n}] as p{n}" for n in "co")} from v),
+f as (select *, case when pc <= po then pc else po end as n1, case when pc <= po then po else pc end as n2 from p),
+k as (select *, [n1[1], n1[2], n2[1], n2[2]] as f, {", ".join(f"round_even(n{n}[{m}] / 0.01::double, 0)::bigint as k{2 * n + m - 2}" for n in (1, 2) for m in (1, 2))} from f)
+select frame_id, i, j, k, l, {", ".join(f"round(f[{n + 1}], 9) + 0 as f_{c}" for n, c in enumerate(hashes.KEY))}, round(scale, 9) + 0 as f_scale, {", ".join(f'k{n + 1} as "{c}"' for n, c in enumerate(hashes.KEY))},
+  round(sqrt({" + ".join(f"(f[{n}] - k{n} * 0.01::double) * (f[{n}] - k{n} * 0.01::double)" for n in (1, 2, 3, 4))}), 9) + 0 as off, a || '' || b || n1[3]::int || n2[3]::int as points_order from k"""
+_APART = f"""with recursive {SOURCES_SQL}, o as (select *, row_number() over (partition by frame_id order by source_idx) as n from sources),
+k as (select frame_id, n, [x_px] as xs, [y_px] as ys, true as kept from o where n = 1 union all
+  select o.frame_id, o.n, case when far then list_append(xs, x_px) else xs end, case when far then list_append(ys, y_px) else ys end, far from
+  (select o.frame_id, o.n, o.x_px, o.y_px, k.xs, k.ys, list_min([(p[1] - o.x_px) ** 2 + (p[2] - o.y_px) ** 2 for p in list_zip(k.xs, k.ys)]) >= 3600 as far from k join o on o.frame_id = k.frame_id and o.n = k.n + 1) o)
+select frame_id, source_idx, x_px, y_px, flux from o join k using (frame_id, n) where kept"""
 _SUMS = "sum(px * px) as xx, sum(px * py) as xy, sum(px) as sx, sum(py * py) as yy, sum(py) as sy, count(*)::double as n, sum(px * xi) as xu, sum(py * xi) as yu, sum(xi) as su, sum(px * eta) as xv, sum(py * eta) as yv, sum(eta) as sv"
 
 
@@ -171,7 +209,33 @@ def _det(c: int | None = None, t: str = "u") -> str:
     return f"({p} * ({b} * {k} - {e} * {h}) - {q} * ({a} * {k} - {e} * {g}) + {s} * ({a} * {h} - {b} * {g}))"
 
 
+def _det_of(m: list[list[str]]) -> str:
+    """A determinant, expanded along its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    terms = [f"{'-' if c % 2 else '+'} {m[0][c]} * ({_det_of([row[:c] + row[c + 1 :] for row in m[1:]])})" for c in range(len(m))]
+    return " ".join(terms)
+
+
+def _radial_sql() -> str:
+    names = "uv1r"
+    m = [["m_" + "".join(sorted((p, q))) for q in names] for p in names]
+    sums = ", ".join(f"sum({p} * {q})::double as {m[n][names.index(q)]}" for n, p in enumerate(names) for q in names[n:])
+    rights = ", ".join(f"sum({p} * {t}) as m_{p}_{t}" for p in names for t in ("xi", "eta"))
+    terms = [f"({_det_of([[f'm_{names[i]}_{t}' if c == k else m[i][c] for c in range(4)] for i in range(4)])}) / det as {name}" for t, four in (("xi", "abcd"), ("eta", "efgh")) for k, name in enumerate(four)]
+    out = ", ".join(f"round({dict(c='c - a * 100 - b * 150', g='g - e * 100 - f * 150').get(c, c)}, {d}) + 0 as {c}" for c, d in RADIAL_DIGITS.items())
+    return f"""with b as (select l_orderkey % 50 as set_id, ((l_orderkey * 31 + l_linenumber * 17) % 200)::double as px, ((l_orderkey * 57 + l_linenumber * 29) % 300)::double as py, l_orderkey as k from lineitem),
+w as (select *, px - 100 as u, py - 150 as v, (px - 100) * (px - 100) + (py - 150) * (py - 150) as r from b),
+p as (select *, px * 0.002::double - py * 0.001::double + ((k * 13) % 7) / 700.0::double + r * 1e-6::double as xi, px * 0.001::double + py * 0.002::double + ((k * 11) % 5) / 500.0::double - r * 2e-6::double as eta from w),
+s as (select set_id, count(*) as n, {sums}, {rights} from p group by set_id), d as (select *, {_det_of(m)} as det from s), f as (select set_id, n, {", ".join(terms)} from d where n >= 4 and abs(det) > 0)
+select set_id, n, {out} from f"""
+
+
 SQL = {
+    "sources_apart": _APART,
+    "early_features": _EARLY,
+    "radial_fits": _radial_sql(),
+    "pattern_count": f'with {PATTERNS_SQL} select count(*) as n, count(distinct (ax, ay, bx, "by")) as keys from pattern_keys',
     "brightest_sources": f"with {SOURCES_SQL}, t as (select *, count(*) over (partition by frame_id) as n, row_number() over (partition by frame_id order by flux desc nulls last, source_idx) as f, row_number() over (partition by frame_id order by source_idx) as p from sources) select frame_id, source_idx, flux, case when n <= 8 then p else f end as place from t where n <= 8 or f <= 8",
     "top_sources": f"with {SOURCES_SQL} select frame_id, source_idx, rank from (select *, row_number() over (partition by frame_id order by coalesce(flux, 0) desc, source_idx) - 1 as rank from sources) where rank < 25",
     "source_boxes": f"with {SOURCES_SQL} select frame_id, min(x_px) as x_min, max(x_px) as x_max, min(y_px) as y_min, max(y_px) as y_max from sources group by frame_id",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from skyquad.functions.camera import Camera
 from skyquad.operators import matching, points, solve, synthetic
 from skyquad.plans.catalog_queries import r
-from skyquad.plans.tables import load, patch
+from skyquad.plans.quad_queries import HAS_KEY, KEYS_SQL, PATTERNS_SQL, QUADS_SQL
+from skyquad.plans.tables import PATCH_SQL, load, patch
 from skyquad.sources import requests
 from skyquad.sources.store import written
 
@@ -74,7 +75,29 @@ def result_envelopes(spark, sf_dir):
     return out.select("s_suppkey", requests.envelope(F.col("body")).alias("kind"), requests.parse_result(F.col("body"))["success"].alias("success"), requests.parse_result(F.col("body"))["log"][0].alias("first_line"))
 
 
+def _frame_sql(i: int, ra: float, dec: float, roll: float) -> str:
+    """What frame i's camera sees of the patch, with the flux of each star."""
+    a, d, turn, px = f"radians({ra}::double)", f"radians({dec}::double)", f"radians({roll}::double)", "(radians(8.0::double) / 1200.0::double)"
+    cos = f"(sin({d}) * sin(radians(dec_deg)) + cos({d}) * cos(radians(dec_deg)) * cos(radians(ra_deg) - {a}))"
+    return f"""select {i} as frame_id, id, mag, 600.0::double + (u * cos({turn}) - v * sin({turn})) as x_px, 600.0::double - (u * sin({turn}) + v * cos({turn})) as y_px,
+  case when mag is null then 1.0::double else pow(10.0::double, mag / -2.5::double) end as flux
+  from (select *, cos(radians(dec_deg)) * sin(radians(ra_deg) - {a}) / {cos} / {px} as u, (cos({d}) * sin(radians(dec_deg)) - sin({d}) * cos(radians(dec_deg)) * cos(radians(ra_deg) - {a})) / {cos} / {px} as v
+  from patch where degrees(acos(least(1.0::double, {cos}))) <= sqrt(128.0::double) / 2 * 1.2::double)"""
+
+
+_FIELDS = f"""seen as ({" union all ".join(_frame_sql(i, ra, dec, roll) for i, (ra, dec, roll) in enumerate(CENTRES))}),
+sources as (select *, row_number() over (partition by frame_id order by flux desc, id) - 1 as source_idx from seen where x_px between 0 and 1200 and y_px between 0 and 1200)"""
+_STEPS = "(select unnest([-1, 0, 1]) as {0})"
+_CANDIDATES = f"""with {PATTERNS_SQL}, {_FIELDS}, qk as (with {QUADS_SQL} select frame_id, i, j, k, l, quality, f as qf, {KEYS_SQL} from z where {HAS_KEY}),
+near as (select qk.* exclude (ax, ay, bx, "by"), ax + da as ax, ay + db as ay, bx + dc as bx, "by" + dd as "by", da * da + db * db + dc * dc + dd * dd as d2 from qk, {_STEPS.format("da")}, {_STEPS.format("db")}, {_STEPS.format("dc")}, {_STEPS.format("dd")}),
+hit as (select frame_id, i, j, k, l, pattern_index, quality, {" + ".join(f"(qf[{n}] - f[{n}]) * (qf[{n}] - f[{n}])" for n in (1, 2, 3, 4))} as fd, d2 as key_dist_sq from near join pattern_keys using (ax, ay, bx, "by")),
+top as (select *, row_number() over (partition by frame_id, i, j, k, l order by fd, key_dist_sq, pattern_index) as nth from hit)
+select frame_id, i, j, k, l, pattern_index, key_dist_sq::bigint as key_dist_sq, rank from (select *, row_number() over (partition by frame_id order by fd, key_dist_sq, quality desc, pattern_index, i, j, k, l) as rank from top where nth <= 50) where rank <= 2000"""
+
+
 SQL = {
+    "synthetic_field": f"with {PATCH_SQL}, {_FIELDS} select frame_id, source_idx, id, round(x_px, 3) + 0 as x_px, round(y_px, 3) + 0 as y_px from sources",
+    "candidate_patterns": _CANDIDATES,
     "parsed_requests": """select s_suppkey, case s_suppkey % 4 when 0 then 1 when 1 then 2 when 2 then 0 end as n, case when s_suppkey % 4 < 2 then s_suppkey::double end as x, case when s_suppkey % 4 < 2 then s_suppkey % 7 + 0.5::double end as flux,
   case when s_suppkey % 4 = 1 then 20.5::double end as estimate, case when s_suppkey % 4 = 2 then 10.0::double end as timeout, s_suppkey % 4 < 2 as valid from supplier""",
     "request_round_trip": "select s_suppkey, s_suppkey::double as x, case when s_suppkey % 3 <> 0 then s_suppkey / 4.0::double end as flux, case when s_suppkey % 2 = 0 then 1000.0::double end as timeout from supplier",

@@ -31,14 +31,14 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customers as a catalog for solving: 60 stars in each of up to 576 tiles of ten by ten degrees, side by side along bands of declination."""
     k = F.col("c_custkey")
-    tile = F.floor((k - 1) / 60)
+    tile = F.floor(k / 60)
     ra0, dec0 = tile % 36 * 10, (F.floor(tile / 36) + 10) % 16 * 10 - 80
     ra, dec = ((k * 7919) % 1000) / F.lit(100.0), ((k * 104729) % 1009) / F.lit(100.0)
     return load(spark, sf_dir, "customer").select(k.alias("id"), (ra + ra0).alias("ra_deg"), (dec + dec0).alias("dec_deg"), F.when(k % 17 != 0, ((k * 31) % 500) / F.lit(100.0) + 1).alias("mag"))
 
 
-PATCH_SQL = """patch as (select c_custkey as id, ((c_custkey * 7919) % 1000) / 100.0::double + (t % 36) * 10 as ra_deg, ((c_custkey * 104729) % 1009) / 100.0::double + ((t // 36 + 10) % 16) * 10 - 80 as dec_deg,
-  case when c_custkey % 17 <> 0 then ((c_custkey * 31) % 500) / 100.0::double + 1 end as mag from (select *, (c_custkey - 1) // 60 as t from customer))"""
+PATCH_SQL = """patch as (select c_custkey as id, ((c_custkey * 7919) % 1000) / 100.0::double + (t % 36) * 10 as ra_deg, ((c_custkey * 104729) % 1009) / 100.0::double + (((t // 36 + 10) % 16) * 10 - 80) as dec_deg,
+  case when c_custkey % 17 <> 0 then ((c_custkey * 31) % 500) / 100.0::double + 1 end as mag from (select *, c_custkey // 60 as t from customer))"""
 
 
 def raster(spark: SparkSession, frames: int = 3, width: int = 64, height: int = 48) -> DataFrame:
