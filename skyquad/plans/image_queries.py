@@ -24,7 +24,8 @@ def image_noise(spark, sf_dir):
 
 
 def detected_sources(spark, sf_dir):
-    return detect.detect(raster(spark), sigma=4.0)
+    found = detect.detect(raster(spark), sigma=4.0)
+    return found.select("frame_id", "source_idx", *[r(F.col(c), 4).alias(c) for c in ("x_px", "y_px", "flux")])
 
 
 def _truth(spark, sf_dir):
@@ -63,7 +64,19 @@ def overlay(spark, sf_dir):
 _TRUTH = """truth as (select s_suppkey // 40 * 2 + s_suppkey % 2 as frame_id, s_suppkey as star_idx, ((s_suppkey % 40) // 2) % 5 * 40 + 20 as sx, ((s_suppkey % 40) // 10) * 35 + 20 as sy, (s_suppkey % 50 + 120)::double as flux from supplier),
 steps as (select range - 6 as step from range(13)), light as (select frame_id, sx + a.step as x, sy + b.step as y, sum(round(flux * exp((a.step * a.step + b.step * b.step) / 4.0::double * -0.5::double))) as light from truth, steps a, steps b group by all),
 rendered as (select f.frame_id, y.range::int as y, x.range::int as x, least(255, 10 + coalesce(light, 0))::int as v from (select distinct frame_id from truth) f cross join range(180) y cross join range(240) x left join light l on l.frame_id = f.frame_id and l.x = x.range and l.y = y.range)"""
+_DETECTED = f"""with recursive {RASTER_SQL}, g as (select frame_id, y, x, (r * 0.299::double + g * 0.587::double + b * 0.114::double)::float as gray from raster), d as (select range - {detect.BLUR} as d from range({2 * detect.BLUR + 1})),
+h as (select p.frame_id, p.y, p.x, (sum(q.gray::double) / {2 * detect.BLUR + 1}.0::double)::float as v from g p cross join d join g q on q.frame_id = p.frame_id and q.y = p.y and q.x = greatest(0, least(63, p.x + d.d)) group by all),
+b as (select p.frame_id, p.y, p.x, (sum(q.v::double) / {2 * detect.BLUR + 1}.0::double)::float as blur from h p cross join d join h q on q.frame_id = p.frame_id and q.x = p.x and q.y = greatest(0, least(47, p.y + d.d)) group by all),
+t as (select frame_id, y, x, greatest(0::float, gray - blur)::double as sub from g join b using (frame_id, y, x)), s as (select frame_id, sub from t where (y * 64 + x) % 10 = 0 and sub > 0),
+m as (select frame_id, list_sort(list(sub))[floor(count(*) / 2)::int + 1] as med from s group by frame_id),
+o as (select frame_id, list_sort(list(abs(sub - med)))[floor(count(*) / 2)::int + 1] * 1.4826::double as noise from s join m using (frame_id) group by frame_id),
+lit as (select frame_id, y, x, sub from t join o using (frame_id) where sub > noise * 4.0::double),
+reach as (select frame_id, y, x, y * 64 + x as label from lit union select p.frame_id, p.y, p.x, k.label from reach k join lit p on p.frame_id = k.frame_id and abs(p.y - k.y) <= 1 and abs(p.x - k.x) <= 1),
+c as (select frame_id, label, sum(x * sub) / sum(sub) as x, sum(y * sub) / sum(sub) as y, sum(sub) as flux, greatest(max(x) - min(x), max(y) - min(y)) / 2.0::double as radius, count(*) as n from lit join (select frame_id, y, x, min(label) as label from reach group by all) using (frame_id, y, x) group by frame_id, label)
+select frame_id, source_idx, round(x, 4) + 0 as x_px, round(y, 4) + 0 as y_px, round(flux, 4) + 0 as flux from (select *, row_number() over (partition by frame_id order by flux desc, label) - 1 as source_idx from c
+  where n >= {detect.MIN_PIXELS} and flux >= {detect.MIN_FLUX} and radius between {detect.MIN_RADIUS} and {detect.MAX_RADIUS}) where source_idx < {detect.MAX_STARS}"""
 SQL = {
+    "detected_sources": _DETECTED,
     "rendered_field": f"with {_TRUTH} select frame_id, y, x, v as r, v as g, v as b from rendered",
     "gray_pixels": f"with {RASTER_SQL} select frame_id, y, x, round((r * 0.299::double + g * 0.587::double + b * 0.114::double)::float::double, 3) + 0 as gray from raster",
     "blurred_pixels": f"""with {RASTER_SQL}, d as (select range - 15 as d from range(31)),

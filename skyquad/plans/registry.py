@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skyquad.plans import catalog_queries, image_queries, quad_queries, solve_queries
+from skyquad.plans import catalog_queries, image_queries, quad_queries, scan_queries, solve_queries
 
-QUERIES: dict = catalog_queries.QUERIES | quad_queries.QUERIES | image_queries.QUERIES | solve_queries.QUERIES
-SQL: dict[str, str] = catalog_queries.SQL | quad_queries.SQL | image_queries.SQL | solve_queries.SQL
+QUERIES: dict = catalog_queries.QUERIES | quad_queries.QUERIES | image_queries.QUERIES | solve_queries.QUERIES | scan_queries.QUERIES
+SQL: dict[str, str] = catalog_queries.SQL | quad_queries.SQL | image_queries.SQL | solve_queries.SQL | scan_queries.SQL
 
 
 def flagship(spark, sf_dir):
