@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from skyquad.llm.conversation import op11_conversation_repair
 from skyquad.llm.decontamination import OP2_SQL, op2_decontamination
 from skyquad.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from skyquad.llm.fill_middle import OP12_SQL, op12_fill_in_middle
 from skyquad.llm.line_dedup import OP6_SQL, op6_line_dedup
 from skyquad.llm.lm_scoring import OP9_SQL, op9_lm_scoring
 from skyquad.llm.mixing import OP7_SQL, op7_mixing
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 SQL = {
@@ -32,4 +36,5 @@ SQL = {
     "op6_line_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op9_lm_scoring": OP9_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
