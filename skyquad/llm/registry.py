@@ -10,6 +10,7 @@ from skyquad.llm.line_dedup import OP6_SQL, op6_line_dedup
 from skyquad.llm.lm_scoring import OP9_SQL, op9_lm_scoring
 from skyquad.llm.mixing import OP7_SQL, op7_mixing
 from skyquad.llm.ngram_join import op3_ngram_join
+from skyquad.llm.personal import op13_personal_data
 from skyquad.llm.secrets import op4_secret_scan
 from skyquad.llm.sharding import op8_sharding
 from skyquad.llm.token_output import op1_token_output
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_personal_data": op13_personal_data,
 }
 
 SQL = {
