@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquad.functions.camera import Camera
 from skyquad.functions.vectors import unit_vector
 from skyquad.operators.catalog import visible
-from skyquad.operators.matching import MAX_STARS
+from skyquad.operators.sky import nearest
+from skyquad.sources.store import numbered
 
 
 def flux_of(mag: Column) -> Column:
@@ -38,56 +35,21 @@ def field(stars: DataFrame, camera: Camera, most: float | None = None, dropout:
 
 
 def solver_stars(stars: DataFrame) -> DataFrame:
-    """A catalog as the stars of a solver database: single precision, numbered from 0 by magnitude and id. At most 65,536 rows can be numbered by the format."""
+    """A catalog as the stars of a solver database: single precision, numbered from 0 by magnitude and id."""
     v = unit_vector("ra_deg", "dec_deg")
     f = lambda c: c.cast("float")
-    number = F.row_number().over(Window.orderBy(F.coalesce("mag", F.lit(99.0)), "id")) - 1
-    return stars.select(number.cast("int").alias("star_index"), F.col("id").alias("catalog_id"), f(F.radians("ra_deg")).alias("ra_rad"), f(F.radians("dec_deg")).alias("dec_rad"), f(v.x).alias("x_unit"), f(v.y).alias("y_unit"), f(v.z).alias("z_unit"), f(F.col("mag")).alias("mag"))
-
-
-def nearest(stars: DataFrame, near: int, rows: int = 256) -> DataFrame:
-    """(star_index, n): the numbers of each star's near nearest other ones, nearest first, the lesser number of equally near ones.
-
-    A database has MAX_STARS stars at most, so all of them (1.5 MB) go to each
-    task, which holds its own stars against them in blocks of rows.
-    """
-    spark = stars.sparkSession
-    table = stars.select("star_index", *[F.col(f"{k}_unit").cast("double").alias(k) for k in "xyz"]).orderBy("star_index").limit(MAX_STARS + 1).toPandas()
-    if len(table) > MAX_STARS:
-        raise ValueError(f"the format holds {MAX_STARS} stars")
-    shared = spark.sparkContext.broadcast((table["star_index"].to_numpy(), table[["x", "y", "z"]].to_numpy(float)))
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, sky = shared.value
-        for batch in batches:
-            own, out = batch["star_index"].to_numpy(), []
-            places = np.searchsorted(numbers, own)
-            for part in np.array_split(places, max(1, len(places) // rows)):
-                d2 = sum((sky[part, None, k] - sky[None, :, k]) ** 2 for k in range(3))
-                d2[np.arange(len(part)), part] = np.inf
-                reach = np.partition(d2, min(near, len(sky)) - 1, axis=1)[:, min(near, len(sky)) - 1] if len(part) else []
-                for row, r in zip(d2, reach, strict=True):
-                    at = np.flatnonzero((row <= r) & np.isfinite(row))
-                    out.append(numbers[at[np.lexsort((at, row[at]))][:near]].tolist())
-            yield pd.DataFrame({"star_index": own, "n": out})
-
-    return stars.select("star_index").mapInPandas(found, "star_index int, n array<int>")
+    ranked = numbered(stars, "_number", F.coalesce("mag", F.lit(99.0)), "id")
+    return ranked.select(F.col("_number").cast("int").alias("star_index"), F.col("id").alias("catalog_id"), f(F.radians("ra_deg")).alias("ra_rad"), f(F.radians("dec_deg")).alias("dec_rad"), f(v.x).alias("x_unit"), f(v.y).alias("y_unit"), f(v.z).alias("z_unit"), f(F.col("mag")).alias("mag"))
 
 
 def nearest_patterns(stars: DataFrame, near: int = 5) -> DataFrame:
-    """(pattern_index, s0..s3): each star with every three of its near nearest ones, each set of four once, numbered in order.
-
-    Patterns are numbered within those of their least star, after the counts of
-    all lesser stars, of which there is one row each.
-    """
+    """(pattern_index, s0..s3): each star with every three of its near nearest ones, each set of four once, numbered in order."""
     i = F.sequence(F.lit(0), F.lit(near - 1))
-    threes = nearest(stars, near).withColumn("a", F.explode(i)).withColumn("b", F.explode(i)).withColumn("c", F.explode(i)).filter("a < b and b < c and c < size(n)")
-    s = F.array_sort(F.array("star_index", F.get("n", "a"), F.get("n", "b"), F.get("n", "c")))
+    lists = nearest(stars.select(F.col("star_index").alias("key"), *[F.col(f"{k}_unit").alias(k) for k in "xyz"]), near)
+    threes = lists.withColumn("a", F.explode(i)).withColumn("b", F.explode(i)).withColumn("c", F.explode(i)).filter("a < b and b < c and c < size(n)")
+    s = F.array_sort(F.array("key", F.get("n", "a"), F.get("n", "b"), F.get("n", "c")))
     sets = threes.select(s.alias("s")).select(*[F.col("s")[k].alias(f"s{k}") for k in range(4)]).distinct()
-    before = Window.orderBy("s0").rowsBetween(Window.unboundedPreceding, -1)
-    base = sets.groupBy("s0").agg(F.count(F.lit(1)).alias("_n")).select("s0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("s0").orderBy("s1", "s2", "s3")) - 1
-    return sets.join(F.broadcast(base), "s0").select((F.col("_base") + own).cast("long").alias("pattern_index"), "s0", "s1", "s2", "s3")
+    return numbered(sets, "pattern_index", "s0", "s1", "s2", "s3").select("pattern_index", "s0", "s1", "s2", "s3")
 
 
 def drop_zero_patterns(patterns: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from skyquad.functions import display
 from skyquad.functions.camera import Camera, arcsec_a_pixel, fov_from_lens, from_gnomonic, gnomonic
 from skyquad.functions.vectors import Vec, mean_direction, unit_vector, with_plane
-from skyquad.operators import catalog, solve
+from skyquad.operators import catalog, sky, solve
 from skyquad.plans.tables import STARS_SQL, VECTOR_SQL, load, stars
 from skyquad.sources.catalog_csv import as_text
+from skyquad.sources.store import shared_dir
 
 CAMERA = Camera(100.0, 20.0, 60.0, 45.0, 1200, 900, 15.0)
 
@@ -29,6 +30,21 @@ def cone_search(spark, sf_dir):
     return catalog.cone(catalog.sky_index(stars(spark, sf_dir)), 100.0, 20.0, 30.0).select("id", "mag", r(catalog.separation(100.0, 20.0), 6).alias("sep"))
 
 
+def cone_join(spark, sf_dir):
+    """A cone for each supplier, against a stored index of all customers."""
+    k = F.col("s_suppkey")
+    path = shared_dir(spark, "sky_index")
+    sky.write_index(stars(spark, sf_dir), path)
+    cones = load(spark, sf_dir, "supplier").select(k.alias("cone_id"), (k * 137 % 360).cast("double").alias("ra0"), (k * 71 % 181 - 90).cast("double").alias("dec0"), (k % 7 + 0.5).cast("double").alias("radius_deg"))
+    return sky.in_cones(cones, sky.read_index(spark, path)).select("cone_id", "id", r(F.col("separation_deg"), 6).alias("sep"))
+
+
+def nearest_stars(spark, sf_dir):
+    """Each customer's nearest other one on the sky."""
+    places = catalog.with_vectors(stars(spark, sf_dir)).select(F.col("id").alias("key"), "x", "y", "z")
+    return sky.nearest(places, 1).select(F.col("key").alias("id"), F.get("n", F.lit(0)).alias("nearest"))
+
+
 def cone_count(spark, sf_dir):
     return catalog.count_in_cone(stars(spark, sf_dir), 100.0, 20.0, 30.0)
 
@@ -154,6 +170,9 @@ _PIX = "radians(60.0::double) / 1200.0::double", "radians(45.0::double) / 900.0:
 
 SQL = {
     "unit_vectors": f"with {STARS_SQL}, v as (select *, {VECTOR_SQL} from stars) select id, round(x, 7) + 0 as x, round(y, 7) + 0 as y, round(z, 7) + 0 as z, round(((degrees(atan2(y, x)) % 360) + 360) % 360, 6) + 0 as ra, round(degrees(asin(greatest(-1, least(1, z)))), 6) + 0 as dec from v",
+    "cone_join": f"""with {STARS_SQL}, v as (select id, {VECTOR_SQL} from stars), c as (select s_suppkey as cone_id, radians((s_suppkey * 137 % 360)::double) as a, radians((s_suppkey * 71 % 181 - 90)::double) as d, s_suppkey % 7 + 0.5::double as radius from supplier),
+m as (select cone_id, id, radius, degrees(acos(greatest(-1.0::double, least(1.0::double, x * cos(d) * cos(a) + y * cos(d) * sin(a) + z * sin(d))))) as sep from v cross join c) select cone_id, id, round(sep, 6) + 0 as sep from m where sep <= radius""",
+    "nearest_stars": f"""with {STARS_SQL}, v as (select id, {VECTOR_SQL} from stars) select a.id, arg_min(b.id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) as nearest from v a join v b on a.id <> b.id group by a.id""",
     "cone_search": f"{_V} select id, mag, round(sep, 6) + 0 as sep from s where sep <= 30",
     "cone_count": f"{_V} select count(*) as n from s where sep <= 30",
     "field_coverage": f"{_V} select round(count(*) / (pi() * 15.0::double * 15.0::double), 9) + 0 as coverage from s where sep <= 30.0::double * sqrt(2.0::double) / 2",
@@ -188,4 +207,4 @@ c as (select *, y * w - z * q as cx, z * p - x * w as cy, x * q - y * p as cz, s
 m as (select *, 2 * x + p + (x + p) / h as mx, 2 * y + q + (y + q) / h as my, 2 * z + w + (z + w) / h as mz from c)
 select id, round(cx, 6) + 0 as cx, round(cy, 6) + 0 as cy, round(cz, 6) + 0 as cz, round(sqrt(cx * cx + cy * cy + cz * cz), 6) + 0 as n, round(4 * ((x - p) ** 2 + (y - q) ** 2 + (z - w) ** 2), 6) + 0 as d, round((mx * x + my * y + mz * z) / sqrt(mx * mx + my * my + mz * mz), 6) + 0 as m from m""",
 }
-QUERIES = {f.__name__: f for f in (unit_vectors, cone_search, cone_count, field_coverage, magnitude_filter, catalog_stats, visible_stars, gnomonic_forward, gnomonic_inverse, sky_to_pixel, pixel_to_sky, tangent_plane, vector_algebra, lens_fields, place_text, size_text, csv_text, confidence_tiers, field_gates, database_choice, catalog_append, generated_catalog)}
+QUERIES = {f.__name__: f for f in (cone_join, nearest_stars, unit_vectors, cone_search, cone_count, field_coverage, magnitude_filter, catalog_stats, visible_stars, gnomonic_forward, gnomonic_inverse, sky_to_pixel, pixel_to_sky, tangent_plane, vector_algebra, lens_fields, place_text, size_text, csv_text, confidence_tiers, field_gates, database_choice, catalog_append, generated_catalog)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyquad.functions import hashes
@@ -9,6 +11,7 @@ from skyquad.functions.camera import pixel_distance
 from skyquad.operators import fits, matching, points, synthetic
 from skyquad.plans.catalog_queries import r
 from skyquad.plans.tables import PATCH_SQL, SOURCES_SQL, VECTOR_SQL, load, patch, sources
+from skyquad.sources.store import shared_dir
 
 
 #: Digits to which the terms of a radial fit are held: slopes, offsets, curvature.
@@ -75,6 +78,15 @@ def key_band_join(spark, sf_dir):
     return hit.select("id", "other", hashes.key_distance_sq(F.col("key"), F.col("matched_key")).alias("d2"))
 
 
+def stored_index_join(spark, sf_dir):
+    """The band join against an index in buckets, which is written, opened again and read without a shuffle."""
+    left, right = _keys(load(spark, sf_dir, "supplier"), "s_suppkey", 23), _keys(load(spark, sf_dir, "part"), "p_partkey", 23)
+    path, table = shared_dir(spark, "stored_index"), f"stored_index_{uuid.uuid4().hex}"
+    index = matching.write_pattern_index(right.withColumnRenamed("id", "pattern_index"), table, path, 8)
+    hit = matching.band_join(left, index, small=0)
+    return hit.select("id", "pattern_index", hashes.key_distance_sq(F.col("key"), F.col("matched_key")).alias("d2"))
+
+
 def _points(spark, sf_dir):
     k, c = F.col("p_partkey"), F.col("c_custkey")
     left = load(spark, sf_dir, "part").select((k % 4).alias("frame_id"), k.alias("id"), ((k * 7919) % 1000).cast("double").alias("x"), ((k * 104729) % 997).cast("double").alias("y"))
@@ -255,4 +267,5 @@ p as (select g, px, py, px * 0.002::double - py * 0.001::double + ((k * 13) % 7)
 s as (select g, {_SUMS} from p group by g), f as (select g, n, {", ".join(f"{_det(c, t)} / {_det()} as {name}" for t, names in (("u", ("a", "b", "tx")), ("v", ("c", "d", "ty"))) for c, name in enumerate(names))} from s where n >= 3)
 select g, n::bigint as n, {", ".join(f"round({c}, 6) + 0 as {c}" for c in ("a", "b", "tx", "c", "d", "ty"))}, round(sqrt(a * a + c * c), 6) + 0 as scale, round(degrees(atan2(c, a)), 3) + 0 as rotation, round(a * d - b * c, 8) + 0 as det from f""",
 }
-QUERIES = {f.__name__: f for f in (brightest_sources, top_sources, source_boxes, source_centroids, sources_apart, pixel_distances, quad_keys, early_features, neighbour_keys, key_lookup, key_band_join, nearest_neighbours, one_to_one_matches, match_error, detected_only, pattern_pruning, affine_fits, radial_fits, pattern_count)}
+SQL["stored_index_join"] = SQL["key_band_join"].replace("r.id as other", "r.id as pattern_index")
+QUERIES = {f.__name__: f for f in (stored_index_join, brightest_sources, top_sources, source_boxes, source_centroids, sources_apart, pixel_distances, quad_keys, early_features, neighbour_keys, key_lookup, key_band_join, nearest_neighbours, one_to_one_matches, match_error, detected_only, pattern_pruning, affine_fits, radial_fits, pattern_count)}

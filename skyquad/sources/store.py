@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -44,3 +45,18 @@ def forget(df: DataFrame) -> None:
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with a column of numbers from 0 in the given order, counted within ranges that are dealt to tasks: the driver sees a count for each range, no task all rows."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = written(parts.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = sorted((r["_part"], r["n"]) for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
+    before = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
+    base = df.sparkSession.createDataFrame(before or [(0, 0)], "_part int, _before long")
+    return held.join(F.broadcast(base), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def counted_side(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most most rows, which are counted first; beyond, joins with it shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
