@@ -1,8 +1,8 @@
 """Star detection on images, and its evaluation.
 
 An image is rows (frame_id, y, x, r, g, b), or binary RGBA columns through
-pixels(). Every step works on many frames at once; only the flood fill and the
-greedy evaluation take a frame as a whole, which is bounded by an image's size.
+pixels(). Every step works on many frames at once, and only the greedy
+evaluation takes a frame's stars as a whole.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquad.operators.components import labelled
+
 #: Fixed defaults of the detector: blur radius, threshold in noise levels, component limits, most stars.
 BLUR, SIGMA, MIN_RADIUS, MAX_RADIUS, MIN_FLUX, MIN_PIXELS, MAX_STARS = 15, 5.0, 1.0, 50.0, 100.0, 3, 50
 
@@ -48,6 +50,43 @@ def decoded(encoded: DataFrame) -> DataFrame:
     return encoded.select("frame_id", "png").mapInPandas(decode, "frame_id long, width int, height int, rgba binary")
 
 
+#: The width that a photo is brought to before stars are looked for.
+WIDTH = 1024
+
+
+def resized(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Pixels (frame_id, y, x, r, g, b) of images brought to a width, heights in proportion, as rounded means over the area of each new pixel.
+
+    A pixel adds to the new ones that it overlaps, along lines first and then
+    across them, by the shares that it overlaps: two grouped sums. A frame's
+    size is that of its largest coordinates.
+    """
+    size = rows.groupBy("frame_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    size = size.withColumn("_high", F.greatest(F.lit(1), F.round(F.col("_h") * F.lit(float(width)) / F.col("_w")).cast("int")))
+
+    def along(df: DataFrame, c: str, old: str, new: Column) -> DataFrame:
+        step = F.col(old) / new
+        first, last = F.floor(F.col(c) / step), F.least(new - 1, F.ceil((F.col(c) + 1) / step) - 1)
+        df = df.withColumn("_to", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+        share = F.greatest(F.lit(0.0), F.least(F.col(c) + 1, (F.col("_to") + 1) * step) - F.greatest(F.col(c), F.col("_to") * step)) / step
+        df = df.withColumn("_share", share).drop(c).withColumnRenamed("_to", c)
+        return df.groupBy("frame_id", "_w", "_h", "_high", "y", "x").agg(*[F.sum(F.col(k) * F.col("_share")).alias(k) for k in "rgb"])
+
+    out = rows.join(size, "frame_id").select("frame_id", "_w", "_h", "_high", "y", "x", *[F.col(k).cast("double").alias(k) for k in "rgb"])
+    out = along(along(out, "x", "_w", F.lit(width)), "y", "_h", F.col("_high"))
+    # a hair above a half, so that the order in which shares are added decides no rounding
+    return out.select("frame_id", "y", "x", *[F.floor(F.col(k) + 0.5 + 1e-9).cast("int").alias(k) for k in "rgb"])
+
+
+def random_stars(frames: DataFrame, count: int, seed: int = 0, margin: float = 20.0, flux: tuple[float, float] = (50.0, 200.0), sigma: tuple[float, float] = (1.0, 2.5)) -> DataFrame:
+    """(frame_id, star_idx, x, y, flux, sigma): count true stars at random places of each of frames (frame_id, width, height), none nearer to an edge than margin. A hash of seed, frame and star draws, so reruns agree."""
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "frame_id", "star_idx"), F.lit(1 << 52)) / float(1 << 52)
+    between = lambda k, lo, hi: draw(k) * (hi - lo) + lo
+    each = frames.withColumn("star_idx", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count > 0 else frames.limit(0).withColumn("star_idx", F.lit(0))
+    place = lambda k, side: draw(k) * (F.col(side) - 2 * margin) + margin
+    return each.select("frame_id", "star_idx", place(0, "width").alias("x"), place(1, "height").alias("y"), between(2, *flux).alias("flux"), between(3, *sigma).alias("sigma"))
+
+
 def gray(r: Column, g: Column, b: Column) -> Column:
     return (r * 0.299 + g * 0.587 + b * 0.114).cast("float")
 
@@ -95,30 +134,6 @@ def lit(rows: DataFrame, sigma: float = SIGMA) -> DataFrame:
     return rows.join(noise(rows), "frame_id").filter(F.col("sub") > F.col("noise") * sigma).drop("noise")
 
 
-def labelled(rows: DataFrame) -> DataFrame:
-    """rows with label: pixels that touch, diagonally too, share one. Only lit pixels of a frame meet in a task."""
-
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x"]).reset_index(drop=True)
-        place = {(y, x): i for i, (y, x) in enumerate(zip(frame["y"], frame["x"], strict=True))}
-        parent = list(range(len(frame)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for (y, x), i in place.items():
-            for q in ((y - 1, x - 1), (y - 1, x), (y - 1, x + 1), (y, x - 1)):
-                if (j := place.get(q)) is not None:
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
-        return frame.assign(label=[root(i) for i in range(len(frame))])
-
-    return rows.groupBy("frame_id").applyInPandas(label, "frame_id long, y int, x int, sub float, label int")
-
-
 def stars_of(rows: DataFrame, least_flux: float = MIN_FLUX, least_radius: float = MIN_RADIUS, most_radius: float = MAX_RADIUS) -> DataFrame:
     """(frame_id, label, x, y, flux, radius, n) of labelled pixels: brightness-weighted centres of components of the right size."""
     s = F.col("sub").cast("double")

@@ -41,13 +41,20 @@ PATCH_SQL = """patch as (select c_custkey as id, ((c_custkey * 7919) % 1000) / 1
   case when c_custkey % 17 <> 0 then ((c_custkey * 31) % 500) / 100.0::double + 1 end as mag from (select *, c_custkey // 60 as t from customer))"""
 
 
-def raster(spark: SparkSession, frames: int = 3, width: int = 64, height: int = 48) -> DataFrame:
-    i = F.col("id")
-    rows = spark.range(frames * width * height).select((i % frames).alias("frame_id"), F.floor(i / frames / width).cast("int").alias("y"), (F.floor(i / frames) % width).cast("int").alias("x"), i)
-    bright = F.when(((F.col("x") % 16).between(7, 9)) & ((F.col("y") % 16).between(7, 9)), 200).otherwise(0)
-    v = lambda k: (((F.col("id") * k) % 23) + bright).cast("int")
+#: Width and height of an image that stands for a supplier.
+WIDE, HIGH = 48, 32
+
+
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each supplier: three bright spots, whose strength is the supplier's, on a background that no two share."""
+    k = F.col("frame_id")
+    rows = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("frame_id"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(HIGH - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDE - 1))))
+    rows = rows.withColumn("id", k * (WIDE * HIGH) + F.col("y") * WIDE + F.col("x"))
+    bright = F.when(((F.col("x") % 16).between(7, 9)) & ((F.col("y") + k % 5).between(12, 14)), 150 + k % 90).otherwise(0)
+    v = lambda m: (((F.col("id") * m) % 23) + bright).cast("int")
     return rows.select("frame_id", "y", "x", v(7919).alias("r"), v(104729).alias("g"), v(31).alias("b"))
 
 
-RASTER_SQL = """raster as (select frame_id, y, x, (id * 7919) % 23 + bright as r, (id * 104729) % 23 + bright as g, (id * 31) % 23 + bright as b from (select *, case when x % 16 between 7 and 9 and y % 16 between 7 and 9 then 200 else 0 end as bright
-  from (select range as id, range % 3 as frame_id, ((range // 3) // 64)::int as y, ((range // 3) % 64)::int as x from range(9216))))"""
+RASTER_SQL = f"""raster as (select frame_id, y, x, (id * 7919) % 23 + bright as r, (id * 104729) % 23 + bright as g, (id * 31) % 23 + bright as b from (select *, case when x % 16 between 7 and 9 and y + frame_id % 5 between 12 and 14 then 150 + frame_id % 90 else 0 end as bright
+  from (select s_suppkey as frame_id, y.range::int as y, x.range::int as x, s_suppkey * {WIDE * HIGH} + y.range * {WIDE} + x.range as id from supplier cross join range({HIGH}) y cross join range({WIDE}) x)))"""
