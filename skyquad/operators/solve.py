@@ -9,6 +9,7 @@ from skyquad.functions import display
 from skyquad.functions.vectors import Vec, with_plane
 from skyquad.operators import fits, matching, points
 from skyquad.operators.verify import MATCH_RADIUS, verified
+from skyquad.operators.watch import Watch
 from skyquad.sources.store import counted_side, written
 
 #: Detections that an app asks for before it solves.
@@ -90,8 +91,13 @@ def with_payload(found: DataFrame, requests: DataFrame, solutions: DataFrame, so
     return x.withColumns(kept).withColumns({"detected_stars": stars_of, "matched_star_positions": none("matched_star_positions")}).select(*found.columns, "log", "detected_stars", "matched_star_positions")
 
 
-def solve(sources: DataFrame, requests: DataFrame, stars: DataFrame, index: DataFrame, header: DataFrame, bins: int = 50) -> DataFrame:
-    """Solves many frames in one plan: quads, candidates from the index, verification, results with what they are made of."""
-    quads = written(points.quads(sources, bin_size=1.0 / max(bins, 1)), "quads")  # read twice
-    solutions = written(best(verified(matching.candidates(quads, index), sources, stars)), "solutions")  # a row for each frame
+def solve(sources: DataFrame, requests: DataFrame, stars: DataFrame, index: DataFrame, header: DataFrame, bins: int = 50, watch: Watch | None = None) -> DataFrame:
+    """Solves many frames in one plan: quads, candidates from the index, verification, results with what they are made of. watch can end it between jobs and, at a deadline, in tasks."""
+    watch = watch or Watch()
+    watch.check()
+    quads = written(watch.guarded(points.quads(sources, bin_size=1.0 / max(bins, 1))), "quads")  # read twice
+    watch.check()
+    found = written(watch.guarded(matching.candidates(quads, index)), "candidates")
+    solutions = written(best(verified(found, sources, stars, watch=watch)), "solutions")  # a row for each frame
+    watch.check()
     return with_payload(results(solutions, requests, header), requests, solutions, sources, stars, header)

@@ -19,6 +19,7 @@ from skyquad.functions import cells
 from skyquad.functions.vectors import BEHIND, Vec
 from skyquad.operators import sky
 from skyquad.operators.fits import SINGULAR, det3, det4
+from skyquad.operators.watch import Watch
 from skyquad.sources.store import forget, written
 
 #: Fixed values of the solver: least matches, radii of the passes and of the last match (arc seconds), largest residual of the first fit (radians), where passes stop.
@@ -171,15 +172,17 @@ def refitted(matched: DataFrame) -> DataFrame:
     return s.select(*KEY, *[terms.get(c, F.col(f"st.{c}")).alias(c) for c in _STATE if c != "frozen"], (~F.col("_go")).alias("frozen"))
 
 
-def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame, few_sources: int = FEW_SOURCES, few_stars: int = FEW_STARS) -> DataFrame:
+def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame, few_sources: int = FEW_SOURCES, few_stars: int = FEW_STARS, watch: Watch | None = None) -> DataFrame:
     """All correspondences of the candidates that hold: (KEY, mirrored, matched, rms_arcsec, cx, cy, a to h, x, y, z, matches); terms are those of (px, py).
 
     Up to few_sources sources are broadcast and candidates spread over tasks one
     by one; beyond, sources and candidates meet by frame, whose candidates are
     bounded in number. Up to few_stars rows of the lookup table are broadcast,
     and all passes run in the tasks where the candidates are; beyond, places are
-    shuffled by cell and pairs back. What survives a pass is written and dealt anew.
+    shuffled by cell and pairs back. What survives a pass is written and dealt
+    anew. watch is looked at between passes, and its deadline in their tasks.
     """
+    watch = watch or Watch()
     spark = sources.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = written(sources.select("frame_id", "source_idx", F.col("x_px").cast("double").alias("x_px"), F.col("y_px").cast("double").alias("y_px")), "verify_sources")
@@ -189,9 +192,10 @@ def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame, few_so
     points = F.broadcast(points) if close else points.repartition(parts, "frame_id").hint("merge")
     table = F.broadcast(table) if (table.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]) <= few_stars else table.hint("merge")
     spread = lambda df: df.repartition(parts, "frame_id", "rank") if close else df.repartition(parts, "frame_id")
-    state = written(correspondences(spread(rows)), "verify_first_fits")
+    state = written(watch.guarded(correspondences(spread(rows))), "verify_first_fits")
     for radius in RADII:
-        after = written(refitted(pairs(spread(state), points, table, radius)), "verify_survivors")
+        watch.check()
+        after = written(refitted(pairs(watch.guarded(spread(state)), points, table, radius)), "verify_survivors")
         forget(state)
         state = after
     last = pairs(spread(state), points, table, MATCH_RADIUS)

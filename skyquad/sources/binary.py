@@ -8,6 +8,7 @@ block at a time.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, WriterCommitMessage
 
+from skyquad.errors import BadMagic, FormatError, PatternOutOfRange, StarOutOfRange, Truncated, UnsupportedVersion
 from skyquad.functions.vectors import unit_vector
 
 #: Fixed layouts, little-endian. ASTR: magic, version, stars, epoch, padding; then id, ra and dec in degrees, mag (NaN: unknown), x, y, z.
@@ -36,10 +38,6 @@ SCHEMAS = {
 }
 
 
-class FormatError(ValueError):
-    """A file that is too short, of another kind or of another version."""
-
-
 def store(path: str):
     """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
@@ -47,20 +45,35 @@ def store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def head(path: str, layout: struct.Struct, magic: bytes) -> tuple:
-    files, at = store(path)
-    with files.open_input_file(at) as f:
-        raw = f.read(layout.size)
+def checked_head(raw: bytes, layout: struct.Struct, magic: bytes) -> tuple:
     if len(raw) < layout.size:
-        raise FormatError("the header is too short")
+        raise Truncated("the header is too short")
     values = layout.unpack(raw)
     if values[0] != magic:
-        raise FormatError(f"wrong magic {values[0]!r}")
+        raise BadMagic(f"wrong magic {values[0]!r}")
     if values[1] != VERSION:
-        raise FormatError(f"unknown version {values[1]}")
+        raise UnsupportedVersion(f"unknown version {values[1]}")
     return values
 
 
+def head(path: str, layout: struct.Struct, magic: bytes) -> tuple:
+    files, at = store(path)
+    with files.open_input_file(at) as f:
+        return checked_head(f.read(layout.size), layout, magic)
+
+
+def columns_of(section: str, rows, first: int) -> list[pa.Array]:
+    """The columns of SCHEMAS of a section's records, numbered from first; of the header, its values but for the magic."""
+    if section == "header":
+        return [pa.array([v], t) for v, t in zip(rows, [*[pa.int64()] * 3, *[pa.float32()] * 3, *[pa.int64()] * 3], strict=True)]
+    number = np.arange(first, first + len(rows))
+    if section == "astr":
+        return [pa.array(number, pa.int64()), pa.array(rows["id"].astype(np.int64)), *[pa.array(rows[c].astype(np.float64), from_pandas=c == "mag") for c in ("ra_deg", "dec_deg", "mag", "x", "y", "z")]]
+    if section == "stars":
+        return [pa.array(number, pa.int32()), pa.array(rows["catalog_id"].astype(np.int64)), *[pa.array(rows[c].astype(np.float32)) for c in ADB_STAR.names[1:]]]
+    return [pa.array(number, pa.int64()), *[pa.array(rows[c].astype(np.int32)) for c in ADB_PATTERN.names]]
+
+
 @dataclass
 class Span(InputPartition):
     first: int
@@ -92,7 +105,7 @@ class Records(DataSourceReader):
         kind, at, n = self.layout()
         files, where = store(self.path)
         if kind is not None and files.get_file_info(where).size < at + n * kind.itemsize:
-            raise FormatError(f"{self.section}: the file is cut short")
+            raise Truncated(f"{self.section}: the file is cut short")
         if self.only is not None and kind is not None:
             return [Span(self.only, 1 if 0 <= self.only < n else 0)]
         return [Span(i, min(self.a_part, n - i)) for i in range(0, n, self.a_part)] or [Span(0, 0)]
@@ -100,8 +113,9 @@ class Records(DataSourceReader):
     def read(self, part: Span) -> Iterator[pa.RecordBatch]:
         if part.count == 0:
             return
+        names = [c.split()[0] for c in SCHEMAS[self.section].split(", ")]
         if self.section == "header":
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(head(self.path, ADB_HEAD, ADB_MAGIC)[1:], [*[pa.int64()] * 3, *[pa.float32()] * 3, *[pa.int64()] * 3], strict=True)], names=[c.split()[0] for c in SCHEMAS["header"].split(", ")])
+            yield pa.RecordBatch.from_arrays(columns_of("header", head(self.path, ADB_HEAD, ADB_MAGIC)[1:], 0), names=names)
             return
         kind, at, _ = self.layout()
         files, where = store(self.path)
@@ -111,14 +125,7 @@ class Records(DataSourceReader):
                 n = min(step, part.first + part.count - i)
                 f.seek(at + i * kind.itemsize)
                 rows = np.frombuffer(f.read(n * kind.itemsize), dtype=kind)
-                number = np.arange(i, i + n)
-                if self.section == "astr":
-                    cols = [pa.array(number, pa.int64()), pa.array(rows["id"].astype(np.int64)), *[pa.array(rows[c].astype(np.float64), from_pandas=c == "mag") for c in ("ra_deg", "dec_deg", "mag", "x", "y", "z")]]
-                elif self.section == "stars":
-                    cols = [pa.array(number, pa.int32()), pa.array(rows["catalog_id"].astype(np.int64)), *[pa.array(rows[c].astype(np.float32)) for c in ADB_STAR.names[1:]]]
-                else:
-                    cols = [pa.array(number, pa.int64()), *[pa.array(rows[c].astype(np.int32)) for c in ADB_PATTERN.names]]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMAS[self.section].split(", ")])
+                yield pa.RecordBatch.from_arrays(columns_of(self.section, rows, i), names=names)
 
 
 @dataclass
@@ -128,8 +135,22 @@ class Part(WriterCommitMessage):
     count: int
 
 
-class RecordWriter(DataSourceWriter):
-    """Writes rows of one section to parts; put() makes the file of them."""
+def records_of(batch: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+    """A batch's rows as records; an unknown number is a NaN. What a field cannot hold is an error."""
+    out = np.zeros(batch.num_rows, dtype=kind)
+    for name, column in zip(kind.names, batch.columns, strict=True):
+        if kind[name].kind == "f":
+            out[name] = column.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+        else:
+            values = column.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+            out[name] = values.astype(kind[name], casting="unsafe")
+            if (out[name].astype(np.int64) != values).any():
+                raise FormatError(f"{name}: {values[out[name].astype(np.int64) != values][0]} does not fit the format")
+    return out
+
+
+class RecordWriter(DataSourceArrowWriter):
+    """Writes the batches of one section to parts, which commit() puts together."""
 
     def __init__(self, path: str, kind: np.dtype):
         self.path, self.kind = path, kind
@@ -141,14 +162,9 @@ class RecordWriter(DataSourceWriter):
         name, n = f"{self.path}.part-{context.partitionId()}-{context.taskAttemptId()}", 0
         files, at = store(name)
         with files.open_output_stream(at) as f:
-            block: list[tuple] = []
-            for row in rows:
-                block.append(tuple(float("nan") if v is None else v for v in row))
-                n += 1
-                if len(block) == 4096:
-                    f.write(np.array(block, dtype=self.kind).tobytes())
-                    block = []
-            f.write(np.array(block, dtype=self.kind).tobytes())
+            for batch in rows:
+                f.write(records_of(batch, self.kind).tobytes())
+                n += batch.num_rows
         return Part(context.partitionId(), name, n)
 
     def commit(self, messages) -> None:
@@ -229,6 +245,25 @@ def read_adb(spark: SparkSession, path: str, section: str = "stars") -> DataFram
     return spark.read.format("adb").option("section", section).load(path)
 
 
+def record(spark: SparkSession, path: str, section: str, number: int) -> DataFrame:
+    """The star or pattern of a number, alone; a number that the file does not have is an error."""
+    h = head(path, ADB_HEAD, ADB_MAGIC)
+    n, kind = (h[2], StarOutOfRange) if section == "stars" else (h[3], PatternOutOfRange)
+    if not 0 <= number < n:
+        raise kind(f"{number} of {n}")
+    return read_adb(spark, path, section).filter(F.col("star_index" if section == "stars" else "pattern_index") == number)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A name for a database's content: its header, the numbers of its records and sums of their hashes, taken where the records are read. Equal bytes have equal names under any path."""
+    parts = [str(tuple(read_adb(spark, path, "header").first()))]
+    for section in ("stars", "patterns"):
+        df = read_adb(spark, path, section)
+        found = df.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(k), *df.columns).cast("decimal(38,0)")) for k in (1, 2)]).first()
+        parts.append(str(tuple(found)))
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+
 def write_adb(stars: DataFrame, patterns: DataFrame, path: str, min_fov_deg: float = 0.0, max_fov_deg: float = 180.0, max_mag: float = 7.0, epoch: int = 2000, pattern_size: int = 4, pattern_bins: int = 50) -> int:
     """Writes a solver database and returns its number of stars. More than 65,536 stars do not fit the format's 16-bit numbers and are refused."""
     register(stars.sparkSession)

@@ -12,12 +12,8 @@ from pyspark.sql import functions as F
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path in spark.checkpoint.dir.
-
-    Where that is unset, a local session, as in tests, gets a folder of this
-    machine; on a cluster it is an error, since executors share no local folder.
-    """
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as a URI. Where that is unset, a local session, as in tests, gets a folder of this machine; on a cluster it is an error, since executors share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "local").startswith("local"):
@@ -25,7 +21,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = f"file://{tempfile.gettempdir()}/checkpoints"
     if "://" not in base and base.startswith("/"):
         base = f"file://{base}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

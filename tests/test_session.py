@@ -6,7 +6,8 @@ import pytest
 
 from skyquad.operators import synthetic
 from skyquad.plans import solve_queries, tables
-from skyquad.session import AlreadyLoaded, NotLoaded, Solver, remaining_ms
+from skyquad.errors import AlreadyLoaded, NoDatabase
+from skyquad.session import Solver, remaining_ms
 from skyquad.sources import binary
 from skyquad.streaming import requests
 
@@ -19,7 +20,7 @@ def solver(spark, tmp_path_factory):
     stars = synthetic.solver_stars(tables.patch(spark, SF))
     binary.write_adb(stars, synthetic.nearest_patterns(stars), path, 1, 60)
     s = Solver(spark)
-    with pytest.raises(NotLoaded):
+    with pytest.raises(NoDatabase):
         s.solve(spark.range(1), spark.range(1))
     s.load(path)
     with pytest.raises(AlreadyLoaded):
