@@ -35,7 +35,7 @@ KEY = ("frame_id", "rank", "variant")
 TERMS = tuple("abcdefgh")
 _RAD = math.pi / 180 / 3600
 _PLANE = tuple(f"{w}{k}" for w in "opq" for k in "xyz")
-_STATE = ("turn", "cx", "cy", *_PLANE, *TERMS, "frozen")
+_STATE = ("turn", "cx", "cy", *_PLANE, *TERMS, "frozen", "step")
 
 
 def kept(df: DataFrame, condition: Column) -> DataFrame:
@@ -122,7 +122,7 @@ def correspondences(candidates: DataFrame) -> DataFrame:
     df = _lift(df, F.col("_1c"), F.col("_1g"), "o").drop(*[n for pair in flat for n in pair], *[f"_1{t}" for t in "abcefg"], "_1worst")
     df = _project(_with_plane(df), vectors, flat)
     df = kept(_affine(df, xs, ys, "_2"), F.col("_2worst").isNotNull())
-    return df.select(*KEY, "turn", "cx", "cy", *_PLANE, *[(F.lit(0.0) if t in "dh" else F.col(f"_2{t}")).alias(t) for t in TERMS], F.lit(False).alias("frozen"))
+    return df.select(*KEY, "turn", "cx", "cy", *_PLANE, *[(F.lit(0.0) if t in "dh" else F.col(f"_2{t}")).alias(t) for t in TERMS], F.lit(False).alias("frozen"), F.lit(0).alias("step"))
 
 
 def lookup(stars: DataFrame) -> DataFrame:
@@ -131,9 +131,13 @@ def lookup(stars: DataFrame) -> DataFrame:
     return sky.around(stars.select(F.col("star_index").alias("key"), *[c.alias(k) for k, c in v.items()]), max(RADII) / 3600, LEVEL)
 
 
-def pairs(state: DataFrame, sources: DataFrame, table: DataFrame, radius_arcsec: float) -> DataFrame:
-    """(KEY, star, st, m): the one-to-one matches of each row of state; st: its state, m: (d2, source_idx, u, v, r, xi, eta) of the nearest source that proposes."""
-    met = state.join(sources, "frame_id")
+def pairs(state: DataFrame, sources: DataFrame, table: DataFrame) -> DataFrame:
+    """(KEY, star, m): the one-to-one matches of each row of state; m: (d2, source_idx, u, v, r, xi, eta) of the nearest source that proposes.
+
+    The radius is looked up by the state's step, so that all passes are one plan and share its generated code.
+    """
+    radii = F.array(*[F.lit((r * _RAD) ** 2) for r in (*RADII, MATCH_RADIUS)])
+    met = state.withColumn("most", F.get(radii, F.col("step"))).join(sources, "frame_id")
     met = met.withColumns({"u": F.col("x_px") - F.col("cx"), "v": F.col("y_px") - F.col("cy")}).drop("x_px", "y_px")
     met = met.withColumn("r", F.col("u") * F.col("u") + F.col("v") * F.col("v"))
     met = met.withColumns({n: F.col(t[0]) * F.col("u") + F.col(t[1]) * F.col("v") + F.col(t[2]) + F.col(t[3]) * F.col("r") for n, t in (("x", "abcd"), ("y", "efgh"))})
@@ -144,20 +148,20 @@ def pairs(state: DataFrame, sources: DataFrame, table: DataFrame, radius_arcsec:
     met = met.withColumns({"star": F.col("s.key")} | {f"s{k}": F.col(f"s.{k}") for k in "xyz"}).drop("s")
     met = _project(met, ["s"], [("xi", "eta")]).drop("sx", "sy", "sz")
     dx, dy = F.col("xi") - F.col("x"), F.col("eta") - F.col("y")
-    met = kept(met.withColumn("d2", dx * dx + dy * dy), F.col("d2") < (radius_arcsec * _RAD) ** 2)
-    st, near = F.struct(*_STATE).alias("st"), F.struct("d2", "star", "u", "v", "r", "xi", "eta").alias("n")
-    nearest = met.select(*KEY, "source_idx", st, near).groupBy(*KEY, "source_idx").agg(F.min("n").alias("n"), F.first("st").alias("st"))
+    met = kept(met.withColumn("d2", dx * dx + dy * dy), F.col("d2") < F.col("most"))
+    near = F.struct("d2", "star", "u", "v", "r", "xi", "eta").alias("n")
+    nearest = met.select(*KEY, "source_idx", near).groupBy(*KEY, "source_idx").agg(F.min("n").alias("n"))
     one = F.struct("n.d2", "source_idx", *[F.col(f"n.{c}") for c in ("u", "v", "r", "xi", "eta")]).alias("m")
-    return nearest.select(*KEY, F.col("n.star").alias("star"), one, "st").groupBy(*KEY, "star").agg(F.min("m").alias("m"), F.first("st").alias("st"))
+    return nearest.select(*KEY, F.col("n.star").alias("star"), one).groupBy(*KEY, "star").agg(F.min("m").alias("m"))
 
 
-def refitted(matched: DataFrame) -> DataFrame:
+def refitted(state: DataFrame, matched: DataFrame) -> DataFrame:
     """The next state of rows with enough pairs: radial terms by least squares, unless the row is frozen, the system singular, or the terms stay still."""
     row = {"u": F.col("m.u"), "v": F.col("m.v"), "one": F.lit(1.0), "r": F.col("m.r")}
     names = list(row)
     sums = {f"_{p}_{q}": F.sum(row[p] * row[q]) for i, p in enumerate(names) for q in names[i:]} | {f"_{p}_{t}": F.sum(row[p] * F.col(f"m.{t}")) for p in names for t in ("xi", "eta")}
-    s = matched.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.first("st").alias("st"), *[v.alias(k) for k, v in sums.items()])
-    s = kept(s, F.col("n") >= LEAST_PAIRS)
+    s = matched.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
+    s = kept(s, F.col("n") >= LEAST_PAIRS).join(state.hint("merge"), list(KEY))
     #: columns of length 1 keep the determinants well scaled
     s = s.withColumns({f"_s{p}": F.when(F.col(f"_{p}_{p}") > 0, F.sqrt(f"_{p}_{p}")).otherwise(1.0) for p in names})
     get = lambda p, q: F.col(f"_{p}_{q}") if f"_{p}_{q}" in sums else F.col(f"_{q}_{p}")
@@ -166,10 +170,10 @@ def refitted(matched: DataFrame) -> DataFrame:
     s = s.withColumn("_det", det4(m))
     new = lambda t, k: F.try_divide(det4([[F.col(f"_r{i}{t}") if j == k else m[i][j] for j in range(4)] for i in range(4)]), F.col("_det")) / F.col(f"_s{names[k]}")
     s = s.withColumns({f"_new{name}": new(t, k) for t, ts in (("xi", "abcd"), ("eta", "efgh")) for k, name in enumerate(ts)})
-    moved = F.hypot(F.col("_newa") - F.col("st.a"), F.col("_newf") - F.col("st.f")) >= STILL
-    s = s.withColumn("_go", ~F.col("st.frozen") & (F.col("_det") > FLAT) & F.coalesce(moved, F.lit(False)))
-    terms = {t: F.when(F.col("_go"), F.col(f"_new{t}")).otherwise(F.col(f"st.{t}")) for t in TERMS}
-    return s.select(*KEY, *[terms.get(c, F.col(f"st.{c}")).alias(c) for c in _STATE if c != "frozen"], (~F.col("_go")).alias("frozen"))
+    moved = F.hypot(F.col("_newa") - F.col("a"), F.col("_newf") - F.col("f")) >= STILL
+    s = s.withColumn("_go", ~F.col("frozen") & (F.col("_det") > FLAT) & F.coalesce(moved, F.lit(False)))
+    terms = {t: F.when(F.col("_go"), F.col(f"_new{t}")).otherwise(F.col(t)) for t in TERMS}
+    return s.select(*KEY, *[terms.get(c, F.col(c)).alias(c) for c in _STATE if c not in ("frozen", "step")], (~F.col("_go")).alias("frozen"), (F.col("step") + 1).alias("step"))
 
 
 def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame, few_sources: int = FEW_SOURCES, few_stars: int = FEW_STARS, watch: Watch | None = None) -> DataFrame:
@@ -193,15 +197,16 @@ def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame, few_so
     table = F.broadcast(table) if (table.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]) <= few_stars else table.hint("merge")
     spread = lambda df: df.repartition(parts, "frame_id", "rank") if close else df.repartition(parts, "frame_id")
     state = written(watch.guarded(correspondences(spread(rows))), "verify_first_fits")
-    for radius in RADII:
+    for _ in RADII:
         watch.check()
-        after = written(refitted(pairs(watch.guarded(spread(state)), points, table, radius)), "verify_survivors")
+        here = spread(state)
+        after = written(refitted(here, pairs(watch.guarded(here), points, table)), "verify_survivors")
         forget(state)
         state = after
-    last = pairs(spread(state), points, table, MATCH_RADIUS)
-    found = last.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("matched"), F.degrees(F.sqrt(F.avg("m.d2"))).alias("rms"), F.first("st").alias("st"), F.array_sort(F.collect_list(F.struct("m.source_idx", F.col("star").alias("star_index"), "m.d2"))).alias("matches"))
-    found = kept(found, F.col("matched") >= MIN_MATCHED)
-    t = {k: F.col(f"st.{k}") for k in _STATE}
+    here = spread(state)
+    found = pairs(here, points, table).groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("matched"), F.degrees(F.sqrt(F.avg("m.d2"))).alias("rms"), F.array_sort(F.collect_list(F.struct("m.source_idx", F.col("star").alias("star_index"), "m.d2"))).alias("matches"))
+    found = kept(found, F.col("matched") >= MIN_MATCHED).join(here.hint("merge"), list(KEY))
+    t = {k: F.col(k) for k in _STATE}
     offset = lambda c, p, q: t[c] - t[p] * t["cx"] - t[q] * t["cy"]
     terms = t | {"c": offset("c", "a", "b"), "g": offset("g", "e", "f")}
     return found.select(*KEY, (t["turn"] < 0).alias("mirrored"), "matched", (F.col("rms") * 3600).alias("rms_arcsec"), t["cx"].alias("cx"), t["cy"].alias("cy"), *[terms[k].alias(k) for k in TERMS], *[t[f"o{k}"].alias(k) for k in "xyz"], "matches")
