@@ -109,3 +109,8 @@ def early_quads(sources: DataFrame, most_quads: int = MAX_QUADS, least_px: float
     out = lists.mapInPandas(first, "frame_id long, i int, j int, k int, l int, xs array<double>, ys array<double>")
     points = F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     return out.select("frame_id", "i", "j", "k", "l", hashes.signed_feature(points).alias("f"))
+
+
+def with_fluxes(centroids: Column, fluxes: Column) -> Column:
+    """Array of (x_px, y_px, brightness) of centroids (y, x) and fluxes by position: a missing or unknown flux is 1, and 1 is the most."""
+    return F.transform(centroids, lambda c, i: F.struct(c["x"].alias("x_px"), c["y"].alias("y_px"), F.least(F.lit(1.0), F.coalesce(F.get(fluxes, i), F.lit(1.0))).alias("brightness")))

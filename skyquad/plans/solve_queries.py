@@ -75,6 +75,24 @@ def result_envelopes(spark, sf_dir):
     return out.select("s_suppkey", requests.envelope(F.col("body")).alias("kind"), requests.parse_result(F.col("body"))["success"].alias("success"), requests.parse_result(F.col("body"))["log"][0].alias("first_line"))
 
 
+def centroid_fluxes(spark, sf_dir):
+    """Centroids with fluxes by position: one list is shorter, one flux unknown, one above 1."""
+    k = F.col("s_suppkey").cast("double")
+    centroids = F.array(*[F.struct((k + i).alias("y"), (k * 2 + i).alias("x")) for i in range(4)])
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", points.with_fluxes(centroids, F.array(k / 1000, F.lit(None).cast("double"), k)).alias("d"))
+    return s.select("s_suppkey", F.posexplode("d").alias("i", "s")).select("s_suppkey", "i", "s.x_px", "s.y_px", "s.brightness")
+
+
+def app_stars(spark, sf_dir):
+    """A native result's star lists under the names of the app."""
+    k = F.col("s_suppkey").cast("double")
+    seen = F.when(k % 3 != 0, F.array(F.struct(k.alias("x_px"), (k + 1).alias("y_px"), (k / 8).alias("brightness"))))
+    met = F.when(k % 4 != 0, F.array(F.struct(k.alias("image_x"), (k + 2).alias("image_y"), F.col("s_suppkey").alias("catalog_id"), (k / 4).alias("ra_deg"), (-k / 8).alias("dec_deg"))))
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", requests.app_detected(seen).alias("d"), requests.app_matched(met).alias("m"))
+    d, m = F.get("d", F.lit(0)), F.get("m", F.lit(0))
+    return s.select("s_suppkey", F.size("d").alias("n_detected"), d["x"].alias("x"), d["flux"].alias("flux"), F.size("m").alias("n_matched"), m["imageY"].alias("image_y"), m["catalogId"].alias("catalog_id"), m["dec"].alias("dec"))
+
+
 def _frame_sql(i: int, ra: float, dec: float, roll: float) -> str:
     """What frame i's camera sees of the patch, with the flux of each star."""
     a, d, turn, px = f"radians({ra}::double)", f"radians({dec}::double)", f"radians({roll}::double)", "(radians(8.0::double) / 1200.0::double)"
@@ -96,6 +114,10 @@ select frame_id, i, j, k, l, pattern_index, key_dist_sq::bigint as key_dist_sq,
 
 
 SQL = {
+    "centroid_fluxes": """select s_suppkey, i::int as i, (s_suppkey * 2 + i)::double as x_px, (s_suppkey + i)::double as y_px, least(1.0::double, case i when 0 then s_suppkey / 1000.0::double when 2 then s_suppkey::double else 1.0::double end) as brightness
+  from supplier cross join (select unnest([0, 1, 2, 3]) as i)""",
+    "app_stars": """select s_suppkey, (s_suppkey % 3 <> 0)::int as n_detected, case when s_suppkey % 3 <> 0 then s_suppkey::double end as x, case when s_suppkey % 3 <> 0 then s_suppkey / 8.0::double end as flux, (s_suppkey % 4 <> 0)::int as n_matched,
+  case when s_suppkey % 4 <> 0 then (s_suppkey + 2)::double end as image_y, case when s_suppkey % 4 <> 0 then s_suppkey end as catalog_id, case when s_suppkey % 4 <> 0 then s_suppkey / -8.0::double end as dec from supplier""",
     "synthetic_field": f"with {PATCH_SQL}, {_FIELDS} select frame_id, source_idx, id, round(x_px, 3) + 0 as x_px, round(y_px, 3) + 0 as y_px from sources",
     "candidate_patterns": _CANDIDATES,
     "parsed_requests": """select s_suppkey, case s_suppkey % 4 when 0 then 1 when 1 then 2 when 2 then 0 end as n, case when s_suppkey % 4 < 2 then s_suppkey::double end as x, case when s_suppkey % 4 < 2 then s_suppkey % 7 + 0.5::double end as flux,
@@ -103,4 +125,4 @@ SQL = {
     "request_round_trip": "select s_suppkey, s_suppkey::double as x, case when s_suppkey % 3 <> 0 then s_suppkey / 4.0::double end as flux, case when s_suppkey % 2 = 0 then 1000.0::double end as timeout from supplier",
     "result_envelopes": "select s_suppkey, case when s_suppkey % 3 = 0 then 'error' else 'result' end as kind, false as success, case when s_suppkey % 3 <> 0 then 'No sources in frame ' || s_suppkey end as first_line from supplier",
 }
-QUERIES = {f.__name__: f for f in (candidate_patterns, plate_solve, synthetic_field, parsed_requests, request_round_trip, result_envelopes)}
+QUERIES = {f.__name__: f for f in (centroid_fluxes, app_stars, candidate_patterns, plate_solve, synthetic_field, parsed_requests, request_round_trip, result_envelopes)}

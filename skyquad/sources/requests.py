@@ -52,3 +52,15 @@ def envelope(body: Column) -> Column:
 def annotate(body: Column) -> Column:
     """The JSON object with its envelope's tag as the first field."""
     return F.concat(F.lit('{"envelope":"'), envelope(body), F.lit('",'), F.regexp_replace(F.trim(body), r"^\{\s*", ""))
+
+
+def app_detected(stars: Column) -> Column:
+    """A native result's detected stars under the names of the app; null is none."""
+    named = F.transform(stars, lambda s: F.struct(s["x_px"].alias("x"), s["y_px"].alias("y"), s["brightness"].alias("flux")))
+    return F.coalesce(named, F.array().cast("array<struct<x: double, y: double, flux: double>>"))
+
+
+def app_matched(stars: Column) -> Column:
+    """A native result's matched stars under the names of the app; null is none."""
+    named = F.transform(stars, lambda s: F.struct(s["image_x"].alias("imageX"), s["image_y"].alias("imageY"), s["catalog_id"].alias("catalogId"), s["ra_deg"].alias("ra"), s["dec_deg"].alias("dec")))
+    return F.coalesce(named, F.array().cast("array<struct<imageX: double, imageY: double, catalogId: bigint, ra: double, dec: double>>"))
