@@ -25,7 +25,9 @@ def shared_positions(docs: DataFrame, least_chars: int, least_docs: int) -> Data
     the document's own numbers, and both counted and looked up from there.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), *text_hash(F.col("text")), F.posexplode(_lines(lower_ascii(text))).alias("pos", "line"))
+    # hashed before lines are exploded: beside the explode, each line's row would hash its whole text
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), *text_hash(F.col("text")), _lines(lower_ascii(text)).alias("lines"))
+    rows = whole.select(*_ROW, F.posexplode("lines").alias("pos", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(STRIP))).filter(F.char_length("line") >= least_chars)
     lines = written(rows.select(*_ROW, "pos", F.xxhash64("line").alias("k"), F.xxhash64(F.lit("second"), "line").alias("k2")), "lines")
     here = F.struct(*_ROW)
@@ -56,12 +58,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = 10, least_docs: int = 2, mos
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     drops = written(shared_positions(docs.select("doc_id", "text"), least_chars, least_docs), "line_dedup_positions")
     positions = drops.agg(F.coalesce(F.sum(F.size("gone") + 8), F.lit(0))).first()[0]
-    doc, th, th2, gone, parts = names = fresh(docs, *_ROW, "gone", "parts")
+    doc, th, th2, gone, parts, flags = names = fresh(docs, *_ROW, "gone", "parts", "flags")
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))} | dict(zip((th, th2), text_hash(F.col("text")), strict=True)))
     drops = broadcast_to(drops.select(*[F.col(a).alias(b) for a, b in zip((*_ROW, "gone"), names, strict=False)]), positions, most)
     out = keyed.join(drops, [doc, th, th2], "left").withColumn(parts, _lines(F.col("text")))
-    stay = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: ~F.array_contains(gone, t["i"]))
-    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda t: t["x"]), "\n"))
+    # a flag for each line up to the last that goes, so that each line is looked up in one step
+    gap = F.transform(gone, lambda g, i: F.concat(F.array_repeat(F.lit(False), g - F.when(i == 0, -1).otherwise(F.get(gone, i - 1)) - 1), F.array(F.lit(True))))
+    out = out.withColumn(flags, F.flatten(gap))
+    stay = F.filter(parts, lambda x, i: ~F.coalesce(F.get(flags, i), F.lit(False)))
+    # flags is named twice, so that it is computed once for a text and not put into the function for each line
+    kept = F.when(F.col(flags).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
     out = out.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"), "kept_text": kept})
     return out.drop(*names)
 

@@ -110,6 +110,19 @@ def test_rows_that_share_an_id_keep_their_own_lines(spark):
     assert set(three.values()) == {0}
 
 
+def test_a_text_of_many_lines_takes_time_in_proportion(spark):
+    import time
+
+    n = 300_000
+    shared, own = [f"a shared line number {i}" for i in range(n // 2)], [f"own line of {i} here" for i in range(n // 2)]
+    both = [x for pair in zip(own, shared, strict=True) for x in pair]
+    docs = spark.createDataFrame([(1, "\n".join(shared)), (2, "\n".join(both))], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.monotonic() - began < 60  # in time that grew with the square it would be a quarter of an hour
+    assert got[1]["n_dropped"] == 0 and got[2]["n_dropped"] == n // 2 and got[2]["n_lines"] == n and got[2]["kept_text"] == "\n".join(own)
+
+
 def test_one_of_each_keeps_rows_that_share_an_id(spark):
     a, b = "one two three four five six seven", "nothing like it at all in this one text"
     rows = [(5, a, "p"), (9, a, "q"), (9, b, "r"), (5, a, "p"), (None, b, "s"), (3, None, "t"), (3, "", "u"), (3, "", "u")]
