@@ -27,7 +27,8 @@ def shared_positions(docs: DataFrame, least_chars: int, least_docs: int) -> Data
     text = F.coalesce("text", F.lit(""))
     # hashed before lines are exploded: beside the explode, each line's row would hash its whole text
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), *text_hash(F.col("text")), _lines(lower_ascii(text)).alias("lines"))
-    rows = whole.select(*_ROW, F.posexplode("lines").alias("pos", "line"))
+    # outer, though a text always has a line: for the plain form Spark would test the size of the list and so split each text twice
+    rows = whole.select(*_ROW, F.posexplode_outer("lines").alias("pos", "line"))
     rows = rows.withColumn("line", F.btrim("line", F.lit(STRIP))).filter(F.char_length("line") >= least_chars)
     lines = written(rows.select(*_ROW, "pos", F.xxhash64("line").alias("k"), F.xxhash64(F.lit("second"), "line").alias("k2")), "lines")
     here = F.struct(*_ROW)
