@@ -16,6 +16,8 @@ from skyquad.llm.common import documents, small_batches
 BITS = 20
 #: Lengths, in code points, of the character n-grams.
 ORDERS = (3, 4, 5)
+#: Parts of the labelled rows that choose() keeps back in turn.
+FOLDS = 4
 #: Code points whose n-grams are hashed at once; a longer text is hashed by itself.
 _AT_ONCE = 1 << 16
 
@@ -63,17 +65,24 @@ def bins(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(label, bins as int32 bytes, distinct) of the documents of up to per_class rows of each label, those with the smallest hash of doc_id. Texts are not shuffled."""
+    """(label, bins as int32 bytes, fold) of the documents of up to per_class doc_ids of each label, those with the smallest hash of doc_id.
+
+    A doc_id counts once: with its greatest label, and of the texts that it has
+    with the one of the least hash. fold, 0 to FOLDS - 1, is by the text, so
+    that equal texts are in one. Only these documents' texts are shuffled.
+    """
     order = F.xxhash64(F.lit("toxicity sample"), "doc_id")
-    known = labels.select("doc_id", F.col("toxic").alias("label"))
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     picked = [known.filter(F.col("label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # 2 * per_class rows at most
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b["label"].cast(pa.int32()), pa.array([np.unique(x).tobytes() for x in bins(b["text"])], pa.binary())], names=["label", "bins"])
+            yield pa.record_batch([b["label"].cast(pa.int32()), pa.array([np.unique(x).tobytes() for x in bins(b["text"])], pa.binary()), b["fold"]], names=["label", "bins", "fold"])
 
-    return rows.select("label", "text").mapInArrow(featured, "label int, bins binary")
+    fold = F.pmod(F.col("t.h"), F.lit(FOLDS)).cast("int").alias("fold")
+    return rows.select("label", F.col("t.text").alias("text"), fold).mapInArrow(featured, "label int, bins binary, fold int")
 
 
 def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, least_z: float = 4.0, epochs: int = 20, l2: float = 3e-3, rate: float = 0.1, seed: int = 10) -> Model:
@@ -136,6 +145,52 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, share: floa
     return Model(weight, got["bias"])
 
 
+def average_precision(y: np.ndarray, z: np.ndarray) -> float:
+    """The mean, over the rows of label 1, of the share of label 1 among the rows that score at least as high."""
+    order = np.argsort(-z, kind="stable")
+    hits = y[order] == 1
+    last = np.searchsorted(-z[order], -z[order], side="right")  # of equal scores
+    return float((np.cumsum(hits)[last - 1] / last)[hits].mean()) if hits.any() else 0.0
+
+
+def choose(docs: DataFrame, labels: DataFrame, settings: list[dict], shares: list[float], per_class: int = 1500, reject: float = 0.7) -> list[tuple]:
+    """Rows (setting, average precision, share, recall, false positives, F1), the best first, from labelled rows that are learned from.
+
+    Each setting, a dict of fit()'s arguments, is fitted FOLDS times without one
+    fold, which it then scores; every pair of a setting and a fold is a task's
+    row, over the labelled rows, whose number per_class bounds. The rule: the
+    setting of the greatest average precision over all scores so made, of equal
+    ones the first in the list; with it the share of the greatest F1 at reject,
+    of equal ones the least. Rates are those of rows outside of the fit. Pass no
+    held-out rows: what is chosen by them cannot be judged by them.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = sorted((r["label"], bytes(r["bins"]), r["fold"]) for r in labelled(docs, labels, per_class).toLocalIterator())  # 2 * per_class rows at most
+    shared = spark.sparkContext.broadcast(rows)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b["id"].to_pylist():
+                which, fold = divmod(i, FOLDS)
+                model = fit([(k, x) for k, x, f in shared.value if f != fold], 0.5, **settings[which])
+                back = [(k, model.weight[np.frombuffer(x, np.int32)].sum(dtype=np.float64) + model.bias) for k, x, f in shared.value if f == fold]
+                yield pa.record_batch([[which] * len(back), [k for k, _ in back], [float(z) for _, z in back]], schema=pa.schema([("which", pa.int32()), ("label", pa.int32()), ("z", pa.float64())]))
+
+    tasks = len(settings) * FOLDS
+    got = spark.range(0, tasks, 1, tasks).mapInArrow(tried, "which int, label int, z double").toPandas()
+    out = []
+    for which, part in got.groupby("which"):
+        y, z = part["label"].to_numpy(), part["z"].to_numpy()
+        for share in shares:
+            p = z + np.log(share / (1 - share)) >= np.log(reject / (1 - reject))
+            hit, wrong = int((p & (y == 1)).sum()), int((p & (y == 0)).sum())
+            ones, zeros = int((y == 1).sum()), int((y == 0).sum())
+            out.append((which, average_precision(y, z), share, hit / max(ones, 1), wrong / max(zeros, 1), 2 * hit / max(hit + wrong + ones, 1)))
+    out.sort(key=lambda r: (-r[1], r[0], -r[5], r[2]))
+    return [(settings[r[0]], *r[1:]) for r in out]
+
+
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with score, or a column of another name (0 to 1, higher: more likely toxic), of whole texts, however long.
 
