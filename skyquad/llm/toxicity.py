@@ -85,7 +85,7 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     return rows.select("label", F.col("t.text").alias("text"), fold).mapInArrow(featured, "label int, bins binary, fold int")
 
 
-def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, least_z: float = 4.0, epochs: int = 20, l2: float = 3e-3, rate: float = 0.1, seed: int = 10) -> Model:
+def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, least_z: float = 4.0, epochs: int = 30, l2: float = 1e-2, rate: float = 0.1, seed: int = 10) -> Model:
     """A model from rows (label, bins); share: of label 1 among the texts that scores are made for, to which the bias is set.
 
     A bin's ratio is the log of its smoothed share of the label 1 rows over that
@@ -123,7 +123,7 @@ def fit(rows: list[tuple[int, bytes]], share: float, least_docs: int = 5, least_
     return Model((w * ratio).astype(np.float32), float(bias + prior - np.log(n1 / n0)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, share: float = 0.3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, share: float = 0.4) -> Model:
     """Fits on at most per_class labelled rows of each class, in one task, whose input that bound makes independent of the table's size; the driver gets the weights only.
 
     Scores take share of the texts as label 1, so that they do not depend on how
@@ -153,15 +153,16 @@ def average_precision(y: np.ndarray, z: np.ndarray) -> float:
     return float((np.cumsum(hits)[last - 1] / last)[hits].mean()) if hits.any() else 0.0
 
 
-def choose(docs: DataFrame, labels: DataFrame, settings: list[dict], shares: list[float], per_class: int = 1500, reject: float = 0.7) -> list[tuple]:
+def choose(docs: DataFrame, labels: DataFrame, settings: list[dict], shares: list[float], per_class: int = 1500, reject: float = 0.7, most_wrong: float = 0.01) -> list[tuple]:
     """Rows (setting, average precision, share, recall, false positives, F1), the best first, from labelled rows that are learned from.
 
     Each setting, a dict of fit()'s arguments, is fitted FOLDS times without one
     fold, which it then scores; every pair of a setting and a fold is a task's
     row, over the labelled rows, whose number per_class bounds. The rule: the
     setting of the greatest average precision over all scores so made, of equal
-    ones the first in the list; with it the share of the greatest F1 at reject,
-    of equal ones the least. Rates are those of rows outside of the fit. Pass no
+    ones the first in the list; with it the share of the greatest recall at
+    reject among those with false positives of at most most_wrong, of equal ones
+    the least. Rates are those of rows outside of the fit. Pass no
     held-out rows: what is chosen by them cannot be judged by them.
     """
     spark = docs.sparkSession
@@ -187,7 +188,7 @@ def choose(docs: DataFrame, labels: DataFrame, settings: list[dict], shares: lis
             hit, wrong = int((p & (y == 1)).sum()), int((p & (y == 0)).sum())
             ones, zeros = int((y == 1).sum()), int((y == 0).sum())
             out.append((which, average_precision(y, z), share, hit / max(ones, 1), wrong / max(zeros, 1), 2 * hit / max(hit + wrong + ones, 1)))
-    out.sort(key=lambda r: (-r[1], r[0], -r[5], r[2]))
+    out.sort(key=lambda r: (-r[1], r[0], r[4] > most_wrong, -r[3], r[2]))
     return [(settings[r[0]], *r[1:]) for r in out]
 
 
