@@ -1,4 +1,9 @@
-"""Operator 3: n-gram Jaccard self-join by T-occurrence search (DivideSkip)."""
+"""Operator 3: n-gram Jaccard self-join by T-occurrence search (DivideSkip).
+
+Lists of tokens are divided into long and short ones by their lengths, the short
+ones merged by a shuffle, pairs that the merge counts too rarely pruned, and the
+rest of the tokens looked up.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,8 @@ from skyquad.llm.common import WORD, broadcast_to, documents, forget, lower_asci
 _NULL = -(1 << 63)
 #: Sizes of sets fall into classes whose bounds are this far apart.
 _CLASS = 1.025
+#: How fast the share of lists that are merged grows with the length of the longest, see long_lists().
+MU = 0.02
 #: Rows (doc, two hashes) to drop that may be broadcast, about 50 bytes each.
 BROADCAST = 500_000
 
@@ -99,17 +106,27 @@ def can_link(n: str, own: str, m: str, other: str, num: int, den: int) -> Column
     return F.least(F.col(n) - F.col(own), F.col(m) - F.col(other)) >= needed(F.col(n), F.col(m), num, den)
 
 
+def long_lists(t: Column, longest: Column) -> Column:
+    """L: how many of a set's longest lists are put aside in a search for T shared tokens, by the length of the longest one.
+
+    T / (MU * log2(longest) + 1), and T - 1 at most, so that a pair that links
+    has at least T - L >= 1 tokens in the short lists: the longer the lists, the
+    more of them are merged, and the fewer pairs are left to look up.
+    """
+    return F.greatest(F.least(t - 1, F.floor(t / (MU * F.log2(F.greatest(longest, F.lit(1)).cast("double")) + 1) + 1e-9)), F.lit(0))
+
+
 def inverted(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (node, n, own, depth, tokens) of sets (node, n, set) that can link with another.
+    """Rows (node, n, own, depth, longest, tokens) of sets (node, n, set) that can link with another.
 
     tokens: those that another set has too, shortest inverted list first; own:
-    how many there are beside them; depth: the mean length of all the set's lists. Sets
+    how many there are beside them; depth and longest: the mean length and the greatest of all the set's lists. Sets
     with more tokens of their own than a link leaves room for drop out.
     """
     rows = sets.select("node", "n", F.explode("set").alias("token"))
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held = rows.join(lists, "token").groupBy("node").agg(F.max("n").alias("n"), F.sum("df").alias("depth"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    return held.select("node", "n", (F.col("n") - F.size("t")).alias("own"), (F.col("depth") / F.col("n")).alias("depth"), F.col("t.token").alias("tokens")).filter(F.col("own") <= spare(F.col("n"), num, den))
+    return held.select("node", "n", (F.col("n") - F.size("t")).alias("own"), (F.col("depth") / F.col("n")).alias("depth"), F.array_max("t.df").alias("longest"), F.col("t.token").alias("tokens")).filter(F.col("own") <= spare(F.col("n"), num, den))
 
 
 def centre_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -126,38 +143,43 @@ def centre_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def occurrences(nodes: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, skip, need) of nodes of different components that may link, by merging short lists.
+    """Pairs (a, b, hits, skip, need) of nodes of different components that may link, by merging short lists.
 
     A link needs T shared tokens, by the sizes of both sets. Of the lists of a
-    node's tokens the T - 1 longest are put aside; the others, its short ones,
-    are merged: rows (a, b) are counted over them, and pairs of which the count
-    is at least 1 = T - (T - 1) are left, with the number of tokens still needed
-    in the long lists and their place. T grows with the partner's size, so a
-    token's list is entered only in the classes of sizes for which it is short.
+    node's tokens the L longest are put aside, see long_lists(); the others, its
+    short ones, are merged: rows (a, b) are counted over them, and pairs counted
+    fewer than T - L times cannot link and go before anything is looked up. What
+    is left has the number of tokens still needed in the long lists and their
+    place. T and L grow with the partner's size, so a token's list is entered
+    only in the classes of sizes for which it is short.
 
     Of two nodes the one of the smaller component asks. A list with one
-    component only is not entered. In a large group of near copies, whose common
+    component only is not entered: pairs within a component are not searched
+    for, so it counts for none of the others. In a large group of near copies, whose common
     lists are long, the nodes that link with its centre are one component, do
     not ask, and are met only in the short lists of the nodes outside.
     """
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    named = nodes.join(labels.join(sizes, "comp"), "node", "left").select("node", "n", "own", F.coalesce("comp", "node").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), F.posexplode("tokens").alias("at", "token"))
+    named = nodes.join(labels.join(sizes, "comp"), "node", "left").select("node", "n", "own", "longest", F.coalesce("comp", "node").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), F.posexplode("tokens").alias("at", "token"))
     named = written(named, "list_rows")
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("most")).filter("lo < hi")
-    asks = named.withColumn("place", F.col("own") + F.col("at") + 1).filter(F.col("place") <= spare(F.col("n"), num, den) + 1)
+    n, place = F.col("n"), F.col("own") + F.col("at") + 1
+    # sizes of partners, and the T of the smallest, for which most lists are short
+    least = F.ceil(n * num / F.lit(float(den)) - 1e-6)
+    largest = F.floor(n * den / F.lit(float(num)) + 1e-6)
+    asks = named.withColumn("place", place).filter(F.col("place") <= n - long_lists(needed(n, least, num, den), F.col("longest")))
     asks = asks.join(mixed, "token").filter("members < most or comp < hi")
-    q = num / (num + den)
-    # the largest partner for which the list is still a short one
-    reach = F.least(F.floor((F.col("n") - F.col("place") + 1) / F.lit(q) + 1e-6) - F.col("n"), F.floor(F.col("n") * den / F.lit(float(num)) + 1e-6))
-    least = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-6)
-    asks = asks.withColumn("reach", reach).filter(F.col("reach") >= least)
-    asks = asks.select("token", F.col("node").alias("a"), "n", "own", "comp", "members", "place", "at", F.explode(F.sequence(size_class(least), size_class(F.col("reach")))).alias("class"))
+    # the list is short while L <= n - place, which holds while T - 1 <= n - place or T < (n - place + 1) * (MU * log2(longest) + 1)
+    top = F.greatest(n - F.col("place") + 1, F.ceil((n - F.col("place") + 1) * (MU * F.log2(F.greatest("longest", F.lit(1)).cast("double")) + 1)))
+    asks = asks.withColumn("reach", F.least(F.floor(top * F.lit((num + den) / num) + 1e-6) - n, largest)).filter(F.col("reach") >= least)
+    asks = asks.select("token", F.col("node").alias("a"), "n", "own", "longest", "comp", "members", "place", F.explode(F.sequence(size_class(least), size_class(F.col("reach")))).alias("class"))
     held = named.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("own").alias("other"), F.col("comp").alias("cb"), F.col("members").alias("mb"), size_class(F.col("n")).alias("class"))
     t = needed(F.col("n"), F.col("m"), num, den)
+    aside = long_lists(t, F.col("longest"))
     outer = (F.col("members") < F.col("mb")) | ((F.col("members") == F.col("mb")) & (F.col("comp") < F.col("cb")))
-    met = asks.join(held, ["token", "class"]).filter(outer & (F.col("place") <= F.col("n") - t + 1) & can_link("n", "own", "m", "other", num, den))
-    found = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("own").alias("own")).filter("hits >= 1")
-    return found.select("a", "b", (F.col("n") - t + 1 - F.col("own")).alias("skip"), (t - F.col("hits")).alias("need"))
+    met = asks.join(held, ["token", "class"]).filter(outer & (F.col("place") <= n - aside) & can_link("n", "own", "m", "other", num, den))
+    found = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), *[F.max(c).alias(c) for c in ("n", "m", "own", "longest")]).filter(F.col("hits") >= t - aside)
+    return found.select("a", "b", "hits", F.greatest(n - aside - F.col("own"), F.lit(0)).alias("skip"), (t - F.col("hits")).alias("need"))
 
 
 def link_rows(nodes: DataFrame, num: int, den: int) -> DataFrame:

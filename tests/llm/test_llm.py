@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyquad.llm import common, decontamination, exact_dedup, line_dedup, lm_scoring, mixing, ngram_join, registry, secrets, sharding, token_output, toxicity
 from tests.llm import brute
@@ -140,6 +141,46 @@ def test_far_branches_agree(spark, odd, items):
     assert same(decontamination.clean(odd, items), decontamination.clean(odd, items, most=0))
 
 
+def unlinked(n, seed=3):
+    """Sets of four-word shingles of n texts of 100 words, of which 12 places hold one of five words each: half of the shingles are in all texts, but no texts link unless they are nearly equal."""
+    r = random.Random(seed)
+    places, out = r.sample(range(100), 12), []
+    for i in range(n):
+        w = [(p, r.randrange(5) if p in places else 9) for p in range(100)]
+        out.append((i, sorted({zlib.crc32(repr(w[p : p + 4]).encode()) for p in range(97)})))
+    return out
+
+
+def test_rare_pairs_are_pruned_before_they_are_looked_up(spark, monkeypatch):
+    num, den, sizes = 85, 100, {}
+    for n, mu in ((200, 0.02), (400, 0.02), (400, 0.0)):
+        monkeypatch.setattr(ngram_join, "MU", mu)
+        texts = dict(unlinked(n))
+        sets = spark.createDataFrame([(i, len(x), x) for i, x in texts.items()], "node long, n long, set array<long>")
+        nodes = ngram_join.written(ngram_join.inverted(sets, num, den), "pruned_nodes")
+        rows = ngram_join.occurrences(nodes, spark.createDataFrame([], "node long, comp long"), num, den).collect()
+        sizes[n, mu] = len(rows)
+        t = -(-194 * num // (num + den))  # all sets have 97 shingles, or one less where two hash alike
+        aside = min(t - 1, int(t / (mu * np.log2(n) + 1) + 1e-9))
+        assert (t - aside > 1) == (mu > 0) and all(r["hits"] >= 1 for r in rows)
+        assert all(r["hits"] >= t - aside - 1 for r in rows)
+        pairs = {tuple(sorted((r["a"], r["b"]))) for r in rows}
+        whole = {i: set(x) for i, x in texts.items()}
+        for i in range(n):
+            for j in range(i):
+                shared = len(whole[i] & whole[j])
+                assert den * shared < num * (len(whole[i]) + len(whole[j]) - shared) or (j, i) in pairs
+    # with T - 1 lists put aside one shared list is enough for a pair to be looked up
+    assert sizes[400, 0.02] * 20 < sizes[400, 0.0] and sizes[400, 0.02] <= 4 * max(sizes[200, 0.02], 10)
+    print("candidates", sizes)
+
+
+@pytest.mark.parametrize(("t", "longest", "want"), [(92, 1, 91), (92, 2, 90), (92, 1024, 76), (1, 7, 0), (2, 1 << 40, 1)])
+def test_long_lists_go_by_the_length_of_the_longest(spark, t, longest, want):
+    got = spark.range(1).select(ngram_join.long_lists(F.lit(t), F.lit(longest)).cast("long").alias("l")).first()["l"]
+    assert got == want == max(min(t - 1, int(t / (0.02 * np.log2(longest) + 1))), 0)
+
+
 def test_large_groups_that_do_not_link_with_one_centre(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
@@ -318,13 +359,98 @@ def test_shards_are_even_and_gapless(spark):
     assert moved < 0.5 * len(rows)  # a plain modulus would move 16 of 17
 
 
+def plain_fit(rows, share, least_docs, least_z, epochs, l2, rate, seed):
+    """The classifier with dicts, a term at a time."""
+    n1 = sum(k for k, _ in rows)
+    n0, count = len(rows) - n1, {}
+    for k, x in rows:
+        for v in x:
+            count.setdefault(v, [0, 0])[k] += 1
+    ratio = {}
+    for v, (a, b) in count.items():
+        p = (a + b) / len(rows)
+        z = (b / n1 - a / n0) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        if a + b >= least_docs and abs(z) >= least_z:
+            ratio[v] = np.log((b + 1) / (n1 + 2)) - np.log((a + 1) / (n0 + 2))
+    w, g2, bias, b2, draw = dict.fromkeys(ratio, 0.0), dict.fromkeys(ratio, 1e-8), 0.0, 1e-8, np.random.default_rng(seed)
+    for _ in range(epochs):
+        for part in np.array_split(draw.permutation(len(rows)), max(1, len(rows) // 128)):
+            error = [(1 / (1 + np.exp(-(bias + sum(w[v] * ratio[v] for v in rows[i][1] if v in ratio)))) - rows[i][0]) / len(part) for i in part]
+            grad = {}
+            for i, e in zip(part, error, strict=True):
+                for v in rows[i][1]:
+                    if v in ratio:
+                        grad[v] = grad.get(v, 0.0) + e * ratio[v]
+            for v, g in grad.items():
+                g += l2 * w[v]
+                g2[v] += g * g
+                w[v] -= rate * g / np.sqrt(g2[v])
+            b2 += sum(error) ** 2
+            bias -= rate * sum(error) / np.sqrt(b2)
+    return {v: w[v] * ratio[v] for v in ratio}, bias + np.log(share / (1 - share)) - np.log(n1 / n0)
+
+
+def test_toxicity_equals_a_plain_fit(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        k = int(i % 3 == 0)
+        rows.append((k, sorted({r.randrange(30) + (15 if k else 0) for _ in range(8)})))
+    args = dict(least_docs=5, least_z=2.0, epochs=4, l2=1e-2, rate=0.1, seed=10)
+    weight, bias = plain_fit(rows, 0.4, **args)
+    model = toxicity.fit([(k, np.array(x, np.int32).tobytes()) for k, x in rows], 0.4, **args)
+    assert set(np.flatnonzero(model.weight)) == {v for v, x in weight.items() if np.float32(x) != 0} and len(weight) > 5
+    assert all(abs(model.weight[v] - x) < 1e-5 for v, x in weight.items()) and abs(model.bias - bias) < 1e-9
+    texts = ["", "abcab", "Ünder the BRIDGE"]
+    model = toxicity.Model(np.random.default_rng(0).normal(size=1 << toxicity.BITS).astype(np.float32), -0.5)
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        t, z = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text), -0.5
+        seen = set()
+        for n in toxicity.ORDERS:
+            for a in range(len(t) - n + 1):
+                h = n
+                for c in t[a : a + n]:
+                    h = (h * 0x01000193 + ord(c) * 0x85EBCA6B) & 0xFFFFFFFF
+                seen.add(((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+        assert abs(got[i] - 1 / (1 + np.exp(-(z + sum(float(model.weight[v]) for v in seen))))) < 1e-6
+
+
+def test_a_labelled_id_counts_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(1, "text 0")] * 50 + [(2, "other"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, 5).collect()
+    assert sorted(x["label"] for x in rows) == [0, 1]
+    again = toxicity.labelled(docs.repartition(7), labels.repartition(3), 5).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_settings_are_chosen_by_rows_outside_of_the_fit(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = [(i, " ".join([word() for _ in range(20)] + (["vile insult"] if i % 4 == 0 and i % 20 else []))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 4 = 0 as int) toxic")
+    got = toxicity.choose(docs, labels, [dict(least_z=2.0, epochs=5), dict(least_z=50.0, epochs=5)], [0.2, 0.5])
+    assert got[0][0]["least_z"] == 2.0 and got[0][1] > got[-1][1] and len(got) == 4
+    best = got[0]
+    assert best[4] <= 0.01 and best[3] > 0.7
+
+
+def test_average_precision():
+    y = np.array([1, 0, 1, 0])
+    assert toxicity.average_precision(y, np.array([4.0, 3.0, 2.0, 1.0])) == pytest.approx((1 + 2 / 3) / 2)
+    assert toxicity.average_precision(y, np.zeros(4)) == pytest.approx(0.5)  # ties
+    assert toxicity.average_precision(np.zeros(3), np.zeros(3)) == 0.0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = {r["doc_id"]: r for r in toxicity.op10_toxicity(spark, sf).collect()}
     labels = [r for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None and out[r["doc_id"]]["held_out"]]
     hit = [out[r["doc_id"]]["predicted"] for r in labels if r["toxic"] == 1]
     false = [out[r["doc_id"]]["predicted"] for r in labels if r["toxic"] == 0]
-    # about two fifths of these tables' toxic texts have none of the markers that others share
+    print("held out", sum(hit), len(hit), sum(false), len(false))
     assert sum(hit) / len(hit) > 0.5 and sum(false) / len(false) < 0.015
 
 
