@@ -22,6 +22,8 @@ _NULL = -(1 << 63)
 _CLASS = 1.025
 #: How fast the share of lists that are merged grows with the length of the longest, see long_lists().
 MU = 0.02
+#: A list of more entries is put aside where it can be: looking a pair up ships two sets of some hundred tokens, about as many bytes as so many entries.
+LONG = 128
 #: Rows (doc, two hashes) to drop that may be broadcast, about 50 bytes each.
 BROADCAST = 500_000
 
@@ -106,27 +108,30 @@ def can_link(n: str, own: str, m: str, other: str, num: int, den: int) -> Column
     return F.least(F.col(n) - F.col(own), F.col(m) - F.col(other)) >= needed(F.col(n), F.col(m), num, den)
 
 
-def long_lists(t: Column, longest: Column) -> Column:
-    """L: how many of a set's longest lists are put aside in a search for T shared tokens, by the length of the longest one.
+def long_lists(t: Column, longest: Column, beyond: Column) -> Column:
+    """L: how many of a set's longest lists are put aside in a search for T shared tokens.
 
-    T / (MU * log2(longest) + 1), and T - 1 at most, so that a pair that links
-    has at least T - L >= 1 tokens in the short lists: the longer the lists, the
-    more of them are merged, and the fewer pairs are left to look up.
+    By the length of the longest one T / (MU * log2(longest) + 1), but at least
+    those beyond LONG entries, and T - 1 at most, so that a pair that links has
+    at least T - L >= 1 tokens in the short lists. The longer the lists, the more
+    of them are merged, and the fewer pairs are left to look up; what is merged
+    over the bound of T - 1 are lists of LONG entries, so that it grows with the
+    input.
     """
-    return F.greatest(F.least(t - 1, F.floor(t / (MU * F.log2(F.greatest(longest, F.lit(1)).cast("double")) + 1) + 1e-9)), F.lit(0))
+    return F.greatest(F.least(t - 1, F.greatest(beyond, F.floor(t / (MU * F.log2(F.greatest(longest, F.lit(1)).cast("double")) + 1) + 1e-9))), F.lit(0))
 
 
 def inverted(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (node, n, own, depth, longest, tokens) of sets (node, n, set) that can link with another.
+    """Rows (node, n, own, depth, longest, beyond, tokens) of sets (node, n, set) that can link with another.
 
     tokens: those that another set has too, shortest inverted list first; own:
-    how many there are beside them; depth and longest: the mean length and the greatest of all the set's lists. Sets
+    how many there are beside them; depth and longest: the mean length and the greatest of all the set's lists; beyond: how many have more than LONG entries. Sets
     with more tokens of their own than a link leaves room for drop out.
     """
     rows = sets.select("node", "n", F.explode("set").alias("token"))
     lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held = rows.join(lists, "token").groupBy("node").agg(F.max("n").alias("n"), F.sum("df").alias("depth"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    return held.select("node", "n", (F.col("n") - F.size("t")).alias("own"), (F.col("depth") / F.col("n")).alias("depth"), F.array_max("t.df").alias("longest"), F.col("t.token").alias("tokens")).filter(F.col("own") <= spare(F.col("n"), num, den))
+    return held.select("node", "n", (F.col("n") - F.size("t")).alias("own"), (F.col("depth") / F.col("n")).alias("depth"), F.array_max("t.df").alias("longest"), F.size(F.filter("t.df", lambda x: x > LONG)).cast("long").alias("beyond"), F.col("t.token").alias("tokens")).filter(F.col("own") <= spare(F.col("n"), num, den))
 
 
 def centre_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -160,25 +165,26 @@ def occurrences(nodes: DataFrame, labels: DataFrame, num: int, den: int) -> Data
     not ask, and are met only in the short lists of the nodes outside.
     """
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    named = nodes.join(labels.join(sizes, "comp"), "node", "left").select("node", "n", "own", "longest", F.coalesce("comp", "node").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), F.posexplode("tokens").alias("at", "token"))
+    named = nodes.join(labels.join(sizes, "comp"), "node", "left").select("node", "n", "own", "longest", "beyond", F.coalesce("comp", "node").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), F.posexplode("tokens").alias("at", "token"))
     named = written(named, "list_rows")
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("most")).filter("lo < hi")
     n, place = F.col("n"), F.col("own") + F.col("at") + 1
     # sizes of partners, and the T of the smallest, for which most lists are short
     least = F.ceil(n * num / F.lit(float(den)) - 1e-6)
     largest = F.floor(n * den / F.lit(float(num)) + 1e-6)
-    asks = named.withColumn("place", place).filter(F.col("place") <= n - long_lists(needed(n, least, num, den), F.col("longest")))
+    asks = named.withColumn("place", place).filter(F.col("place") <= n - long_lists(needed(n, least, num, den), F.col("longest"), F.col("beyond")))
     asks = asks.join(mixed, "token").filter("members < most or comp < hi")
-    # the list is short while L <= n - place, which holds while T - 1 <= n - place or T < (n - place + 1) * (MU * log2(longest) + 1)
-    top = F.greatest(n - F.col("place") + 1, F.ceil((n - F.col("place") + 1) * (MU * F.log2(F.greatest("longest", F.lit(1)).cast("double")) + 1)))
+    # the list is short while L <= n - place, which holds while T - 1 <= n - place, or beyond is and T < (n - place + 1) * (MU * log2(longest) + 1)
+    far = F.ceil((n - F.col("place") + 1) * (MU * F.log2(F.greatest("longest", F.lit(1)).cast("double")) + 1))
+    top = F.greatest(n - F.col("place") + 1, F.when(F.col("beyond") <= n - F.col("place"), far).otherwise(F.lit(0)))
     asks = asks.withColumn("reach", F.least(F.floor(top * F.lit((num + den) / num) + 1e-6) - n, largest)).filter(F.col("reach") >= least)
-    asks = asks.select("token", F.col("node").alias("a"), "n", "own", "longest", "comp", "members", "place", F.explode(F.sequence(size_class(least), size_class(F.col("reach")))).alias("class"))
+    asks = asks.select("token", F.col("node").alias("a"), "n", "own", "longest", "beyond", "comp", "members", "place", F.explode(F.sequence(size_class(least), size_class(F.col("reach")))).alias("class"))
     held = named.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("own").alias("other"), F.col("comp").alias("cb"), F.col("members").alias("mb"), size_class(F.col("n")).alias("class"))
     t = needed(F.col("n"), F.col("m"), num, den)
-    aside = long_lists(t, F.col("longest"))
+    aside = long_lists(t, F.col("longest"), F.col("beyond"))
     outer = (F.col("members") < F.col("mb")) | ((F.col("members") == F.col("mb")) & (F.col("comp") < F.col("cb")))
     met = asks.join(held, ["token", "class"]).filter(outer & (F.col("place") <= n - aside) & can_link("n", "own", "m", "other", num, den))
-    found = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), *[F.max(c).alias(c) for c in ("n", "m", "own", "longest")]).filter(F.col("hits") >= t - aside)
+    found = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), *[F.max(c).alias(c) for c in ("n", "m", "own", "longest", "beyond")]).filter(F.col("hits") >= t - aside)
     return found.select("a", "b", "hits", F.greatest(n - aside - F.col("own"), F.lit(0)).alias("skip"), (t - F.col("hits")).alias("need"))
 
 

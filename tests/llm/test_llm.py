@@ -175,10 +175,10 @@ def test_rare_pairs_are_pruned_before_they_are_looked_up(spark, monkeypatch):
     print("candidates", sizes)
 
 
-@pytest.mark.parametrize(("t", "longest", "want"), [(92, 1, 91), (92, 2, 90), (92, 1024, 76), (1, 7, 0), (2, 1 << 40, 1)])
-def test_long_lists_go_by_the_length_of_the_longest(spark, t, longest, want):
-    got = spark.range(1).select(ngram_join.long_lists(F.lit(t), F.lit(longest)).cast("long").alias("l")).first()["l"]
-    assert got == want == max(min(t - 1, int(t / (0.02 * np.log2(longest) + 1))), 0)
+@pytest.mark.parametrize(("t", "longest", "beyond", "want"), [(92, 1, 0, 91), (92, 2, 0, 90), (92, 1024, 0, 76), (92, 1024, 80, 80), (92, 1024, 95, 91), (1, 7, 0, 0), (2, 1 << 40, 3, 1)])
+def test_long_lists_go_by_their_lengths(spark, t, longest, beyond, want):
+    got = spark.range(1).select(ngram_join.long_lists(F.lit(t), F.lit(longest), F.lit(beyond)).cast("long").alias("l")).first()["l"]
+    assert got == want == max(min(t - 1, max(beyond, int(t / (0.02 * np.log2(longest) + 1)))), 0)
 
 
 def test_large_groups_that_do_not_link_with_one_centre(spark):
