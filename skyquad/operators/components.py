@@ -31,7 +31,7 @@ def touching(found: DataFrame) -> DataFrame:
     first = F.col("node") % _LINE
     upper = spread(found.select("frame_id", F.expr(f"node div {_LINE} + 1").alias("line"), F.col("node").alias("a"), first.alias("a0"), F.col("x1").alias("a1")), F.col("a0") - 1, F.col("a1") + 1)
     lower = spread(found.select("frame_id", F.expr(f"node div {_LINE}").alias("line"), F.col("node").alias("b"), first.alias("b0"), F.col("x1").alias("b1")), F.col("b0"), F.col("b1"))
-    met = upper.join(lower, ["frame_id", "line", "bucket"]).filter("b0 <= a1 + 1 and b1 >= a0 - 1")
+    met = upper.join(lower.hint("merge"), ["frame_id", "line", "bucket"]).filter("b0 <= a1 + 1 and b1 >= a0 - 1")
     return met.select("frame_id", "a", "b").distinct()
 
 
@@ -50,10 +50,10 @@ def connected(edges: DataFrame, by: str = "frame_id") -> DataFrame:
     while before[0]:
         both = now.unionByName(now.select(by, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(by, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, [by, "a"]).filter("b > a").select(by, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least.hint("merge"), [by, "a"]).filter("b > a").select(by, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large, "edges")
         least = large.groupBy(by, "a").agg(F.min("b").alias("m"))
-        small = large.join(least, [by, "a"])
+        small = large.join(least.hint("merge"), [by, "a"])
         small = small.select(by, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select(by, "a", F.col("m").alias("b"))).distinct()
         after_rows = written(small, "edges")
         after = told(after_rows)
@@ -76,4 +76,4 @@ def labelled(rows: DataFrame) -> DataFrame:
     held = written(runs(rows), "pixel_runs")
     each = held.select("frame_id", "node", "x1").distinct()
     labels = connected(touching(each))
-    return held.join(labels, ["frame_id", "node"], "left").withColumn("label", F.coalesce("label", "node")).drop("node", "x1")
+    return held.join(labels.hint("merge"), ["frame_id", "node"], "left").withColumn("label", F.coalesce("label", "node")).drop("node", "x1")

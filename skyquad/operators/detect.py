@@ -2,7 +2,9 @@
 
 An image is rows (frame_id, y, x, r, g, b), or binary RGBA columns through
 pixels(). Every step works on many frames at once, and only the greedy
-evaluation takes a frame's stars as a whole.
+evaluation takes a frame's stars as a whole. Pixels are often made from rows of
+which there are far fewer, by whose size plans would broadcast them: joins with
+pixels ask for a merge.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquad.operators.components import labelled
+from skyquad.sources.store import written
 
 #: Fixed defaults of the detector: blur radius, threshold in noise levels, component limits, most stars.
 BLUR, SIGMA, MIN_RADIUS, MAX_RADIUS, MIN_FLUX, MIN_PIXELS, MAX_STARS = 15, 5.0, 1.0, 50.0, 100.0, 3, 50
@@ -72,7 +75,7 @@ def resized(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         df = df.withColumn("_share", share).drop(c).withColumnRenamed("_to", c)
         return df.groupBy("frame_id", "_w", "_h", "_high", "y", "x").agg(*[F.sum(F.col(k) * F.col("_share")).alias(k) for k in "rgb"])
 
-    out = rows.join(size, "frame_id").select("frame_id", "_w", "_h", "_high", "y", "x", *[F.col(k).cast("double").alias(k) for k in "rgb"])
+    out = rows.join(size.hint("merge"), "frame_id").select("frame_id", "_w", "_h", "_high", "y", "x", *[F.col(k).cast("double").alias(k) for k in "rgb"])
     out = along(along(out, "x", "_w", F.lit(width)), "y", "_h", F.col("_high"))
     # a hair above a half, so that the order in which shares are added decides no rounding
     return out.select("frame_id", "y", "x", *[F.floor(F.col(k) + 0.5 + 1e-9).cast("int").alias(k) for k in "rgb"])
@@ -117,7 +120,7 @@ def above_background(rows: DataFrame, radius: int = BLUR) -> DataFrame:
 def noise(rows: DataFrame, step: int = 10) -> DataFrame:
     """(frame_id, noise): 1.4826 times the median deviation from the median of every step-th pixel above 0, upper medians; 1 without such pixels."""
     size = rows.groupBy("frame_id").agg((F.max("x") + 1).alias("width"))
-    some = rows.join(size, "frame_id").filter(((F.col("y") * F.col("width") + F.col("x")) % step == 0) & (F.col("sub") > 0))
+    some = rows.join(size.hint("merge"), "frame_id").filter(((F.col("y") * F.col("width") + F.col("x")) % step == 0) & (F.col("sub") > 0))
 
     def upper(df: DataFrame, value: str, name: str) -> DataFrame:
         frame = Window.partitionBy("frame_id")
@@ -125,13 +128,13 @@ def noise(rows: DataFrame, step: int = 10) -> DataFrame:
         return at.filter(F.col("_k") == F.floor(F.col("_n") / 2) + 1).select("frame_id", F.col(value).cast("double").alias(name))
 
     middle = upper(some, "sub", "median")
-    off = some.join(middle, "frame_id").withColumn("off", F.abs(F.col("sub").cast("double") - F.col("median")))
+    off = some.join(middle.hint("merge"), "frame_id").withColumn("off", F.abs(F.col("sub").cast("double") - F.col("median")))
     mad = upper(off, "off", "mad")
-    return size.select("frame_id").join(mad, "frame_id", "left").select("frame_id", F.coalesce(F.col("mad") * 1.4826, F.lit(1.0)).alias("noise"))
+    return size.select("frame_id").join(mad.hint("merge"), "frame_id", "left").select("frame_id", F.coalesce(F.col("mad") * 1.4826, F.lit(1.0)).alias("noise"))
 
 
 def lit(rows: DataFrame, sigma: float = SIGMA) -> DataFrame:
-    return rows.join(noise(rows), "frame_id").filter(F.col("sub") > F.col("noise") * sigma).drop("noise")
+    return rows.join(noise(rows).hint("merge"), "frame_id").filter(F.col("sub") > F.col("noise") * sigma).drop("noise")
 
 
 def stars_of(rows: DataFrame, least_flux: float = MIN_FLUX, least_radius: float = MIN_RADIUS, most_radius: float = MAX_RADIUS) -> DataFrame:
@@ -147,8 +150,8 @@ def brightest(stars: DataFrame, most: int = MAX_STARS) -> DataFrame:
 
 
 def detect(rows: DataFrame, sigma: float = SIGMA, most: int = MAX_STARS, least_flux: float = MIN_FLUX) -> DataFrame:
-    """From pixels to sources: (frame_id, source_idx, x_px, y_px, flux)."""
-    found = brightest(stars_of(labelled(lit(above_background(rows), sigma)), least_flux), most)
+    """From pixels to sources: (frame_id, source_idx, x_px, y_px, flux). Pixels above their background are read several times, so they are written once."""
+    found = brightest(stars_of(labelled(lit(written(above_background(rows), "above_background"), sigma)), least_flux), most)
     return found.select("frame_id", "source_idx", F.col("x").alias("x_px"), F.col("y").alias("y_px"), "flux")
 
 
@@ -157,17 +160,22 @@ def render(frames: DataFrame, stars: DataFrame, noise_sigma: float = 0.0, seed:
 
     A star adds a rounded Gaussian within three sigma; a pixel holds 255 at
     most. As nothing is ever taken away, the order of the stars is of no account.
+    Frames and stars meet by lines, each with the lights of its pixels, so that
+    pixels are neither shuffled nor sorted; a line is the largest group.
     """
-    grid = frames.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = frames.repartition(parts, "frame_id").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
     reach = F.ceil(F.col("sigma") * 3)
     near = lambda c: F.explode(F.sequence((F.floor(c) - reach).cast("int"), (F.ceil(c) + reach).cast("int")))
     s = stars.withColumnsRenamed({"x": "sx", "y": "sy"}).withColumn("y", near(F.col("sy"))).withColumn("x", near(F.col("sx")))
     dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
     light = F.round(F.col("flux") * F.exp((dx * dx + dy * dy) / (F.col("sigma") * F.col("sigma")) * -0.5))
     added = s.filter((F.abs(dx) <= reach) & (F.abs(dy) <= reach)).groupBy("frame_id", "y", "x").agg(F.sum(light).alias("light"))
+    lights = added.groupBy("frame_id", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "light"))).alias("lights"))
+    grid = lines.join(lights.hint("merge"), ["frame_id", "y"], "left").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     base = F.col("background") + (F.round(F.randn(seed) * noise_sigma) if noise_sigma else F.lit(0.0))
-    value = F.least(F.lit(255.0), F.greatest(F.lit(0.0), base) + F.coalesce("light", F.lit(0.0))).cast("int")
-    return grid.join(added, ["frame_id", "y", "x"], "left").select("frame_id", "y", "x", *[value.alias(c) for c in "rgb"])
+    value = F.least(F.lit(255.0), F.greatest(F.lit(0.0), base) + F.coalesce(F.col("lights")[F.col("x")], F.lit(0.0))).cast("int")
+    return grid.select("frame_id", "y", "x", value.alias("v")).select("frame_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"])
 
 
 def evaluated(detected: DataFrame, truth: DataFrame, most_px: float = 3.0) -> DataFrame:
@@ -187,7 +195,7 @@ def evaluated(detected: DataFrame, truth: DataFrame, most_px: float = 3.0) -> Da
                         out.append((frame, q["source_idx"], best[1], float(best[0])))
             yield pd.DataFrame(out, columns=["frame_id", "source_idx", "star_idx", "error_px"])
 
-    return d.join(t, "frame_id").mapInPandas(match, "frame_id long, source_idx int, star_idx int, error_px double")
+    return d.join(t.hint("merge"), "frame_id").mapInPandas(match, "frame_id long, source_idx int, star_idx int, error_px double")
 
 
 def missed(truth: DataFrame, matches: DataFrame) -> DataFrame:
@@ -201,5 +209,5 @@ def false_positives(detected: DataFrame, matches: DataFrame) -> DataFrame:
 def metrics(matches: DataFrame, truth: DataFrame) -> DataFrame:
     """(frame_id, n_true, n_matched, mean_error, max_error, match_rate); without matches the largest error is infinite and the mean 0."""
     m = matches.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_matched"), F.avg("error_px").alias("mean_error"), F.max("error_px").alias("max_error"))
-    t = truth.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_true")).join(m, "frame_id", "left")
+    t = truth.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_true")).join(m.hint("merge"), "frame_id", "left")
     return t.select("frame_id", "n_true", F.coalesce("n_matched", F.lit(0)).alias("n_matched"), F.coalesce("mean_error", F.lit(0.0)).alias("mean_error"), F.coalesce("max_error", F.lit(float("inf"))).alias("max_error"), F.coalesce(F.col("n_matched") / F.col("n_true"), F.lit(0.0)).alias("match_rate"))
