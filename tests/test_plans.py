@@ -15,3 +15,8 @@ def plan(df):
 def test_no_pixels_are_broadcast(spark, name):
     """Pixels are many times the rows that they are made from, by whose size they would be broadcast."""
     assert "Broadcast" not in plan(registry.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["nearest_neighbours", "one_to_one_matches", "match_error"])
+def test_no_places_are_broadcast(spark, name):
+    assert "Broadcast" not in plan(registry.QUERIES[name](spark, SF))
