@@ -36,9 +36,26 @@ def brighter_than(stars: DataFrame, most: float) -> DataFrame:
     return stars.filter(F.col("mag") <= F.lit(float(most)))
 
 
+def least_cosine(radius_deg: float) -> float:
+    """The least number whose arc cosine in degrees is at most radius_deg; 2 for a negative radius."""
+    if radius_deg < 0:
+        return 2.0
+    c = math.cos(math.radians(min(radius_deg, 180.0)))
+    while math.degrees(math.acos(c)) > radius_deg:
+        c = math.nextafter(c, 1.0)
+    while c > -1.0 and math.degrees(math.acos(math.nextafter(c, -1.0))) <= radius_deg:
+        c = math.nextafter(c, -1.0)
+    return c
+
+
 def cone(stars: DataFrame, ra: float, dec: float, radius_deg: float) -> DataFrame:
-    """Stars within radius_deg, the edge included. On a sky index, zones out of reach are pruned first."""
-    near = separation(ra, dec) <= F.lit(float(radius_deg))
+    """Stars within radius_deg, the edge included. On a sky index, zones out of reach are pruned first.
+
+    Cosines are compared: at the edge, engines differ in the last digit of an
+    arc cosine.
+    """
+    cos = unit_vector("ra_deg", "dec_deg").dot(unit_vector(ra, dec))
+    near = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)) >= F.lit(least_cosine(float(radius_deg)))
     if "zone" in stars.columns:
         lo, hi = (math.floor((dec + s * (radius_deg + 1e-9) + 90) / ZONE_DEG) for s in (-1, 1))
         near = F.col("zone").between(lo, hi) & near
