@@ -29,7 +29,9 @@ ASTR_STAR = np.dtype([("id", "<u4"), ("ra_deg", "<f4"), ("dec_deg", "<f4"), ("ma
 ADB_HEAD = struct.Struct("<4sIIIfffIII24x")
 ADB_STAR = np.dtype([("catalog_id", "<u4"), ("ra_rad", "<f4"), ("dec_rad", "<f4"), ("x_unit", "<f4"), ("y_unit", "<f4"), ("z_unit", "<f4"), ("mag", "<f4")])
 ADB_PATTERN = np.dtype([("s0", "<u2"), ("s1", "<u2"), ("s2", "<u2"), ("s3", "<u2")])
-ASTR_MAGIC, ADB_MAGIC, VERSION, MAX_STARS = b"ASTR", b"ADB\0", 1, 65_536
+#: A database of more stars than 16 bits number: the same layout with 32-bit numbers, under a magic of its own, so that readers of 16 bits refuse it.
+WIDE_PATTERN = np.dtype([("s0", "<u4"), ("s1", "<u4"), ("s2", "<u4"), ("s3", "<u4")])
+ASTR_MAGIC, ADB_MAGIC, WIDE_MAGIC, VERSION, MAX_STARS = b"ASTR", b"ADB\0", b"ADBW", 1, 65_536
 SCHEMAS = {
     "astr": "position long, id long, ra_deg double, dec_deg double, mag double, x double, y double, z double",
     "stars": "star_index int, catalog_id long, ra_rad float, dec_rad float, x_unit float, y_unit float, z_unit float, mag float",
@@ -49,7 +51,7 @@ def checked_head(raw: bytes, layout: struct.Struct, magic: bytes) -> tuple:
     if len(raw) < layout.size:
         raise Truncated("the header is too short")
     values = layout.unpack(raw)
-    if values[0] != magic:
+    if values[0] != magic and (magic, values[0]) != (ADB_MAGIC, WIDE_MAGIC):
         raise BadMagic(f"wrong magic {values[0]!r}")
     if values[1] != VERSION:
         raise UnsupportedVersion(f"unknown version {values[1]}")
@@ -62,6 +64,10 @@ def head(path: str, layout: struct.Struct, magic: bytes) -> tuple:
         return checked_head(f.read(layout.size), layout, magic)
 
 
+def pattern_kind(magic: bytes) -> np.dtype:
+    return WIDE_PATTERN if magic == WIDE_MAGIC else ADB_PATTERN
+
+
 def columns_of(section: str, rows, first: int) -> list[pa.Array]:
     """The columns of SCHEMAS of a section's records, numbered from first; of the header, its values but for the magic."""
     if section == "header":
@@ -99,7 +105,7 @@ class Records(DataSourceReader):
         h = head(self.path, ADB_HEAD, ADB_MAGIC)
         if self.section == "header":
             return None, 0, 1
-        return (ADB_STAR, ADB_HEAD.size, h[2]) if self.section == "stars" else (ADB_PATTERN, ADB_HEAD.size + ADB_STAR.itemsize * h[2], h[3])
+        return (ADB_STAR, ADB_HEAD.size, h[2]) if self.section == "stars" else (pattern_kind(h[0]), ADB_HEAD.size + ADB_STAR.itemsize * h[2], h[3])
 
     def partitions(self) -> list[InputPartition]:
         kind, at, n = self.layout()
@@ -210,13 +216,13 @@ class Adb(DataSource):
         return "adb"
 
     def schema(self) -> str:
-        return SCHEMAS[self.options.get("section", "stars")]
+        return SCHEMAS["patterns" if (section := self.options.get("section", "stars")) == "wide" else section]
 
     def reader(self, schema) -> Records:
         return Records(self.options["path"], self.options.get("section", "stars"), int(self.options.get("records", 1 << 20)))
 
     def writer(self, schema, overwrite) -> RecordWriter:
-        return RecordWriter(self.options["path"], ADB_STAR if self.options.get("section", "stars") == "stars" else ADB_PATTERN)
+        return RecordWriter(self.options["path"], {"stars": ADB_STAR, "patterns": ADB_PATTERN, "wide": WIDE_PATTERN}[self.options.get("section", "stars")])
 
 
 def register(spark: SparkSession) -> None:
@@ -265,18 +271,18 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def write_adb(stars: DataFrame, patterns: DataFrame, path: str, min_fov_deg: float = 0.0, max_fov_deg: float = 180.0, max_mag: float = 7.0, epoch: int = 2000, pattern_size: int = 4, pattern_bins: int = 50) -> int:
-    """Writes a solver database and returns its number of stars. More than 65,536 stars do not fit the format's 16-bit numbers and are refused."""
+    """Writes a solver database and returns its number of stars. Patterns name stars by 16-bit numbers; where there are more than 65,536 stars, by 32-bit ones, under another magic."""
     register(stars.sparkSession)
     columns = ["catalog_id", "ra_rad", "dec_rad", "x_unit", "y_unit", "z_unit", "mag"]
     n, m = stars.count(), patterns.count()
-    if n > MAX_STARS:
-        raise FormatError(f"{n} stars; the format holds {MAX_STARS}")
-    for df, order, names, section in ((stars, "star_index", columns, "stars"), (patterns, "pattern_index", list(ADB_PATTERN.names), "patterns")):
+    wide = n > MAX_STARS
+    sections = ("stars", "wide" if wide else "patterns")
+    for df, order, names, section in ((stars, "star_index", columns, sections[0]), (patterns, "pattern_index", list(ADB_PATTERN.names), sections[1])):
         df.repartitionByRange(order).sortWithinPartitions(order).select(*names).write.format("adb").option("section", section).mode("append").save(f"{path}.{section}")
     files, at = store(path)
     with files.open_output_stream(at) as out:
-        out.write(ADB_HEAD.pack(ADB_MAGIC, VERSION, n, m, min_fov_deg, max_fov_deg, max_mag, epoch, pattern_size, pattern_bins))
-        for section in ("stars", "patterns"):
+        out.write(ADB_HEAD.pack(WIDE_MAGIC if wide else ADB_MAGIC, VERSION, n, m, min_fov_deg, max_fov_deg, max_mag, epoch, pattern_size, pattern_bins))
+        for section in sections:
             with files.open_input_file(f"{at}.{section}") as f:
                 while block := f.read(1 << 22):
                     out.write(block)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquad.errors import FormatError, Truncated
-from skyquad.sources.binary import ADB_HEAD, ADB_MAGIC, ADB_PATTERN, ADB_STAR, SCHEMAS, VERSION, checked_head, columns_of
+from skyquad.sources.binary import ADB_HEAD, ADB_MAGIC, ADB_PATTERN, ADB_STAR, SCHEMAS, VERSION, checked_head, columns_of, pattern_kind
 
 #: Records of a batch that leaves a task.
 STEP = 1 << 16
@@ -19,7 +19,7 @@ STEP = 1 << 16
 def _section(data: bytes, section: str) -> tuple[tuple, int, int]:
     """The header and the place and number of a section's records; FormatError if the bytes cannot hold them."""
     head = checked_head(bytes(data[: ADB_HEAD.size]), ADB_HEAD, ADB_MAGIC)
-    kind, at, n = (ADB_STAR, ADB_HEAD.size, head[2]) if section == "stars" else (ADB_PATTERN, ADB_HEAD.size + ADB_STAR.itemsize * head[2], head[3])
+    kind, at, n = (ADB_STAR, ADB_HEAD.size, head[2]) if section == "stars" else (pattern_kind(head[0]), ADB_HEAD.size + ADB_STAR.itemsize * head[2], head[3])
     if section != "header" and len(data) < at + n * kind.itemsize:
         raise Truncated(f"{section}: {max(0, len(data) - at) // kind.itemsize} of {n} records are there")
     return head, at, n
@@ -51,7 +51,7 @@ def decoded(databases: DataFrame, section: str = "stars", key: str = "db_id", co
                 if section == "header":
                     yield pa.RecordBatch.from_arrays([own(1), pa.nulls(1, pa.string()), *columns_of(section, head[1:], 0)], names=[key, "error", *names])
                     continue
-                rows = np.frombuffer(data, ADB_STAR if section == "stars" else ADB_PATTERN, n, at)
+                rows = np.frombuffer(data, ADB_STAR if section == "stars" else pattern_kind(head[0]), n, at)
                 for first in range(0, n, STEP):
                     part = rows[first : first + STEP]
                     yield pa.RecordBatch.from_arrays([own(len(part)), pa.nulls(len(part), pa.string()), *columns_of(section, part, first)], names=[key, "error", *names])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyquad.functions import hashes
 from skyquad.functions.camera import from_gnomonic, gnomonic
 from skyquad.operators import catalog, detect, fits, matching, points
-from skyquad.sources import binary, catalog_csv
+from skyquad.sources import binary, catalog_csv, encoded
 
 
 def stars(spark, rows):
@@ -118,6 +118,23 @@ def test_solver_database_round_trip(spark, tmp_path):
     assert binary.read_adb(spark, path).filter("star_index = 9").count() == 0
 
 
+def test_database_of_more_stars_than_16_bits(spark, tmp_path):
+    path, n = str(tmp_path / "w.adb"), binary.MAX_STARS + 1
+    s = spark.range(n).selectExpr("cast(id as int) star_index", "id + 7 catalog_id", *[f"cast(id as float) {c}" for c in ("ra_rad", "dec_rad", "x_unit", "y_unit", "z_unit", "mag")])
+    p = spark.createDataFrame([(0, 0, 1, 2, 65_536), (1, 65_533, 65_534, 65_535, 65_536)], binary.SCHEMAS["patterns"])
+    assert binary.write_adb(s, p, path, 10, 30) == n
+    h = binary.read_adb(spark, path, "header").first()
+    assert (h["version"], h["n_stars"], h["n_patterns"]) == (1, n, 2)
+    assert [tuple(r) for r in binary.read_adb(spark, path, "patterns").orderBy("pattern_index").collect()] == [tuple(r) for r in p.collect()]
+    assert binary.read_adb(spark, path).filter("star_index = 65536").first()["catalog_id"] == 65_543
+    held = spark.read.format("binaryFile").load(path).selectExpr("1L as db_id", "content")
+    assert [tuple(r)[2:] for r in encoded.decoded(held, "patterns").collect()] == [tuple(r) for r in p.collect()]
+    # one star less, and the file is the 16-bit one
+    small = str(tmp_path / "s.adb")
+    binary.write_adb(s.limit(binary.MAX_STARS), p.limit(0), small)
+    assert open(path, "rb").read(4) == binary.WIDE_MAGIC and open(small, "rb").read(4) == binary.ADB_MAGIC
+
+
 def test_hipparcos_rows(spark, tmp_path):
     f = tmp_path / "h.csv"
     f.write_text("HIP,Vmag,RA_ICRS_deg,DE_ICRS_deg\n1,9.1,0.5,1.5\nx,1,2,3\n3,,10,20\n4,bad,10,-20\n5,1,2,95\n6,1,,3\n")
