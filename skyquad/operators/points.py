@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquad.functions import hashes
+from skyquad.sources.store import written
 
 #: Fixed values of the solver.
 MAX_SOURCES, MIN_BASELINE_PX, MAX_QUADS = 25, 5.0, 5000
@@ -86,27 +87,79 @@ def quads(sources: DataFrame, most: int = MAX_SOURCES, least_px: float = MIN_BAS
     return out.select("frame_id", "i", "j", "k", "l", "points", "quality", "f", "order", "key")
 
 
+def first_wide(xs: np.ndarray, ys: np.ndarray, most: int, least_px: float) -> Iterator[tuple[int, int, int, int]]:
+    """The first most combinations of four points, in lexical order, of which two are least_px apart or more.
+
+    A combination is looked at through distances from its first three points to
+    all later ones, so memory is a few numbers for each point. Points without a
+    far one among those after them are found once, a block at a time, and passed
+    over where the points before them decide nothing.
+    """
+    xs, ys = np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)
+    n, found = len(xs), 0
+    far = lambda i: np.hypot(xs - xs[i], ys - ys[i]) >= least_px
+    ahead: list[np.ndarray] = []  # whether a point has a far one after it
+
+    def has_ahead() -> np.ndarray:
+        if not ahead:
+            step = max(1, (1 << 20) // n)
+            parts = []
+            for i in range(0, n, step):
+                d = np.hypot(xs[i : i + step, None] - xs, ys[i : i + step, None] - ys) >= least_px
+                parts.append((d & (np.arange(n) > np.arange(i, min(i + step, n))[:, None])).any(axis=1))
+            ahead.append(np.concatenate(parts))
+        return ahead[0]
+
+    for i in range(n - 3):
+        from_i = far(i)
+        if not from_i[i + 1 :].any() and not has_ahead()[i + 1 :].any():
+            return  # no two of the points that are left are far from each other
+        for j in range(i + 1, n - 2):
+            either = from_i | far(j)
+            ks = range(j + 1, n - 1) if from_i[j] or either[j + 1 :].any() else j + 1 + np.flatnonzero(has_ahead()[j + 1 : n - 1])
+            if not len(ks) and not from_i[i + 1 :].any() and not has_ahead()[j:].any():
+                break  # nor with a later j
+            for k in ks:
+                hit = np.arange(k + 1, n) if from_i[j] or either[k] else k + 1 + np.flatnonzero(either[k + 1 :] | far(k)[k + 1 :])
+                for m in hit[: most - found]:
+                    yield i, j, int(k), int(m)
+                found += min(len(hit), most - found)
+                if found >= most:
+                    return
+
+
 def early_quads(sources: DataFrame, most_quads: int = MAX_QUADS, least_px: float = MIN_BASELINE_PX) -> DataFrame:
     """(frame_id, i, j, k, l, f): the first most_quads combinations of a frame's sources, in input order, that are wide enough; f is null for points that coincide.
 
-    Combinations are made from the fewest leading sources that give enough, and
-    from more only where too few of those are wide enough.
+    Combinations are made from the frame's leading sources, of which those that
+    begin with its first three are enough unless too few of them are wide
+    enough; only frames of which that is so are then gone through whole.
     """
+    leading = most_quads + 3
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from itertools import combinations, islice
-
         for f in frames:
             rows = []
-            for frame, xs, ys in zip(f["frame_id"], f["xs"], f["ys"], strict=True):
-                d = np.hypot(np.subtract.outer(xs, xs), np.subtract.outer(ys, ys))
-                wide = (c for c in combinations(range(len(xs)), 4) if max(d[a, b] for a, b in combinations(c, 2)) >= least_px)
-                rows += [(frame, *c, [xs[q] for q in c], [ys[q] for q in c]) for c in islice(wide, most_quads)]
+            for frame, xs, ys, more in zip(f["frame_id"], f["xs"], f["ys"], f["more"], strict=True):
+                found = list(first_wide(xs, ys, most_quads, least_px))
+                if more and (len(found) < most_quads or found[-1][2] > 2):
+                    rows.append((frame, -1, 0, 0, 0, [], []))  # later sources may come before some of these
+                else:
+                    rows += [(frame, *c, [xs[q] for q in c], [ys[q] for q in c]) for c in found]
             yield pd.DataFrame(rows, columns=["frame_id", "i", "j", "k", "l", "xs", "ys"])
 
-    lists = sources.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("source_idx", F.col("x_px").cast("double").alias("x"), F.col("y_px").cast("double").alias("y")))).alias("s"))
-    lists = lists.select("frame_id", F.col("s.x").alias("xs"), F.col("s.y").alias("ys"))
-    out = lists.mapInPandas(first, "frame_id long, i int, j int, k int, l int, xs array<double>, ys array<double>")
+    def made(rows: DataFrame, more: Column) -> DataFrame:
+        lists = rows.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("source_idx", F.col("x_px").cast("double").alias("x"), F.col("y_px").cast("double").alias("y")))).alias("s"))
+        lists = lists.select("frame_id", F.col("s.x").alias("xs"), F.col("s.y").alias("ys"), more.alias("more"))
+        return lists.mapInPandas(first, "frame_id long, i int, j int, k int, l int, xs array<double>, ys array<double>")
+
+    order = Window.partitionBy("frame_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("source_idx", "x_px", "y_px")])
+    head = sources.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= leading + 1)
+    early = written(made(head, F.size("s") > leading), "early_quads")
+    rest = early.filter("i < 0").select("frame_id")
+    out = early.filter("i >= 0")
+    if rest.limit(1).count():
+        out = out.unionByName(made(sources.join(rest, "frame_id", "left_semi"), F.lit(False)))
     points = F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     return out.select("frame_id", "i", "j", "k", "l", hashes.signed_feature(points).alias("f"))
 

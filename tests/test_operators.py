@@ -88,6 +88,36 @@ def test_greedy_distance_filter(spark):
     assert {(r["frame_id"], r["source_idx"]) for r in points.apart(s, 5.0).collect()} == {(0, 0), (0, 2), (1, 0)}
 
 
+def test_first_wide_combinations():
+    rng = np.random.default_rng(3)
+    for n, spread in itertools.product((0, 3, 4, 7, 11), (0.0, 3.0, 6.0, 40.0)):
+        xs, ys = rng.normal(0, spread + 1e-9, n), rng.normal(0, spread, n)
+        if n > 6:
+            xs[rng.integers(n)] += 30 * (spread == 3.0)
+        d = np.hypot(np.subtract.outer(xs, xs), np.subtract.outer(ys, ys))
+        want = [c for c in itertools.combinations(range(n), 4) if max(d[a, b] for a, b in itertools.combinations(c, 2)) >= 5.0]
+        for most in (1, 5, 1000):
+            assert list(points.first_wide(xs, ys, most, 5.0)) == want[:most]
+
+
+def test_early_quads_of_crowded_frames(spark):
+    # frame 0 is wide, in frame 1 only the last source is far from the others, in frame 2 none is
+    place = "case frame_id when 0 then cast(id * 7 % 100 as double) when 1 then if(id = 2999, 50D, 0D) else 0D end x_px"
+    s = spark.range(3).withColumnRenamed("id", "frame_id").crossJoin(spark.range(3000)).selectExpr("frame_id", "id as source_idx", place, "0D as y_px", "1D as flux")
+    got = {(r["frame_id"], r["i"], r["j"], r["k"], r["l"]) for r in points.early_quads(s, 20).select("frame_id", "i", "j", "k", "l").collect()}
+    assert got == {(0, 0, 1, 2, n) for n in range(3, 23)} | {(1, 0, 1, k, 2999) for k in range(2, 22)}
+
+
+def test_crowded_frame_needs_little_memory():
+    import tracemalloc
+
+    xs = np.arange(20_000) % 977.0
+    tracemalloc.start()
+    assert len(list(points.first_wide(xs, xs, 200, 5.0))) == 200
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000  # all distances would be 3.2 GB
+    tracemalloc.stop()
+
+
 def test_one_star_keeps_one_source(spark):
     right = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 1.0, 0.0)], "frame_id int, other int, ox double, oy double")
     crowd = spark.createDataFrame([(0, 0, 0.01, 0.0), (0, 1, 0.03, 0.0)], "frame_id int, id int, x double, y double")
