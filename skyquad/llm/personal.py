@@ -11,12 +11,12 @@ addresses. A threshold for each kind, set on documents kept apart, decides.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyquad.llm.common import documents, forget, small_batches, written
@@ -27,6 +27,8 @@ SPANS = "array<struct<start: bigint, rank: int, kind: string, end: bigint, score
 FEATURES = ("kind", "length", "digits", "groups", "first_group", "last_group", "longest_group", "shortest_group", "separators", "plus", "brackets", "luhn", "largest_part", "distinct_digits", "local", "labels", "last_label", "last_label_letters", "left", "right", "word_before", "cue")
 #: The longest span that a generator proposes, and the most digits.
 LONGEST, DIGITS = 96, 19
+#: Derivatives are counted in 1 / UNIT, so that the sums over 4 billion rows are exact; a cut is one of STEPS steps.
+UNIT, STEPS = float(1 << 20), 1 << 20
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NEAR_HOST = re.compile(r"[A-Za-z0-9.-]+")
@@ -211,25 +213,39 @@ def no_model() -> Model:
     return Model(np.zeros((0, 7), np.int64), np.zeros((0, 7)), np.zeros((0, 8)), -30.0, np.full(len(KINDS), np.inf))
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, rate: float = 0.2, bins: int = 32, least: float = 1.0, l2: float = 1.0) -> Model:
-    """Gradient boosting of the log loss with Newton steps, on histograms of at most bins values a feature; least: the least sum of second derivatives in a leaf."""
-    if not (0 < (weight * y).sum() < weight.sum()):
-        return no_model()
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
-    at = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
-    n, width = x.shape
-    weight = weight / weight.mean()
-    share = np.clip((weight * y).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+def histograms(at: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: list[tuple], bias: float, tree: tuple, level: int, bins: int) -> np.ndarray:
+    """The sums of the first and second derivatives of the log loss for each node of a level of the tree that grows, feature and bin.
+
+    trees and tree split by bins: (feature, bin, value). at has each row's bins.
+    Derivatives are whole multiples of a small unit, so that sums of parts are
+    the same in any order.
+    """
+    z, rows = np.full(len(at), bias), np.arange(len(at))
+
+    def below(feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+        node = np.zeros(len(at), dtype=np.int64)
+        for _ in range(levels):
+            node = 2 * node + 1 + (at[rows, feature[node]] > cut[node])
+        return node - (2**levels - 1)
+
+    for feature, cut, value in trees:
+        z += value[below(feature, cut, 3)]
+    p = 1 / (1 + np.exp(-z))
+    many, width = 2**level, at.shape[1]
+    cell = ((below(*tree, level)[:, None] * width + np.arange(width)) * bins + at).ravel()
+    return np.stack([np.bincount(cell, np.repeat(np.rint(v * UNIT) * weight, width), many * width * bins).reshape(many, width, bins) for v in (p - y, p * (1 - p))]) / UNIT
+
+
+def grown(sums: Callable[..., np.ndarray], edges: list[np.ndarray], share: float, rounds: int = 60, rate: float = 0.2, bins: int = 32, least: float = 1.0, l2: float = 1.0) -> tuple[Model, list[tuple]]:
+    """Gradient boosting of the log loss with Newton steps: the trees by thresholds and by bins. sums(trees, bias, tree, level) gives histograms() of all rows; share: of label 1; least: the least sum of second derivatives in a leaf."""
+    share = np.clip(share, 1e-4, 1 - 1e-4)
     bias = float(np.log(share / (1 - share)))
-    z, trees = np.full(n, bias), []
+    trees: list[tuple] = []
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-z))
-        g, h = weight * (p - y), weight * p * (1 - p)
-        node, feature, threshold = np.zeros(n, dtype=np.int64), np.zeros(7, dtype=np.int64), np.full(7, np.inf)
+        feature, cut = np.zeros(7, dtype=np.int64), np.full(7, bins)
         for level in range(3):
             first, many = 2**level - 1, 2**level
-            cell = (((node - first)[:, None] * width + np.arange(width)) * bins + at).ravel()
-            gs, hs = (np.bincount(cell, np.repeat(v, width), many * width * bins).reshape(many, width, bins).cumsum(axis=2) for v in (g, h))
+            gs, hs = sums(trees, bias, (feature, cut), level).cumsum(axis=3)
             total_g, total_h = gs[:, :, -1:], hs[:, :, -1:]
             gain = gs**2 / (hs + l2) + (total_g - gs) ** 2 / (total_h - hs + l2) - total_g**2 / (total_h + l2)
             gain[(hs < least) | (total_h - hs < least)] = 0
@@ -238,13 +254,22 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, ra
             for k in np.flatnonzero(gain[np.arange(many), best] > 1e-9):
                 f, b = divmod(int(best[k]), bins)
                 if b < len(edges[f]):
-                    feature[first + k], threshold[first + k] = f, edges[f][b]
-            node = 2 * node + 1 + (x[np.arange(n), feature[node]] > threshold[node])
-        leaf = node - 7
-        value = -rate * np.bincount(leaf, g, 8) / (np.bincount(leaf, h, 8) + l2)
-        z += value[leaf]
-        trees.append((feature, threshold, value))
-    return Model(*(np.stack(t) for t in zip(*trees, strict=True)), bias, np.full(len(KINDS), np.inf))
+                    feature[first + k], cut[first + k] = f, b
+        k, last = np.arange(4), (feature[3:], np.minimum(cut[3:], bins - 1))
+        left = [v[k, *last] for v in (gs, hs)]
+        parts = [np.stack([v, t[:, 0, 0] - v], axis=1).ravel() for v, t in zip(left, (total_g, total_h), strict=True)]
+        trees.append((feature, cut, -rate * parts[0] / (parts[1] + l2)))
+    threshold = [[edges[f][b] if b < bins else np.inf for f, b in zip(feature, cut, strict=True)] for feature, cut, _ in trees]
+    return Model(np.stack([t[0] for t in trees]), np.array(threshold, dtype=np.float64), np.stack([t[2] for t in trees]), bias, np.full(len(KINDS), np.inf)), trees
+
+
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, bins: int = 32) -> Model:
+    """grown() of rows in memory, on at most bins values a feature."""
+    if not (0 < (weight * y).sum() < weight.sum()):
+        return no_model()
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
+    at = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
+    return grown(lambda *state: histograms(at, y, weight, *state, bins), edges, (weight * y).sum() / weight.sum(), rounds=rounds, bins=bins)[0]
 
 
 def cuts(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float, least: int) -> np.ndarray:
@@ -263,54 +288,92 @@ def cuts(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray, precisi
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """(kind, label, fold, row, x): a row for each candidate that a strict pattern has decided on; fold: 0 to 3 by the text; row: a number by doc_id, text and place."""
+    """(kind, label, held, x): a row for each candidate that a strict pattern has decided on; held: whether its text, one in four by a hash, sets the cuts."""
     small_batches(docs.sparkSession)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, h, key in zip(*[b[c].to_pylist() for c in ("text", "h", "key")], strict=True):
-                rows += [(k, label, h % 4, (key + i) >> 1, list(map(float, features(text, k, s, e)))) for i, (k, s, e, label) in enumerate(candidates(text)[1]) if label >= 0]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "label", "fold", "row", "x"])
+            for text, h in zip(*[b[c].to_pylist() for c in ("text", "h")], strict=True):
+                rows += [(k, label, h % 4 == 3, list(map(float, features(text, k, s, e)))) for k, s, e, label in candidates(text)[1] if label >= 0]
+            kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float32())]
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["kind", "label", "held", "x"])
+
+    texts = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.crc32(F.col("text").cast("binary")).alias("h"))
+    return texts.mapInArrow(found, "kind int, label int, held boolean, x array<float>")
+
 
-    texts = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.crc32(F.col("text").cast("binary")).alias("h"), F.xxhash64("doc_id", "text").alias("key"))
-    return texts.mapInArrow(found, "kind int, label int, fold int, row long, x array<float>")
+def quantiles(rows: DataFrame, bins: int) -> list[np.ndarray]:
+    """For each feature of rows (x, n: how often) the distinct values at the quantiles, fewer than bins, from all rows."""
+    values = rows.select("n", F.posexplode("x").alias("f", "v")).groupBy("f", "v").agg(F.sum("n").alias("n"))
+    ranked = values.withColumns({"upto": F.sum("n").over(Window.partitionBy("f").orderBy("v")), "all": F.sum("n").over(Window.partitionBy("f"))})
+    at = F.exists(F.sequence(F.lit(1), F.lit(bins - 1)), lambda k: F.floor(k * (F.col("all") - 1) / bins).between(F.col("upto") - F.col("n"), F.col("upto") - 1))
+    found = ranked.filter(at).select("f", "v").collect()  # fewer than bins a feature
+    return [np.array(sorted(r["v"] for r in found if r["f"] == f), dtype=np.float64) for f in range(len(FEATURES))]
 
 
-def train(docs: DataFrame, per_stratum: int = 3000, precision: float = 0.95, least: int = 20) -> Model:
-    """Trees from about per_stratum candidates of each kind and label, weighted by how many each stands for.
+def train(docs: DataFrame, precision: float = 0.95, least: int = 20, bins: int = 32, a_part: int = 100_000) -> Model:
+    """Trees and cuts from every candidate that a strict pattern has decided on.
 
-    All candidates are counted; a hash of doc_id, text and place picks the
-    sample, so its size does not follow the input and reruns agree. Three
-    quarters of the texts fit the trees, in one task; the others set the cuts.
+    Candidates whose features lie in the same bins are one row with a count.
+    Three quarters of the texts fit the trees: for each level of a tree, tasks
+    of about a_part rows sum their histograms, of a fixed size, and the driver
+    adds those up and chooses the splits. The other texts set the cuts, by
+    counts for each step of the score.
     """
     spark = docs.sparkSession
-    rows = written(labelled(docs), "personal_candidates")
-    counts = {(r["kind"], r["label"]): r["n"] for r in rows.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()}  # 8 rows at most
-    share = lambda k: min(1.0, per_stratum / counts[k])
-    if not counts:
+    rows = written(labelled(docs).groupBy("kind", "label", "held", "x").agg(F.count(F.lit(1)).alias("n")), "personal_candidates")
+    counts = {r["label"]: r["n"] for r in rows.filter("not held").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    if not counts.get(0) or not counts.get(1):
         forget(rows)
         return no_model()
-    picked = F.lit(False)
-    for k in sorted(counts):
-        picked = picked | ((F.col("kind") == k[0]) & (F.col("label") == k[1]) & (F.pmod(F.xxhash64(F.lit("personal sample"), "row"), F.lit(1 << 30)) < int(share(k) * (1 << 30))))
-
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(tuple(x), k, y, f) for b in batches for x, k, y, f in zip(*[b.column(c).to_pylist() for c in ("x", "kind", "label", "fold")], strict=True)]
-        got.sort()
-        x, y, fold = np.array([g[0] for g in got], dtype=np.float64).reshape(len(got), len(FEATURES)), np.array([g[2] for g in got]), np.array([g[3] for g in got])
-        weight = np.array([1 / share((k, label)) for _, k, label, _ in got])
-        model = boost(x[fold != 3], y[fold != 3], weight[fold != 3])
-        cut = cuts(model, x[fold == 3], y[fold == 3], weight[fold == 3], precision, least)
-        parts = [model.feature.astype("<i8").tobytes(), model.threshold.astype("<f8").tobytes(), model.value.astype("<f8").tobytes(), cut.astype("<f8").tobytes()]
-        yield pa.record_batch([*[[p] for p in parts], [model.bias]], names=["feature", "threshold", "value", "cut", "bias"])
-
-    got = rows.filter(picked).drop("row").repartition(1).mapInArrow(fitted, "feature binary, threshold binary, value binary, cut binary, bias double").first()
+    edges = quantiles(rows.filter("not held"), bins)
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.asarray(b["x"].flatten(), dtype=np.float64).reshape(b.num_rows, len(FEATURES))
+            at = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1).astype(np.uint8)
+            yield pa.record_batch([b["kind"], b["label"], b["held"], pa.array([r.tobytes() for r in at], pa.binary()), b["n"]], names=["kind", "label", "held", "at", "n"])
+
+    cells = rows.mapInArrow(binned, "kind int, label int, held boolean, at binary, n long").groupBy("kind", "label", "held", "at").agg(F.sum("n").alias("n"))
+    cells = written(cells, "personal_cells")
     forget(rows)
-    if got is None:
-        return no_model()
-    return Model(np.frombuffer(got["feature"], "<i8").reshape(-1, 7), np.frombuffer(got["threshold"]).reshape(-1, 7), np.frombuffer(got["value"]).reshape(-1, 8), got["bias"], np.frombuffer(got["cut"]))
+    size = cells.filter("not held").count()
+    fit = written(cells.filter("not held").repartition(max(1, -(-size // a_part))), "personal_fit")
+
+    def columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.frombuffer(b"".join(x for b in batches for x in b["at"].to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+        return at.astype(np.int64), *[np.concatenate([np.asarray(b[c], dtype=np.float64) for b in batches]) for c in ("label", "n")]
+
+    def sums(*state) -> np.ndarray:
+        def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if held := [b for b in batches if b.num_rows]:
+                yield pa.record_batch([[histograms(*columns(held), *state, bins).tobytes()]], names=["sums"])
+
+        total = np.zeros((2, 2 ** state[-1], len(FEATURES), bins))
+        for r in fit.mapInArrow(of_part, "sums binary").collect():  # at most 90 kB from each task
+            total += np.frombuffer(r["sums"]).reshape(total.shape)
+        return total
+
+    model, _ = grown(sums, edges, counts[1] / (counts[0] + counts[1]), bins=bins)
+    middles = [np.r_[e, np.inf] for e in edges]  # a value for each bin, on the same side of all thresholds
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = columns([b])[0]
+            x = np.stack([m[c] for m, c in zip(middles, at.T, strict=True)], axis=1)
+            yield pa.record_batch([b["kind"], b["label"], pa.array(np.floor(model.score(x) * STEPS).astype(np.int64)), b["n"]], names=["kind", "label", "step", "n"])
+
+    steps = cells.filter("held").mapInArrow(scored, "kind int, label int, step long, n long").groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("y"))
+    above = Window.partitionBy("kind").orderBy(F.desc("step"))  # STEPS rows at most
+    upto = steps.withColumns({"right": F.sum("y").over(above), "all": F.sum("n").over(above)})
+    good = upto.filter((F.col("step") >= STEPS // 2) & (F.col("right") >= precision * F.col("all")) & (F.col("right") >= least))
+    cut = np.full(len(KINDS), np.inf)
+    for r in good.groupBy("kind").agg(F.min("step").alias("step")).collect():
+        cut[r["kind"]] = r["step"] / STEPS
+    for df in (cells, fit):
+        forget(df)
+    return Model(model.feature, model.threshold, model.value, model.bias, cut)
 
 
 def select(text: str, model: Model) -> list[tuple[int, int, int, float | None]]:

@@ -135,3 +135,19 @@ def test_odd_rows_and_columns(spark, model):
     assert got[-1]["redacted"] == got[-2]["redacted"] == "[PHONE] [CARD] end" and all(x["score"] > 0.5 for x in got[-1]["spans"])
     assert personal.find(common.written(docs.limit(0), "none"), model).collect() == []
     assert personal.redacted("ab 12 34 cd", [(3, 2, 6, None), (4, 3, 8, 0.9), (9, 0, 11, None)]) == "ab [CARD] [EMAIL]"
+
+
+def test_all_candidates_count(spark, monkeypatch):
+    """Trees of a table are those of all its candidates in one array, however they are dealt, and copies of the table change no split."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(1500)
+    rows = personal.labelled(docs).filter("not held").collect()
+    x, y = np.array([r["x"] for r in rows], dtype=float), np.array([r["label"] for r in rows])
+    grown = personal.grown
+    monkeypatch.setattr(personal, "grown", lambda *a, **k: grown(*a, **k | {"rounds": 4}))
+    got, want = personal.train(docs, a_part=50), personal.boost(x, y, np.ones(len(x)), rounds=4)
+    assert np.array_equal(got.feature, want.feature) and np.array_equal(got.threshold, want.threshold) and got.value == pytest.approx(want.value)
+    assert np.array_equal(personal.train(docs).value, got.value)
+    held = personal.labelled(docs).filter("held").collect()
+    hx, hy = np.array([r["x"] for r in held], dtype=float), np.array([r["label"] for r in held])
+    plain_cut = personal.cuts(want, hx, hy, np.ones(len(hx)), 0.95, 20)
+    assert got.cut == pytest.approx(plain_cut, abs=2 / personal.STEPS)
