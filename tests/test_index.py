@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from skyquad.functions import hashes
 from skyquad.operators import matching, points
-from skyquad.plans import solve_queries
+from skyquad.plans import solve_queries, tables
 from skyquad.sources.store import written
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,15 @@ def test_searches_of_a_stored_index_shuffle_only_the_quads(spark, tmp_path):
     key = again.select("key").first()["key"]
     one = spark.range(1).select(F.struct(*[F.lit(key[k]).alias(k) for k in hashes.KEY]).alias("key"))
     assert matching.exact_matches(one, again).count() == index.filter(F.struct(*[F.col(f"key.{k}") for k in hashes.KEY]) == F.struct(*[F.lit(key[k]) for k in hashes.KEY])).count() > 0
+
+
+def test_pairs_are_dealt_before_they_are_counted(spark):
+    """No table of pairs is made where quads and patterns meet, and more tasks for a larger index change no result."""
+    _, _, index = solve_queries.database(spark, SF)
+    quads = written(points.quads(solve_queries.fields(written(tables.patch(spark, SF), "catalog"))), "quads")
+    few, many = (matching.candidates(quads, index, per_frame=50, a_part=n) for n in (1 << 30, 20))
+    columns = ["frame_id", "i", "j", "k", "l", "pattern_index", "rank"]
+    assert sorted(map(tuple, few.select(columns).collect())) == sorted(map(tuple, many.select(columns).collect()))
+    plan = many.select(columns)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, line in enumerate(plan) if "Aggregate [frame_id" in line)
+    assert "RepartitionByExpression" in plan[at + 1] and plan[at + 1].rstrip().endswith(str(-(-index.count() // 20)))
