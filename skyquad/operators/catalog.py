@@ -77,7 +77,7 @@ def visible(stars: DataFrame, ra: float, dec: float, fov_x_deg: float, fov_y_deg
     """Stars within 1.2 half diagonals of a field; those of unknown magnitude stay."""
     reach = math.hypot(fov_x_deg, fov_y_deg) / 2 * 1.2
     bright = F.lit(True) if most is None else F.col("mag").isNull() | (F.col("mag") <= F.lit(float(most)))
-    return stars.filter(bright & (separation(ra, dec) <= F.lit(reach)))
+    return cone(stars.filter(bright), ra, dec, reach)
 
 
 def stats(stars: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skyquad.functions import cells
 from skyquad.operators import sky, synthetic
+from skyquad.plans import registry
 from skyquad.sources import store
+from tests.oracle import same
 
 
 def directions(n, seed=1):
@@ -98,3 +101,12 @@ def test_patterns_of_more_stars_than_sixteen_bits(spark):
     patterns = store.written(synthetic.nearest_patterns(stars), "many_patterns")
     top = patterns.agg(F.count(F.lit(1)).alias("n"), F.max("pattern_index").alias("top"), F.max("s3").alias("s"), F.count_distinct("pattern_index").alias("d")).first()
     assert top["n"] == top["top"] + 1 == top["d"] > n and top["s"] == n - 1
+
+
+def test_stars_on_the_edge_of_a_cone(spark, tmp_path):
+    """The pole is 70 degrees from the cone's centre; of the stars there, SQL takes those whose cosine is not rounded down."""
+    first = next(k for k in range(20001) if k * 104729 % 20001 == 20000)
+    duckdb.execute(f"copy (select ({first} + 20001 * range)::bigint as c_custkey from range(36000)) to '{tmp_path}/customer.parquet'")
+    found = registry.QUERIES["tangent_plane"](spark, str(tmp_path))
+    assert 0 < found.count() < 36000
+    same(found, registry.SQL["tangent_plane"], tmp_path)
