@@ -1,10 +1,12 @@
 """A stored pattern index: what its plans do not do, and that it is found again."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from skyquad.functions import hashes
 from skyquad.operators import matching, points
-from skyquad.plans import solve_queries, tables
+from skyquad.plans import registry, solve_queries, tables
 from skyquad.sources.store import written
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +65,23 @@ def test_pairs_are_dealt_before_they_are_counted(spark):
     plan = many.select(columns)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     at = next(i for i, line in enumerate(plan) if "Aggregate [frame_id" in line)
     assert "RepartitionByExpression" in plan[at + 1] and plan[at + 1].rstrip().endswith(str(-(-index.count() // 20)))
+
+
+@pytest.mark.parametrize("name", ["key_lookup", "key_band_join", "stored_index_join"])
+def test_pairs_of_equal_keys_are_made_by_all_tasks(spark, name):
+    """The tables are one file each and have 23 keys; no task makes more than its share of the pairs."""
+    counts = [r["count"] for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == duckdb.sql("select count(*) from '/root/testdata/sf0.01/supplier.parquet' join '/root/testdata/sf0.01/part.parquet' on s_suppkey % 23 = p_partkey % 23").fetchall()[0][0]
+    assert len(counts) == 8 and max(counts) <= 0.25 * sum(counts)
+
+
+def test_lists_of_equal_keys(spark):
+    """Lists are bounded, lose no null and no repeated row, and give each pair once."""
+    key = F.struct(*[(F.col("n") % m).cast("int").alias(k) for k, m in zip(hashes.KEY, (3, 1, 1, 1), strict=True)]).alias("key")
+    rows = spark.range(300).select(F.col("id").alias("n")).repartition(4)
+    left, right = rows.filter("n < 40").select(key, F.when(F.col("n") % 7 != 0, F.floor(F.col("n") / 2)).alias("a")), rows.select(key, F.col("n").alias("b"))
+    lists = matching.listed(left, "a", 8)
+    assert max(r["n"] for r in lists.select(F.size("a").alias("n")).collect()) <= 8
+    found = matching.expanded(matching.exact_matches(lists, matching.listed(right, "b", 64).withColumnRenamed("b", "pattern_index")), "a", "pattern_index", run=5)
+    plain = left.join(right, "key").select("a", "b")
+    assert sorted(map(repr, map(tuple, found.select("a", "pattern_index").collect()))) == sorted(map(repr, map(tuple, plain.collect())))
