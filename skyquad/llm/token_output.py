@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,15 @@ from skyquad.llm.common import documents, shared_dir, small_batches, written
 BLOCK = 1024
 #: The share of a block's ids whose bits decide its width; the others' upper bits are exceptions.
 PERCENTILE = 90
+#: Pieces that are encoded as one text: with 2,000 the tokenizer took nearly twice as long.
+AT_ONCE = 100
 _MAGIC = b"PFRB0001"
 _TAIL = struct.Struct("<QQQ8s")  # ids, documents, where the footer starts, magic
 _FAR = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s (?:\s|\Z)")
+#: What \s means to re, for Arrow's expressions; texts where a space is in a longer run, or ends one; pieces that may not stay apart from a space before them.
+_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RUN = f"[{_SPACE}] (?:[{_SPACE}]|\\z)"
+_ODD = f"^$|^[{_SPACE}]| "
 
 
 def widths(blocks: np.ndarray, percentile: float) -> np.ndarray:
@@ -159,15 +165,27 @@ def read_file(data: bytes, block: int = BLOCK) -> Iterator[tuple[int | None, int
         yield (int(k) if ok else None), a, np.concatenate(parts)
 
 
+class Pieces:
+    """Known pieces of texts and the ids of a space and each piece: those of piece k are ids[starts[k] : starts[k + 1]]."""
+
+    def __init__(self) -> None:
+        self.names, self.ids, self.starts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str, most: int = 200_000) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, most: int = 1_000_000) -> Callable[[list[str]], list[bytes]]:
     """A function that gives texts' ids as unsigned 32-bit integers, exactly as the tokenizer at path encodes each whole text.
 
     A byte-level tokenizer with the usual splitting pattern never merges over a
     single space between two visible characters; such texts are cut there, and
-    each distinct piece is encoded once. Other tokenizers get whole texts. Two
-    generations of most pieces each are kept, about 230 bytes a piece; a piece
-    that neither has any more is encoded again.
+    each distinct piece is encoded once. Other tokenizers get whole texts. Up to
+    most pieces are kept, about 40 bytes a piece, and those of the texts at
+    hand; then all are forgotten and encoded again as they come up.
     """
     from tokenizers import Tokenizer
 
@@ -177,60 +195,82 @@ def encoder(path: str, most: int = 200_000) -> Callable[[list[str]], list[bytes]
     pre, extra = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
     apart = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in extra)
 
-    def as_bytes(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     if not apart:
-        return as_bytes
+        return lambda texts: [x.tobytes() for x in whole(texts)]
     vocabulary = model.get_vocab()
     opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
     opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # tokens that begin with a space
-    young: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
+    known = Pieces()
+
+    def one_by_one(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = whole(texts)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def apart_by_a_space(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return one_by_one([" " + p for p in pieces.to_pylist()])
 
-    def spaced(pieces: list[str]) -> list[bytes]:
-        """The ids of a space and each piece. Pieces that surely stay apart are encoded in one text; a space's token begins each."""
-        joined = np.concatenate([np.array(e.ids, dtype="<u4") for e in model.encode_batch_fast(["".join([" " + p for p in pieces[i : i + 2000]]) for i in range(0, len(pieces), 2000)], add_special_tokens=False)])
+    def spaced(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a space and each piece, and how many each has. Pieces that surely stay apart are encoded in one text; a space's token begins each."""
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(pieces), AT_ONCE), len(pieces)).astype(np.int32)), pieces.cast(pa.string()))
+        joined = np.concatenate(whole([" " + t for t in pc.binary_join(lists, " ").to_pylist()]))
         starts = np.flatnonzero(opens[joined])
         if len(starts) != len(pieces):
-            return as_bytes([" " + p for p in pieces])
-        raw, at = joined.tobytes(), [*(4 * starts).tolist(), 4 * len(joined)]
-        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal young, old
-        if len(young) > most:
-            young, old = {}, young
-        cut = [_FAR.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        wanted = set()
-        for c in cut:
-            wanted.update(c[1:])
-        wanted.difference_update(young)
-        met = wanted & old.keys() if old else set()
-        young.update((p, old[p]) for p in met)
-        fresh = list(wanted - met)
-        plain = [p for p in fresh if p and " " not in p and not p[0].isspace()]
-        rest = [p for p in fresh if not (p and " " not in p and not p[0].isspace())]
-        if plain:
-            young.update(zip(plain, spaced(plain), strict=True))
-        young.update(zip(rest, as_bytes([" " + p for p in rest]), strict=True))
-        return [b"".join([h, *map(young.__getitem__, c[1:])]) for h, c in zip(as_bytes([c[0] for c in cut]), cut, strict=True)]
+            return apart_by_a_space(pieces)
+        return joined, np.diff(starts, append=len(joined))
+
+    def learn(fresh: pa.Array) -> None:
+        odd = pc.match_substring_regex(fresh, _ODD)
+        for pieces, how in ((fresh.filter(pc.invert(odd)), spaced), (fresh.filter(odd), apart_by_a_space)):
+            if len(pieces):
+                known.add(pieces, *how(pieces))
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
+        nonlocal known
+        if len(known.names) > most:
+            known = Pieces()
+        if not len(texts):
+            return []
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        runs = pc.match_substring_regex(texts, _RUN)
+        cut = pc.split_pattern(texts.filter(pc.invert(runs)), " ").cast(kind := pa.large_list(pa.large_string()))
+        if len(cut) < len(texts):
+            cut = pa.concat_arrays([cut, pa.array([_FAR.split(t) for t in texts.filter(runs).to_pylist()], kind)])
+            cut = cut.take(pa.array(np.argsort(np.argsort(np.asarray(runs), kind="stable"), kind="stable")))  # in the order of the texts
+        ends = np.cumsum(np.asarray(cut.value_lengths()).astype(np.int64))
+        heads = np.concatenate([np.zeros(1, np.int64), ends[:-1]])  # a text's first piece has no space before it
+        coded = cut.flatten().dictionary_encode()
+        codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        later = np.ones(len(codes), dtype=bool)
+        later[heads] = False
+        wanted = np.zeros(len(names), dtype=bool)
+        wanted[codes[later]] = True
+        fresh = names.filter(pc.and_(pa.array(wanted), pc.invert(pc.is_in(names, value_set=known.names))))
+        if len(fresh):
+            learn(fresh)
+        at = pc.fill_null(pc.index_in(names, value_set=known.names), 0).to_numpy().astype(np.int64)[codes]
+        head_ids, head_sizes = one_by_one(names.take(pa.array(codes[heads])).to_pylist())
+        at[heads] = len(known.names) + np.arange(len(heads))
+        ids, starts = np.concatenate([known.ids, head_ids]), np.concatenate([known.starts, known.starts[-1] + np.cumsum(head_sizes)])
+        sizes = (starts[1:] - starts[:-1])[at]
+        upto = np.cumsum(sizes)
+        out = ids[np.repeat(starts[at] - upto + sizes, sizes) + np.arange(upto[-1])]
+        edges = [0, *upto[ends - 1].tolist()]
+        return [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     return encode
 
 
-def runs_of(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def runs_of(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, pa.Array]]:
     """(place, texts, nulls as empty ones) in runs of most characters, or of one text."""
-    held, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        t = t.as_py() or ""
-        if held and size + len(t) > most:
-            yield first, held
-            held, size, first = [], 0, i
-        held.append(t)
-        size += len(t)
-    if held:
-        yield first, held
+    texts = pc.fill_null(texts, "")
+    ends, first = np.cumsum(np.asarray(pc.utf8_length(texts)).astype(np.int64)), 0
+    while first < len(texts):
+        past = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, texts.slice(first, past - first)
+        first = past
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, ids_a_file: int = 1 << 22) -> DataFrame:

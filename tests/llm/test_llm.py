@@ -479,3 +479,35 @@ def test_pipeline_against_a_plain_version(spark):
             at += len(ids)
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+def test_pieces_are_encoded_in_short_texts(monkeypatch):
+    """Texts of 2,000 pieces took the tokenizer nearly twice as long; every distinct piece is still encoded once, whatever texts stand between."""
+    import tokenizers
+
+    path, seen = token_output.default_tokenizer(), []
+
+    class Watched:
+        def __init__(self, model):
+            self.model = model
+
+        def get_vocab(self):
+            return self.model.get_vocab()
+
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return self.model.encode_batch_fast(texts, **how)
+
+    class Loader:
+        from_file = staticmethod(lambda p: Watched(model))
+
+    model = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Loader)
+    token_output.encoder.cache_clear()
+    texts = [" ".join(f"w{i}" for i in range(1000)), "a \n b", "", " ".join(f"w{i}" for i in range(500, 3000)), "x  y\t "]
+    encode = token_output.encoder(path)
+    got = encode(texts) + encode(texts)
+    token_output.encoder.cache_clear()
+    assert got == 2 * [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert max(len(t.split(" ")) for t in seen) <= token_output.AT_ONCE + 1
+    assert sum(p in {f"w{i}" for i in range(1, 3000)} for t in seen for p in t.split(" ")) == 2999 + 2  # once each, but for w500 at two heads
