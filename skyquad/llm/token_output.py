@@ -178,7 +178,7 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, most: int = 1_000_000) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, most: int = 400_000) -> Callable[[list[str]], list[bytes]]:
     """A function that gives texts' ids as unsigned 32-bit integers, exactly as the tokenizer at path encodes each whole text.
 
     A byte-level tokenizer with the usual splitting pattern never merges over a
@@ -263,7 +263,7 @@ def encoder(path: str, most: int = 1_000_000) -> Callable[[list[str]], list[byte
     return encode
 
 
-def runs_of(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, pa.Array]]:
+def runs_of(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
     """(place, texts, nulls as empty ones) in runs of most characters, or of one text."""
     texts = pc.fill_null(texts, "")
     ends, first = np.cumsum(np.asarray(pc.utf8_length(texts)).astype(np.int64)), 0
