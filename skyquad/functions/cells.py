@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +32,18 @@ def level_for(radius_deg: float, finest: int = FINEST) -> int:
     return max(0, min(finest, math.floor(math.log2(180.0 / max(radius_deg, 180.0 / (1 << finest))))))
 
 
+def _table(level: int) -> list[int]:
+    """Steps of right ascension in each band of a level up to 10."""
+    high = height_deg(level)
+    edges = [max(abs(b * high - 90.0), abs((b + 1) * high - 90.0)) for b in range(1 << level)]
+    return [1 << math.floor(math.log2(max(1.0, math.cos(math.radians(e)) * (2 << level)))) for e in edges]
+
+
 def _steps(level: int, band: Column) -> Column:
     """Steps of right ascension in a band; up to level 10 from a table, so that no arithmetic is repeated wherever a cell is asked for."""
     high = height_deg(level)
     if level <= 10:
-        edges = [max(abs(b * high - 90.0), abs((b + 1) * high - 90.0)) for b in range(1 << level)]
-        return F.get(F.array(*[F.lit(1 << math.floor(math.log2(max(1.0, math.cos(math.radians(e)) * (2 << level))))) for e in edges]), band.cast("int")).cast("long")
+        return F.get(F.array(*[F.lit(n) for n in _table(level)]), band.cast("int")).cast("long")
     edge = F.greatest(F.abs(band * F.lit(high) - 90.0), F.abs((band + 1) * F.lit(high) - 90.0))
     return F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.cos(F.radians(edge)) * float(2 << level))))).cast("long")
 
@@ -53,6 +60,14 @@ def cell(level: int, ra_deg, dec_deg) -> Column:
     return F.when(num(ra_deg).isNotNull() & num(dec_deg).isNotNull(), (band * (2 << level) + step).cast("long"))
 
 
+def cells_of(level: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """cell() of unit vectors in arrays, for a level up to 10."""
+    ra, dec = np.degrees(np.arctan2(y, x)) % 360.0, np.degrees(np.arcsin(np.clip(z, -1.0, 1.0)))
+    band = np.clip(np.floor((dec + 90.0) / height_deg(level)), 0, (1 << level) - 1).astype(np.int64)
+    steps = np.array(_table(level), dtype=np.int64)[band]
+    return band * (2 << level) + np.minimum(steps - 1, np.floor(ra / 360.0 * steps).astype(np.int64))
+
+
 def with_cell(df: DataFrame, level: int, ra_deg: Column, dec_deg: Column, name: str = "cell") -> DataFrame:
     """df with cell(), in steps and behind an explode() of one element: a join on it would else infer a test of the whole expression and push that down, spelt out, below all steps."""
     df = df.withColumn("_band", _band(level, dec_deg)).withColumn("_steps", _steps(level, F.col("_band")))

@@ -6,13 +6,18 @@ places in the sky; each looks up the stars of its cell, its nearest star
 proposes, a star keeps its nearest proposer, and sums of the pairs that are left
 give the next transform. Rows with fewer than four pairs drop out: no later,
 narrower pass can give them more.
+
+Beyond some stars, rows meet the stars of the zones that their places lie in,
+and each place's nearest star is looked for in circles of about one star.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquad.functions import cells
@@ -31,6 +36,8 @@ FLAT = 1e-22
 LEVEL = 8
 #: Sources of all frames, and stars with their copies in neighbouring cells, that may be broadcast.
 FEW_SOURCES, FEW_STARS = 200_000, 1_000_000
+#: Stars of a zone, about; rows and sources of a frame that meet a zone's stars in a group; places and stars, and pairs of them, that arrays hold at once.
+A_ZONE, A_DEAL, A_CHUNK, A_BLOCK, A_LOOK = 6_000, 256, 100_000, 1 << 19, 1 << 20
 KEY = ("frame_id", "rank", "variant")
 TERMS = tuple("abcdefgh")
 _RAD = math.pi / 180 / 3600
@@ -155,6 +162,149 @@ def pairs(state: DataFrame, sources: DataFrame, table: DataFrame) -> DataFrame:
     return nearest.select(*KEY, F.col("n.star").alias("star"), one).groupBy(*KEY, "star").agg(F.min("m").alias("m"))
 
 
+def zoned(stars: DataFrame, level: int) -> DataFrame:
+    """(zone, id, x, y, z): for each zone, a cell of level, the stars that may be within the widest radius of a place in it."""
+    v = stars.select(F.col("star_index").cast("long").alias("id"), *[F.col(f"{k}_unit").cast("double").alias(k) for k in "xyz"])
+    at = Vec.of("x", "y", "z")
+    return v.select(F.explode(cells.cover(level, at.ra_deg(), at.dec_deg(), F.lit(max(RADII) / 3600))).alias("zone"), "id", "x", "y", "z")
+
+
+def zone_level(n: int) -> int:
+    """The level of zones for n stars: those of A_ZONE stars where stars are spread evenly, higher than twice the widest radius."""
+    return max(3, min(LEVEL, round(math.log(max(n, 1) / A_ZONE, 4))))
+
+
+def nearest_of(x: np.ndarray, y: np.ndarray, of: np.ndarray, sx: np.ndarray, sy: np.ndarray, star_of: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places (x, y) of the rows of the first of the nearest stars (sx, sy) of the same row, whose radius it must be within, and its squared distance; -1 where there is none.
+
+    star_of is in order. A row's stars fall into squares of about one star, in
+    which places look up to one square away; those that find nothing so near go
+    on with twice the size.
+    """
+    at, least = np.full(len(x), -1), np.full(len(x), np.inf)
+    if not len(sx):
+        return at, least
+    counts = np.bincount(star_of, minlength=len(radius))
+    starts, some = np.flatnonzero(np.diff(star_of, prepend=-1)), counts > 0
+    corner, span = np.zeros((2, len(radius))), np.zeros((2, len(radius)))
+    for k, v in enumerate((sx, sy)):
+        corner[k, some] = np.minimum.reduceat(v, starts)
+        span[k, some] = np.maximum.reduceat(v, starts) - corner[k, some]
+    reach = np.minimum(radius, np.maximum(np.sqrt(span[0] * span[1] / np.maximum(counts, 1)), radius / 4096))
+    todo = np.flatnonzero(some[of])
+    while len(todo):
+        size = reach * (1 + 1e-9)
+        # the squares of the edge hold all beyond: it only adds pairs to look at
+        square = lambda v, k, row: np.clip(np.floor((v - corner[k, row]) / size[row]), -2, 1 << 18).astype(np.int64)  # noqa: E731, B023
+        col, line = square(sx, 0, star_of), square(sy, 1, star_of)
+        wide, high = int(col.max()) + 3, int(line.max()) + 3
+        key = (star_of * high + line + 1) * wide + col + 1
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        pc, pl = square(x[todo], 0, of[todo]), square(y[todo], 1, of[todo])
+        inside = (pc >= -1) & (pc <= wide - 2) & (pl >= -1) & (pl <= high - 2)
+        look, middle = todo[inside], ((of[todo] * high + pl + 1) * wide + pc + 1)[inside]
+        for d in (-wide, 0, wide):
+            first, last = np.searchsorted(key, middle + (d - 1)), np.searchsorted(key, middle + (d + 1), "right")
+            n = last - first
+            hit = np.flatnonzero(n)
+            while len(hit):
+                until = np.cumsum(n[hit])
+                now = max(1, int(np.searchsorted(until, A_LOOK)))
+                ends, p, m, begin = until[:now], look[hit[:now]], n[hit[:now]], first[hit[:now]]
+                hit, starts = hit[now:], ends - m
+                star = order[np.repeat(begin - starts, m) + np.arange(ends[-1])]
+                dx, dy = sx[star] - np.repeat(x[p], m), sy[star] - np.repeat(y[p], m)
+                d2 = dx * dx + dy * dy
+                low = np.minimum.reduceat(d2, starts)
+                one = np.minimum.reduceat(np.where(d2 == np.repeat(low, m), star, len(sx)), starts)
+                better = (low < least[p]) | ((low == least[p]) & (one < at[p]))
+                least[p[better]], at[p[better]] = low[better], one[better]
+        row = of[todo]
+        todo, reach = todo[~(least[todo] < reach[row] * reach[row]) & (reach[row] < radius[row])], np.minimum(radius, reach * 2)
+    at[~(least < radius[of] * radius[of])] = -1
+    return at, least
+
+
+def one_to_one(t: dict[str, np.ndarray], sources: tuple[np.ndarray, np.ndarray], stars: list[np.ndarray], level: int, zone: int) -> tuple[np.ndarray, ...]:
+    """The pairs of rows t, sources (px, py) whose places lie in a zone and stars (x, y, z): row, source, star, d2, u, v, r, xi, eta.
+
+    A place proposes to its nearest star, which keeps the row's nearest place,
+    the first of equally near ones. Where the zone is a row's only one,
+    directions of its places are not looked at.
+    """
+    c = {k: v[:, None] for k, v in t.items()}
+    u, v = sources[0] - c["cx"], sources[1] - c["cy"]
+    r = u * u + v * v
+    x, y = c["a"] * u + c["b"] * v + c["c"] + c["d"] * r, c["e"] * u + c["f"] * v + c["g"] + c["h"] * r
+    here = np.isfinite(x) & np.isfinite(y)
+    more = np.flatnonzero(~t["alone"])
+    if len(more):
+        way = [c[f"o{k}"][more] + c[f"p{k}"][more] * x[more] + c[f"q{k}"][more] * (y[more] * c["turn"][more]) for k in "xyz"]
+        length = np.sqrt(way[0] * way[0] + way[1] * way[1] + way[2] * way[2])
+        here[more] &= cells.cells_of(level, *[w / length for w in way]) == zone
+    on = lambda w: stars[0] * c[f"{w}x"] + stars[1] * c[f"{w}y"] + stars[2] * c[f"{w}z"]
+    cos, wide = on("o"), c["most"] * 1.001
+    with np.errstate(divide="ignore", invalid="ignore"):
+        xi, eta = on("p") / cos, on("q") / cos * c["turn"]
+    near = cos > BEHIND
+    for place, star in ((x, xi), (y, eta)):
+        near &= (star >= place.min(axis=1, initial=np.inf, where=here, keepdims=True) - wide) & (star <= place.max(axis=1, initial=-np.inf, where=here, keepdims=True) + wide)
+    (of, source), (star_of, number), xi, eta = np.nonzero(here), np.nonzero(near), xi[near], eta[near]
+    star, d2 = nearest_of(x[here], y[here], of, xi, eta, star_of, t["most"])
+    at = np.flatnonzero(star >= 0)
+    at = at[np.lexsort((at, d2[at], star[at]))]
+    at = at[np.diff(star[at], prepend=-1) > 0]
+    of, source, star = of[at], source[at], star[at]
+    return of, source, number[star], d2[at], u[of, source], v[of, source], r[of, source], xi[star], eta[star]
+
+
+def zone_pairs(state: DataFrame, sources: DataFrame, zones: DataFrame, level: int, parts: int) -> DataFrame:
+    """pairs() of many stars, zones being their zoned() table.
+
+    A row meets the zones that its places may lie in, whose number is bounded
+    by its terms and the frame's size, and each place counts in the zone of its
+    own direction. Rows of a frame and zone are dealt to groups of A_DEAL, a
+    frame's sources of more than A_CHUNK to chunks; only rows, sources and
+    stars are shuffled, of places those that a star of the group keeps.
+    """
+    radius = F.get(F.array(*[F.lit(r * _RAD) for r in (*RADII, MATCH_RADIUS)]), F.col("step"))
+    sizes = sources.groupBy("frame_id").agg(F.ceil(F.count(F.lit(1)) / A_CHUNK).alias("chunks"), *[f(c).alias(f"_{k}{c}") for c in ("x_px", "y_px") for k, f in (("low", F.min), ("high", F.max))])
+    at = state.withColumn("most", radius).join(sizes, "frame_id")
+    at = at.withColumns({w: F.greatest(F.abs(F.col(f"_low{p}") - F.col(c)), F.abs(F.col(f"_high{p}") - F.col(c))) for w, p, c in (("_u", "x_px", "cx"), ("_v", "y_px", "cy"))})
+    at = at.withColumn("_r", F.col("_u") * F.col("_u") + F.col("_v") * F.col("_v"))
+    most = lambda p, q, s: F.abs(p) * F.col("_u") + F.abs(q) * F.col("_v") + F.abs(s) * F.col("_r")
+    # an angle's chord is at most the distance in the plane
+    at = at.withColumn("_far", F.hypot(most("a", "b", "d"), most("e", "f", "h")) * (1 + 1e-9))
+    at = _lift(at, F.col("c"), F.col("g"), "t").withColumns({"_ra": F.degrees(F.atan2("ty", "tx")), "_dec": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("tz"))))), "_far": F.degrees(2 * F.asin(F.least(F.lit(1.0), F.col("_far") / 2)))})
+    at = at.withColumn("_zones", cells.cover(level, "_ra", "_dec", "_far")).withColumn("alone", F.size("_zones") == 1).withColumn("zone", F.explode("_zones"))
+    deal = F.floor((F.row_number().over(Window.partitionBy("frame_id", "zone").orderBy("rank", "variant")) - 1) / A_DEAL).cast("int")
+    by = ["frame_id", "zone", "deal", "chunk"]
+    held = at.withColumn("deal", deal).withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    held = written(held.select(*by, "rank", "variant", "alone", "most", "turn", "cx", "cy", *_PLANE, *TERMS), "verify_rows")
+    heads = held.select(*[F.col(c).alias(c) for c in by]).distinct()
+    places = sources.join(sizes.select("frame_id", "chunks"), "frame_id").select("frame_id", F.pmod(F.hash("source_idx"), F.col("chunks").cast("int")).alias("chunk"), F.col("source_idx").cast("long").alias("id"), F.col("x_px").alias("x"), F.col("y_px").alias("y"), F.lit(None).cast("double").alias("z"))
+    right = heads.join(zones, "zone").select(*by, "id", "x", "y", "z").unionByName(heads.join(places, ["frame_id", "chunk"]).select(*by, "id", "x", "y", "z"))
+    names = ("d2", "u", "v", "r", "xi", "eta")
+
+    def matched(key: tuple[pa.Scalar, ...], rows: pa.Table, near: pa.Table) -> pa.Table:
+        ids, x, y, z = (near[c].to_numpy() for c in ("id", "x", "y", "z"))
+        of, star = ((k := np.flatnonzero(np.isnan(z) == is_source))[np.argsort(ids[k], kind="stable")] for is_source in (True, False))
+        t = {c: rows[c].to_numpy() for c in rows.column_names if c not in KEY}
+        step = max(1, A_BLOCK // max(1, len(ids)))
+        found = [one_to_one({c: v[i : i + step] for c, v in t.items()}, (x[of], y[of]), [c[star] for c in (x, y, z)], level, key[1].as_py()) for i in range(0, rows.num_rows, step)]
+        row, source, number, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
+        row += np.repeat(np.arange(len(found)) * step, [len(f[0]) for f in found])
+        which = rows.select(list(KEY)).take(pa.array(row))
+        return pa.table({c: which[c] for c in KEY} | {"star": ids[star][number], "source_idx": ids[of][source]} | dict(zip(names, rest, strict=True)))
+
+    kinds = dict(state.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in KEY] + ["star long", "source_idx long"] + [f"{c} double" for c in names])
+    met = held.repartition(parts, *by).groupBy(*by).cogroup(right.repartition(parts, *by).groupBy(*by)).applyInArrow(matched, schema)
+    one = F.struct("d2", F.col("source_idx").cast(dict(sources.dtypes)["source_idx"]).alias("source_idx"), *names[1:]).alias("m")
+    return met.select(*KEY, F.col("star").cast("int").alias("star"), one).groupBy(*KEY, "star").agg(F.min("m").alias("m"))
+
+
 def refitted(state: DataFrame, matched: DataFrame) -> DataFrame:
     """The next state of rows with enough pairs: radial terms by least squares, unless the row is frozen, the system singular, or the terms stay still."""
     row = {"u": F.col("m.u"), "v": F.col("m.v"), "one": F.lit(1.0), "r": F.col("m.r")}
@@ -179,32 +329,39 @@ def refitted(state: DataFrame, matched: DataFrame) -> DataFrame:
 def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame, few_sources: int = FEW_SOURCES, few_stars: int = FEW_STARS, watch: Watch | None = None) -> DataFrame:
     """All correspondences of the candidates that hold: (KEY, mirrored, matched, rms_arcsec, cx, cy, a to h, x, y, z, matches); terms are those of (px, py).
 
-    Up to few_sources sources are broadcast and candidates spread over tasks one
-    by one; beyond, sources and candidates meet by frame, whose candidates are
-    bounded in number. Up to few_stars rows of the lookup table are broadcast,
-    and all passes run in the tasks where the candidates are; beyond, places are
-    shuffled by cell and pairs back. What survives a pass is written and dealt
+    Up to few_stars stars, with their copies in neighbouring cells, are
+    broadcast, and all passes run in the tasks where the candidates are; beyond,
+    rows, a frame's sources and stars meet by zones (zone_pairs()). With few
+    stars, up to few_sources sources are broadcast and candidates spread over
+    tasks one by one; beyond, sources and candidates meet by frame, whose
+    candidates are bounded in number. What survives a pass is written and dealt
     anew. watch is looked at between passes, and its deadline in their tasks.
     """
     watch = watch or Watch()
     spark = sources.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = written(sources.select("frame_id", "source_idx", F.col("x_px").cast("double").alias("x_px"), F.col("y_px").cast("double").alias("y_px")), "verify_sources")
-    table = written(lookup(stars), "verify_stars")
+    at = Vec.of("x_unit", "y_unit", "z_unit")
+    n, copies = stars.select(F.size(cells.cover(LEVEL, at.ra_deg(), at.dec_deg(), F.lit(max(RADII) / 3600))).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     close = points.limit(few_sources + 1).count() <= few_sources
     rows = candidates.join(points.groupBy("frame_id").agg(F.avg("x_px").alias("cx"), F.avg("y_px").alias("cy")), "frame_id")
-    points = F.broadcast(points) if close else points.repartition(parts, "frame_id").hint("merge")
-    table = F.broadcast(table) if (table.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]) <= few_stars else table.hint("merge")
+    if copies <= few_stars:
+        near, table = F.broadcast(points) if close else points.repartition(parts, "frame_id").hint("merge"), F.broadcast(written(lookup(stars), "verify_stars"))
+        met = lambda df: pairs(df, near, table)
+    else:
+        level = zone_level(n)
+        zones = written(zoned(stars, level), "verify_zones")
+        met = lambda df: zone_pairs(df, points, zones, level, 4 * parts)
     spread = lambda df: df.repartition(parts, "frame_id", "rank") if close else df.repartition(parts, "frame_id")
     state = written(watch.guarded(correspondences(spread(rows))), "verify_first_fits")
     for _ in RADII:
         watch.check()
         here = spread(state)
-        after = written(refitted(here, pairs(watch.guarded(here), points, table)), "verify_survivors")
+        after = written(refitted(here, met(watch.guarded(here))), "verify_survivors")
         forget(state)
         state = after
     here = spread(state)
-    found = pairs(here, points, table).groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("matched"), F.degrees(F.sqrt(F.avg("m.d2"))).alias("rms"), F.array_sort(F.collect_list(F.struct("m.source_idx", F.col("star").alias("star_index"), "m.d2"))).alias("matches"))
+    found = met(here).groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("matched"), F.degrees(F.sqrt(F.avg("m.d2"))).alias("rms"), F.array_sort(F.collect_list(F.struct("m.source_idx", F.col("star").alias("star_index"), "m.d2"))).alias("matches"))
     found = kept(found, F.col("matched") >= MIN_MATCHED).join(here.hint("merge"), list(KEY))
     t = {k: F.col(k) for k in _STATE}
     offset = lambda c, p, q: t[c] - t[p] * t["cx"] - t[q] * t["cy"]
