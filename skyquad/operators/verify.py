@@ -342,7 +342,8 @@ def verified(candidates: DataFrame, sources: DataFrame, stars: DataFrame, few_so
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = written(sources.select("frame_id", "source_idx", F.col("x_px").cast("double").alias("x_px"), F.col("y_px").cast("double").alias("y_px")), "verify_sources")
     at = Vec.of("x_unit", "y_unit", "z_unit")
-    n, copies = stars.select(F.size(cells.cover(LEVEL, at.ra_deg(), at.dec_deg(), F.lit(max(RADII) / 3600))).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n = stars.count()
+    copies = n if n > few_stars else stars.select(F.size(cells.cover(LEVEL, at.ra_deg(), at.dec_deg(), F.lit(max(RADII) / 3600))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one at least for each star
     close = points.limit(few_sources + 1).count() <= few_sources
     rows = candidates.join(points.groupBy("frame_id").agg(F.avg("x_px").alias("cx"), F.avg("y_px").alias("cy")), "frame_id")
     if copies <= few_stars:
